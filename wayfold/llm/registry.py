@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from wayfold.llm import bpe, exact, secrets
+from wayfold.llm import bpe, exact, lengths, mixing, quality, secrets, simhash, topk
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_top_k": topk.query,
+    "op3_simhash_near_dedup": simhash.query,
     "op4_exact_dedup": exact.query,
+    "op5_quality": quality.query,
     "op6_bpe_round_trip": bpe.query,
     "op7_secret_scan": secrets.query,
+    "op9_token_lengths": lengths.query,
 }
 
 ORACLES = {
+    "op2_top_k": topk.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
 }

@@ -265,3 +265,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), default_vocabulary())
 
 
+
+
+def tokenised(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, n_tokens, ids and round_trip (whether the ids decode to the text) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+
+    def run(batches):
+        codec = _codec(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [(x.as_py() or b"").decode("utf-8", "replace") for x in part.column(2)]
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean")

@@ -68,6 +68,7 @@ class DigestIndex:
             fresh = materialise(fresh, "fresh-digests")
             held = known.select("text_sha256", F.col("keep_id").alias("held_id"))
             of_batch = groups.join(held, "text_sha256", "left").select("text_sha256", F.coalesce("held_id", "keep_id").alias("keep_id"), F.col("held_id").isNotNull().alias("held"), "n")
+            of_batch = materialise(of_batch, "batch-digests")  # as the index stands before this batch is appended
         else:
             fresh = materialise(groups, "fresh-digests")
             of_batch = fresh.withColumn("held", F.lit(False))
@@ -98,3 +99,11 @@ WITH d AS (
 ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns, one row for each distinct text."""
+    kept = deduplicate(docs, id_col, text_col, table).where("kept").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    rows = docs.withColumns({"_row_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_row_sha": digest(F.col(text_col))})
+    joined = rows.join(kept, (F.col("_row_id") == F.col("_kept_id")) & (F.col("_row_sha") == F.col("_kept_sha")), "left_semi")
+    return joined.dropDuplicates(["_row_id", "_row_sha"]).select(*docs.columns)

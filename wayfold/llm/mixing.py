@@ -188,11 +188,11 @@ class Mix:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mixed rows with all columns of ``docs``, each shard whole in one partition and shuffled there."""
     plan = Mix(docs, id_col, text_col, source_col, seed, shard_words)
-    rows = docs.withColumns({"_mix_id": F.col(id_col).cast("long"), "_mix_source": F.col(source_col).cast("string"), "_mix_size": word_count(F.col(text_col))})
-    drawn = plan.drawn(rows, docs.columns)
-    dealt = drawn.select(*docs.columns, "_mix_id", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row")  # so that no column name can clash
+    rows = docs.select(whole, F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size"))
+    dealt = plan.drawn(rows, ["_mix_row"]).select("_mix_row", "_mix_id", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
     order = F.xxhash64("_mix_shard", "_mix_id", "_mix_copy", F.lit(seed))
-    return dealt.repartition(F.col("_mix_shard")).sortWithinPartitions("_mix_shard", order).select(*docs.columns)
+    return dealt.repartition(F.col("_mix_shard")).sortWithinPartitions("_mix_shard", order).select("_mix_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import bpe, exact, lengths, mixing, quality, secrets, simhash, topk
+from wayfold.llm import bpe, exact, lengths, lines, mixing, quality, secrets, simhash, substrings, topk
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,10 +12,13 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_bpe_round_trip": bpe.query,
     "op7_secret_scan": secrets.query,
+    "op8_substring_dedup": substrings.query,
     "op9_token_lengths": lengths.query,
+    "op10_line_dedup": lines.query,
 }
 
 ORACLES = {
     "op2_top_k": topk.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op10_line_dedup": lines.ORACLE,
 }

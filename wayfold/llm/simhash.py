@@ -328,5 +328,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------- similarity of word shingles, 0.8
+
+#: Word shingles of the similarity, and the least similarity of near copies.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Seeds of the words of a wide fingerprint over distinct words; each gives two segments of 23 bits.
+WIDE_SEEDS = (0, 1, 2)
+#: Differing bits of the first word between candidates, and the rising bounds at which they are linked.
+RISING = (2, 4, 6, 9)
+
+
+def wide_prints(text: bytes) -> list[int]:
+    """SimHash words over the distinct words of a text."""
+    import xxhash
+
+    words = set(text.lower().split())
+    return [majority([np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))]) if words else 0 for s in WIDE_SEEDS]
+
+
+def wide_keys(code: Golay, prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): pairs of codewords of the two segments of each word; a pair of texts meets where both differ in 2 bits at most."""
+    rows, keys = [], []
+    for k, fp in enumerate(prints):
+        row, key = pair_keys(code, (fp & np.uint64(0x7FFFFF)).astype(np.int64), (fp >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64))
+        rows.append(row)
+        keys.append(key | k << 40)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def shingle_set(text: bytes, width: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    found = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rk and keep_rk of every row that has near copies, for rows keyed by ``row_key``.
+
+    Candidates come from Golay keys of the wide fingerprint and are linked along
+    spanning forests of rising distance; each link is verified by the Jaccard
+    similarity of the texts' word shingles.  Of each component the smallest
+    doc_id stays (null last, then the smaller row key).
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
+
+    def prints(batches):
+        for batch in batches:
+            got = np.array([wide_prints(x.as_py() or b"") for x in batch.column("text")], np.uint64).reshape(-1, len(WIDE_SEEDS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in got.T)], names=["doc_id", "rk", *(f"p{k}" for k in range(len(WIDE_SEEDS)))])
+
+    names = [f"p{k}" for k in range(len(WIDE_SEEDS))]
+    printed = materialise(rows.mapInArrow(prints, "doc_id long, rk long, " + ", ".join(f"{n} long" for n in names)), "wide-prints")
+
+    def expand(batches):
+        code = Golay()
+        for batch in batches:
+            columns = [batch.column(n).to_numpy().view(np.uint64) for n in names]
+            for at in range(0, batch.num_rows, 4096):
+                some = [c[at : at + 4096] for c in columns]
+                row, key = wide_keys(code, some)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[0][row].view(np.int64))], names=["key", "fp"])
+
+    def rising(batches):
+        def flush(found):
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        found, size = [], 0
+        for _, items, _ in _runs(_only_shared(batches), None):
+            items = np.unique(items)
+            for most in RISING if len(items) > 1 else ():
+                a, b = forest(items, most)
+                if len(a):
+                    found.append((a, b))
+                    size += len(a)
+            if size > 50_000:
+                yield flush(found)
+                found, size = [], 0
+        yield flush(found)
+
+    keyed = printed.select(*names).distinct().mapInArrow(expand, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    between = materialise(keyed.mapInArrow(rising, "a long, b long").distinct(), "wide-links")
+    first = printed.groupBy("p0").agg(F.min("rk").alias("hub"))
+    hubs = first.select(F.col("p0").alias("a"), F.col("hub").alias("x")), first.select(F.col("p0").alias("b"), F.col("hub").alias("y"))
+    pairs = between.join(hubs[0], "a").join(hubs[1], "b").select("x", "y")
+    own = printed.join(first, "p0").where("rk <> hub").select(F.col("hub").alias("x"), F.col("rk").alias("y"))
+    pairs = materialise(pairs.unionByName(own).distinct(), "similar-pairs")
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in batch.column("text")], pa.binary())], names=["rk", "grams"])
+
+    wanted = pairs.select(F.col("x").alias("rk")).unionByName(pairs.select(F.col("y").alias("rk"))).distinct()
+    grams = materialise(rows.select("rk", "text").join(wanted, "rk", "left_semi").mapInArrow(sets, "rk long, grams binary").dropDuplicates(["rk"]), "shingles")
+
+    def verify(batches):
+        for batch in batches:
+            good = [similarity(*(np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("g1", "g2"))) >= SIMILARITY for i in range(batch.num_rows)]
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(grams.select(F.col("rk").alias("x"), F.col("grams").alias("g1")), "x").join(grams.select(F.col("rk").alias("y"), F.col("grams").alias("g2")), "y")
+    similar = both.select("x", "y", "g1", "g2").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    stars = materialise(components(similar, "similar"), "similar-stars")
+    ids = printed.select(F.col("rk").alias("node"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
+    member = stars.join(ids, "node")
+    keep = member.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("keep_rk"))
+    return member.join(keep, "root").select(F.col("node").alias("rk"), "keep_rk")
+
+
+def row_key(id_col: str, text_col: str):
+    """A row's key by id and text; rows equal in both are one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one of each group of near copies."""
+    gone = materialise(near_copies(docs, id_col, text_col).where("rk <> keep_rk").select(F.col("rk").alias("_gone")), "near-copies")
+    rows = docs.withColumn("_rk", row_key(id_col, text_col))
+    return rows.join(gone, F.col("_rk") == F.col("_gone"), "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

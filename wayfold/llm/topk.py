@@ -13,8 +13,8 @@ Components become floor(64 x).  Rows whose vector is null, empty, or holds a
 null or non-finite component take no part, nor do rows without an id.  Vectors
 of unequal length are compared over their common components.  A row never finds
 itself; other rows of the same id are found like any row.  Ties go to the
-smaller id.  Sums beyond 2^53 are computed in whole numbers and clipped to 64
-bits.  An empty table gives an empty result; extra columns are ignored.
+smaller id.  Components and scores beyond 64 bits are clipped to them; sums
+beyond 2^53 are computed in whole numbers.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +127,8 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q:
         a, b = tree.start[node], tree.end[node]
         score = products(q[rows], x[a:b])
         score = np.where(q_rids[rows][:, None] == rids[None, a:b], -np.inf, score)
-        hot = (score >= best.kth()[rows][:, None]).any(1) & (score > -np.inf).any(1)
+        rounded = score.astype(float)  # whole numbers near 2^63 and their floats compare unequal
+        hot = (rounded >= best.kth()[rows][:, None]).any(1) & (rounded > -np.inf).any(1)
         if hot.any():
             best.add(rows[hot], score[hot], ids[a:b], rids[a:b])
     return best
@@ -186,7 +187,7 @@ def _round(index: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame
                 raw = right.column("floor")[i].as_py()
                 floor = np.frombuffer(raw) if raw else np.full(len(q), -np.inf)
                 best = search(tree, x, ids, rids, q, q_rids, floor, k)
-                found = (best.rid >= 0) & (best.score >= floor[:, None])
+                found = (best.rid >= 0) & (best.score.astype(float) >= floor[:, None])
                 row, col = np.nonzero(found)
                 for to, value in zip(out, (np.full(len(row), right.column("block")[i].as_py()), q_rids[row], q_ids[row], best.rid[row, col], best.id[row, col], best.score[row, col]), strict=True):
                     to.extend(int(v) for v in value)

@@ -1 +1 @@
-"""TODO"""
+"""Column functions: everything here is a Catalyst expression."""

@@ -1 +1 @@
-"""TODO"""
+"""Where points, matrices and requests come from."""

@@ -111,7 +111,7 @@ def source_family(source: Column) -> Column:
 
 def split_ids(text: Column) -> Column:
     """Ids typed as free text: separated by line ends, commas, semicolons or tabs, never by spaces; trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, "[\n\r,;\t]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[\n\r,;\t]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def chunks(text: Column, size: int) -> Column:

@@ -1,7 +1,806 @@
-"""Named queries over the driver's tables, with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, with the SQL that gives the same rows.
+
+Each runs over the whole tables.  Numbers that depend on the order of a
+floating-point sum are rounded before they are compared; kernels have no SQL.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "separable_selection"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wayfold.config import STRATEGIES, Settings
+from wayfold.functions import geo, text
+from wayfold.operators import geometry, graph, joint, matrix, search, selection
+from wayfold.plans import control, outputs, strategies
+from wayfold.sources import providers, requests, world
+
+FLAGSHIP = "strategy_separable"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The routing world as SQL: points, and all cells of each instance.
+POINTS_SQL = """
+numbered AS (
+  SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn,
+         (1103515245 * c_custkey::BIGINT + 12345) % 2147483648 AS h1 FROM customer
+), points AS (
+  SELECT c_nationkey::BIGINT * 1000 + rn // 61 AS instance_id, (rn % 61)::INTEGER AS idx, c_custkey::VARCHAR AS id, 'customer ' || c_custkey AS address,
+         45.40 + 0.09 * h1 / 2147483648.0::DOUBLE AS lat, 4.33 + 0.11 * ((1103515245 * h1 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS lon FROM numbered
+)"""
+KM = "12742.0 * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2.0) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2.0)))"
+CELLS_SQL = POINTS_SQL + f""", pairs AS (
+  SELECT a.instance_id, a.idx AS i, b.idx AS j, {KM.format(a="a.", b="b.")} AS km FROM points a JOIN points b USING (instance_id)
+), metres AS (
+  SELECT instance_id, i, j, km, CASE WHEN i = j THEN 0 ELSE round_even(km * 1000, 0)::INTEGER END AS dist_m FROM pairs
+), cells AS (SELECT *, round_even(dist_m / (28.0::DOUBLE * 1000 / 3600), 0)::INTEGER AS dur_s FROM metres)"""
+RAW_SQL = CELLS_SQL + """, raw AS (
+  SELECT instance_id, i, j,
+    CASE WHEN i = j THEN 0 WHEN (i * 31 + j * 17 + instance_id) % 97 <> 0 THEN dur_s + (i * 7 + j * 3) % 11 END AS dur_s,
+    CASE WHEN i = j OR (i * 31 + j * 17 + instance_id) % 97 <> 0 OR i % 2 <> 0 THEN dist_m END AS dist_m FROM cells
+)"""
+#: A fixed partition of each instance, odd against even nodes, and routes that visit them in order.
+SIDES_SQL = ", members AS (SELECT instance_id, idx, CASE WHEN idx % 2 = 1 THEN 'a' ELSE 'b' END AS side FROM points WHERE idx > 0)"
+KNN_SQL = """, ranked AS (
+  SELECT instance_id, i, j, row_number() OVER (PARTITION BY instance_id, i ORDER BY km, j) AS rank FROM cells WHERE i <> j AND i > 0 AND j > 0
+), edges AS (SELECT DISTINCT instance_id, least(i, j) AS u, greatest(i, j) AS v FROM ranked WHERE rank <= {k})"""
+
+
+def query(name: str, oracle: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
+
+    return register
+
+
+def settings(spark: SparkSession) -> Settings:
+    return Settings.of(spark)
+
+
+def packed_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = world.points(spark, sf_dir)
+    return p, matrix.packed(p, world.cells(p))
+
+
+def parity_members(points: DataFrame) -> DataFrame:
+    return points.where("idx > 0").select("instance_id", "idx", F.when(F.col("idx") % 2 == 1, "a").otherwise("b").alias("side"))
+
+
+def parity_partitions(points: DataFrame) -> DataFrame:
+    p = points.where("idx > 0").groupBy("instance_id").agg(F.array_sort(F.collect_list(F.when(F.col("idx") % 2 == 1, F.col("idx")))).alias("group_a"), F.array_sort(F.collect_list(F.when(F.col("idx") % 2 == 0, F.col("idx")))).alias("group_b"))
+    return p
+
+
+def parity_routes(points: DataFrame) -> DataFrame:
+    zero = F.array(F.lit(0))
+    return parity_partitions(points).select("instance_id", "group_a", "group_b", F.concat(zero, "group_a", zero).alias("route_a"), F.concat(zero, "group_b", zero).alias("route_b"))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("world_points", f"WITH {POINTS_SQL} SELECT instance_id, idx, id, address, round(lat, 9) AS lat, round(lon, 9) AS lon FROM points")
+def world_points(spark, sf_dir):
+    return world.points(spark, sf_dir).withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+SHEET_SQL = POINTS_SQL + """, sheet AS (
+  SELECT id AS id_raw, lpad(id, 6, '0') AS id_display, address,
+    CASE WHEN id::BIGINT % 23 = 0 THEN '' WHEN id::BIGINT % 29 = 0 THEN 'NaN' ELSE 'ok' END AS lat,
+    CASE WHEN id::BIGINT % 31 = 0 THEN '200.5' ELSE 'ok' END AS lon,
+    CASE id::BIGINT % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' ELSE 'true' END AS selection FROM points
+)"""
+
+
+@query("selected_points", f"WITH {SHEET_SQL} SELECT id_raw AS id, address, lat = 'ok' AS has_lat FROM sheet WHERE upper(selection) = 'TRUE'")
+def selected_points(spark, sf_dir):
+    p = requests.selected_points(world.sheet_rows(spark, sf_dir))
+    return p.select("id", "address", (F.col("lat").isNotNull() & ~F.isnan("lat")).alias("has_lat"))
+
+
+@query("finite_coordinates", f"WITH {SHEET_SQL} SELECT id_raw AS id, lat = 'ok' AND lon = 'ok' AS finite FROM sheet")
+def finite_coordinates(spark, sf_dir):
+    return world.sheet_rows(spark, sf_dir).select(F.col("id_raw").alias("id"), geo.finite_coords(F.col("lat"), F.col("lon")).alias("finite"))
+
+
+@query("invalid_points", f"""WITH {SHEET_SQL}, bad AS (SELECT instance_id, idx, id FROM points JOIN sheet ON id = id_raw WHERE NOT (sheet.lat = 'ok' AND sheet.lon = 'ok'))
+SELECT instance_id, count(*) AS invalid, array_to_string((list(id ORDER BY idx))[1:5], ',') AS first_ids FROM bad GROUP BY instance_id""")
+def invalid_points(spark, sf_dir):
+    p, s = world.points(spark, sf_dir).select("instance_id", "idx", "id"), world.sheet_rows(spark, sf_dir).select("id_raw", "lat", "lon")
+    bad = requests.invalid_points(p.join(s, p["id"] == s["id_raw"]))
+    return bad.withColumn("first_ids", F.array_join("first_ids", ","))
+
+
+@query("strict_integers", """
+WITH r AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '12' WHEN 2 THEN '12.7' WHEN 3 THEN 'true' WHEN 4 THEN '-3' WHEN 5 THEN c_custkey::VARCHAR ELSE 'x' END AS raw FROM customer)
+SELECT c_custkey, CASE WHEN raw IS NULL THEN 75 WHEN regexp_matches(raw, '^-?[0-9]+$') AND try_cast(raw AS BIGINT) BETWEEN 1 AND 10000 THEN raw::BIGINT END AS value,
+  CASE WHEN raw IS NOT NULL AND NOT regexp_matches(raw, '^-?[0-9]+$') THEN 'not an integer' WHEN raw IS NOT NULL AND NOT try_cast(raw AS BIGINT) BETWEEN 1 AND 10000 THEN 'out of range' END AS error FROM r""")
+def strict_integers(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = F.when(k % 7 == 1, "12").when(k % 7 == 2, "12.7").when(k % 7 == 3, "true").when(k % 7 == 4, "-3").when(k % 7 == 5, k.cast("string")).when(k % 7 == 6, "x")
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", raw.alias("raw"))
+    value, error = text.strict_int(F.col("raw"), 1, 10000, 75)
+    return r.select("c_custkey", value.alias("value"), error.alias("error"))
+
+
+def request_bodies(spark, sf_dir):
+    """A JSON request for each instance, some of them faulty."""
+    p = world.points(spark, sf_dir)
+    pts = p.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "lat", "lon"))).alias("p"))
+    k = F.pmod(F.col("instance_id"), F.lit(9))
+    strategy = F.when(k == 0, "nothing").when(k == 7, "").otherwise(F.get(F.array(*map(F.lit, STRATEGIES)), F.pmod(F.col("instance_id"), F.lit(5)).cast("int")))
+    body = F.struct(
+        F.when(k == 1, F.array().cast("array<struct<id: string, lat: double, lon: double>>")).otherwise(F.transform("p", lambda e: F.struct(e["id"].alias("id"), e["lat"].alias("lat"), e["lon"].alias("lon")))).alias("points"),
+        strategy.alias("strategy"), F.when(k == 2, "12.5").when(k == 3, "20000").when(k == 4, "60").alias("ortools_solution_limit"),
+        F.when(k == 5, F.lit("unknown")).otherwise(F.get("p", F.lit(0))["id"]).alias("start_id"),
+    )
+    return pts.select("instance_id", F.to_json(body).alias("body"))
+
+
+@query("parsed_requests", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, count(*) AS n, instance_id % 9 AS k FROM points GROUP BY instance_id),
+s AS (SELECT *, CASE k WHEN 0 THEN 'nothing' WHEN 7 THEN 'kmeans' ELSE (['{"','".join(STRATEGIES)}'])[(instance_id % 5 + 1)::INTEGER] END AS strategy FROM g)
+SELECT instance_id, strategy, CASE WHEN k = 1 THEN 0 ELSE n END AS n_points, CASE WHEN k IN (2, 3) THEN NULL WHEN k = 4 THEN 60 ELSE 75 END AS ortools_solution_limit,
+  CASE k WHEN 0 THEN 'unknown strategy' WHEN 1 THEN 'no points' WHEN 2 THEN 'ortools_solution_limit: not an integer' WHEN 3 THEN 'ortools_solution_limit: out of range' END AS error,
+  CASE WHEN k < 4 THEN 400 ELSE 200 END AS status FROM s""")
+def parsed_requests(spark, sf_dir):
+    return requests.parse(request_bodies(spark, sf_dir)).select("instance_id", "strategy", F.col("n_points").cast("long").alias("n_points"), F.col("ortools_solution_limit").cast("int").alias("ortools_solution_limit"), "error", "status")
+
+
+@query("depot_resolution", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, instance_id % 9 AS k FROM points GROUP BY instance_id)
+SELECT instance_id, 0 AS start_idx, 0 AS end_idx, k NOT IN (1, 5) AS resolved FROM g""")
+def depot_resolution(spark, sf_dir):
+    bodies = request_bodies(spark, sf_dir)
+    return requests.depots(requests.parse(bodies), requests.exploded_points(bodies))
+
+
+@query("id_index", f"""WITH {SHEET_SQL}, r AS (SELECT row_number() OVER (ORDER BY id_raw) AS row, * FROM sheet),
+k AS (SELECT DISTINCT row, address, unnest([id_raw, id_display]) AS id FROM r) SELECT id, count(*) AS n, min(address) AS address FROM k GROUP BY id""")
+def id_index(spark, sf_dir):
+    sheet = world.sheet_rows(spark, sf_dir).withColumn("row", F.xxhash64("id_raw"))
+    return requests.id_index(sheet).select("id", F.size("rows").cast("long").alias("n"), "address")
+
+
+IDS_SQL = r"""typed AS (SELECT doc_id AS selection_id, posn, trim(x) AS id FROM (
+  SELECT doc_id, unnest(string_split_regex(text, '[\n\r,;\t]+')) AS x, generate_subscripts(string_split_regex(text, '[\n\r,;\t]+'), 1) AS posn FROM documents) WHERE trim(x) <> '')"""
+
+
+@query("typed_ids", f"WITH {IDS_SQL} SELECT selection_id, id, count(*) AS times FROM typed GROUP BY ALL")
+def typed_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("selection_id"), "text")
+    return requests.typed_ids(docs).select("selection_id", "id", "times")
+
+
+def selections(spark, sf_dir):
+    """Each order's parts, typed as ids of customers, with its customer as depot."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit(" "), F.col("l_partkey").cast("string")))), ",\n").alias("text"))
+    return lines.select(F.col("l_orderkey").alias("selection_id"), "text")
+
+
+@query("selection_report", """
+WITH ids AS (SELECT l_orderkey AS selection_id, l_partkey AS id, count(*) AS times FROM lineitem GROUP BY ALL),
+m AS (SELECT i.*, c.c_custkey IS NOT NULL AS hit FROM ids i LEFT JOIN customer c ON c.c_custkey = i.id),
+r AS (SELECT selection_id, sum(times)::BIGINT AS typed, count(*) AS distinct_ids, count(*) FILTER (WHERE hit) AS found, count(*) FILTER (WHERE NOT hit) AS unknown FROM m GROUP BY 1)
+SELECT selection_id, typed, distinct_ids, found, unknown, 0::BIGINT AS ambiguous, CASE WHEN selection_id % 5 = 0 THEN 'depot' WHEN unknown > 0 THEN 'unresolved ids' END AS blocked FROM r""")
+def selection_report(spark, sf_dir):
+    sheet = world.sheet_rows(spark, sf_dir).withColumn("row", F.col("id_raw").cast("long")).withColumn("id_display", F.col("id_raw"))
+    s = selections(spark, sf_dir)
+    depots = s.select("selection_id", (F.col("selection_id") % 5 != 0).alias("depots_ok"))
+    return requests.selection_report(requests.resolved(requests.typed_ids(s), requests.id_index(sheet)), depots)
+
+
+@query("applied_selection", """SELECT c_custkey::VARCHAR AS id_raw, c_custkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 7 = 1) AS selection FROM customer""")
+def applied_selection(spark, sf_dir):
+    sheet = world.sheet_rows(spark, sf_dir).withColumn("row", F.col("id_raw").cast("long"))
+    ids = requests.typed_ids(selections(spark, sf_dir).where("selection_id % 7 = 1")).select(F.col("id").cast("long").alias("row"))
+    return requests.applied_selection(requests.reset_selection(sheet), ids).select("id_raw", "selection")
+
+
+@query("block_plan", f"""WITH {POINTS_SQL}, n AS (SELECT instance_id, count(*)::INTEGER AS n FROM points GROUP BY 1),
+b AS (SELECT *, ceil(n / greatest(1, 500 // n))::INTEGER AS blocks FROM n), s AS (SELECT *, ceil(n / blocks)::INTEGER AS size FROM b),
+e AS (SELECT *, unnest(range(blocks))::INTEGER AS block FROM s)
+SELECT instance_id, n, block, block * size AS first_row, least(block * size + size, n) - 1 AS last_row FROM e""")
+def block_plan(spark, sf_dir):
+    sizes = world.points(spark, sf_dir).groupBy("instance_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return matrix.block_plan(sizes, 500).drop("error")
+
+
+@query("map_request_errors", """
+WITH r AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m FROM orders)
+SELECT k, CASE m WHEN 0 THEN 'routes' WHEN 1 THEN 'too few coordinates' WHEN 2 THEN 'too many coordinates' WHEN 3 THEN 'coordinates' WHEN 4 THEN 'profile' END AS error FROM r""")
+def map_request_errors(spark, sf_dir):
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    pair = F.array(F.lit(4.4), F.lit(45.4))
+    route = lambda n: F.array_repeat(pair, n)
+    second = F.when(m == 1, route(1)).when(m == 2, route(61)).when(m == 3, F.array(pair, F.array(F.lit(4.4), F.lit(95.0)))).otherwise(route(60))
+    routes = F.when(m == 0, F.array(route(2))).otherwise(F.array(route(2), second))
+    profile = F.when(m == 4, "boat").when(m == 5, "driving-car")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), providers.map_request_error(profile, routes).alias("error"))
+
+
+@query("geojson_lines", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 IN (2, 3) THEN NULL ELSE '4.5,45.5;4.6,45.6' END AS line FROM orders""")
+def geojson_lines(spark, sf_dir):
+    m = F.col("o_orderkey") % 4
+    head, tail = '{"type":"FeatureCollection","features":[', "]}"
+    feature = '{"geometry":{"type":"LineString","coordinates":%s},"properties":{"duration":7}}'
+    body = F.when(m == 0, head + feature % "[[4.5,45.5],[4.6,45.6]]" + tail).when(m == 1, head + feature % "[[4.5,45.5,120],[4.6,45.6,121]]" + tail).when(m == 2, head + feature % "[[4.5],[4.6,45.6]]" + tail).otherwise(head + tail)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), providers.line_of(body).alias("l"))
+    return o.select("k", F.array_join(F.transform("l", lambda c: F.array_join(c.cast("array<string>"), ",")), ";").alias("line"))
+
+
+@query("provider_blocks", f"""WITH {CELLS_SQL}, n AS (SELECT instance_id, count(*) AS n FROM points GROUP BY 1)
+SELECT instance_id, count(*) AS cells, sum(dur_s)::BIGINT AS dur_s FROM cells JOIN n USING (instance_id) GROUP BY 1""")
+def provider_blocks(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    plan = matrix.block_plan(p.groupBy("instance_id").agg(F.count(F.lit(1)).cast("int").alias("n")), 500)
+    got = providers.table_matrix(world.cells(p), plan)
+    return got.groupBy("instance_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("dur_s").alias("dur_s"))
+
+
+# ------------------------------------------------------- geometry and matrices
+
+
+@query("haversine_matrix", f"WITH {CELLS_SQL} SELECT instance_id, i, j, dur_s, dist_m FROM cells")
+def haversine_matrix(spark, sf_dir):
+    return world.cells(world.points(spark, sf_dir))
+
+
+XY_SQL = """, c0 AS (SELECT instance_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM points WHERE idx > 0 GROUP BY 1),
+xy AS (SELECT instance_id, idx, (lon - lon0) * 111320.0 * cos(radians(lat0)) AS x, (lat - lat0) * 111320.0 AS y FROM points JOIN c0 USING (instance_id) WHERE idx > 0)"""
+
+
+@query("local_plane", f"WITH {POINTS_SQL}{XY_SQL} SELECT instance_id, idx, round(x, 3) AS x, round(y, 3) AS y FROM xy")
+def local_plane(spark, sf_dir):
+    return geometry.local_xy(world.points(spark, sf_dir).where("idx > 0")).select("instance_id", "idx", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+ANGLES_SQL = XY_SQL + """, wide AS (
+  SELECT instance_id, atan2(b.y - a.y, b.x - a.x) + pi() / 2 AS t FROM xy a JOIN xy b USING (instance_id) WHERE a.idx < b.idx AND NOT (a.x = b.x AND a.y = b.y)
+), critical AS (SELECT DISTINCT instance_id, round(CASE WHEN t < 0 THEN t + pi() WHEN t >= pi() THEN t - pi() ELSE t END, 10) AS angle FROM wide),
+sampled AS (SELECT instance_id, (angle + coalesce(lead(angle) OVER w, min(angle) OVER (PARTITION BY instance_id) + pi())) / 2 AS angle FROM critical WINDOW w AS (PARTITION BY instance_id ORDER BY angle))"""
+
+
+@query("critical_angles", f"WITH {POINTS_SQL}{ANGLES_SQL} SELECT instance_id, count(*) AS angles, round(sum(angle), 4) AS total FROM critical GROUP BY 1")
+def critical_angles(spark, sf_dir):
+    a = geometry.critical_angles(geometry.local_xy(world.points(spark, sf_dir).where("idx > 0")))
+    return a.groupBy("instance_id").agg(F.count(F.lit(1)).alias("angles"), F.round(F.sum("angle"), 4).alias("total"))
+
+
+@query("sampled_angles", f"WITH {POINTS_SQL}{ANGLES_SQL} SELECT instance_id, count(*) AS angles, round(sum(angle), 4) AS total FROM sampled GROUP BY 1")
+def sampled_angles(spark, sf_dir):
+    a = geometry.sample_angles(geometry.critical_angles(geometry.local_xy(world.points(spark, sf_dir).where("idx > 0"))))
+    return a.groupBy("instance_id").agg(F.count(F.lit(1)).alias("angles"), F.round(F.sum("angle"), 4).alias("total"))
+
+
+SPLITS_SQL = ANGLES_SQL + """, along AS (
+  SELECT instance_id, angle, idx, x * cos(angle) + y * sin(angle) AS p FROM xy JOIN sampled USING (instance_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY instance_id, angle ORDER BY p, idx) <= count(*) OVER (PARTITION BY instance_id, angle) // 2 AS in_a FROM along
+), cut AS (
+  SELECT instance_id, angle, list(idx ORDER BY idx) FILTER (WHERE in_a) AS a, list(idx ORDER BY idx) FILTER (WHERE NOT in_a) AS b, min(p) FILTER (WHERE NOT in_a) - max(p) FILTER (WHERE in_a) AS margin
+  FROM placed GROUP BY instance_id, angle
+), sided AS (SELECT instance_id, CASE WHEN a[1] > b[1] THEN b ELSE a END AS ga, CASE WHEN a[1] > b[1] THEN a ELSE b END AS gb, margin FROM cut WHERE margin > 0),
+best AS (SELECT instance_id, ga, gb, max(margin) AS margin FROM sided GROUP BY 1, 2, 3)"""
+
+
+@query("separable_splits", f"WITH {POINTS_SQL}{SPLITS_SQL} SELECT instance_id, array_to_string(ga, ',') AS group_a, array_to_string(gb, ',') AS group_b, round(margin, 3) AS margin FROM best")
+def separable_splits(spark, sf_dir):
+    s = geometry.separable_partitions(world.points(spark, sf_dir))
+    return s.select("instance_id", F.array_join("group_a", ",").alias("group_a"), F.array_join("group_b", ",").alias("group_b"), F.round("margin", 3).alias("margin"))
+
+
+@query("split_certificates", f"WITH {POINTS_SQL}{SPLITS_SQL} SELECT instance_id, count(*) AS splits, 0::BIGINT AS violations, round(max(margin), 3) AS widest FROM best GROUP BY 1")
+def split_certificates(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    c = geometry.certificates(geometry.local_xy(p.where("idx > 0")), geometry.separable_partitions(p))
+    return c.groupBy("instance_id").agg(F.count(F.lit(1)).alias("splits"), F.sum("violations").alias("violations"), F.round(F.max("margin"), 3).alias("widest"))
+
+
+@query("farthest_pair", f"""WITH {POINTS_SQL}{XY_SQL}, d AS (SELECT instance_id, a.idx AS i, b.idx AS j, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM xy a JOIN xy b USING (instance_id) WHERE a.idx < b.idx)
+SELECT instance_id, i, j, round(d, 3) AS d FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY d DESC, i, j) AS r FROM d) WHERE r = 1""")
+def farthest_pair(spark, sf_dir):
+    return graph.farthest_pair(geometry.local_xy(world.points(spark, sf_dir).where("idx > 0"))).withColumn("d", F.round("d", 3))
+
+
+FILLED_SQL = RAW_SQL + """, filled AS (
+  SELECT p.instance_id, p.i, p.j, r.dur_s IS NULL AND p.i <> p.j AS filled,
+    CASE WHEN p.i = p.j THEN 0 ELSE round_even(coalesce(r.dur_s::DOUBLE, p.km / 30.0::DOUBLE * 3600), 0)::INTEGER END AS dur_s,
+    CASE WHEN p.i = p.j THEN 0 ELSE round_even(coalesce(r.dist_m::DOUBLE, CASE WHEN r.dur_s IS NULL THEN p.km * 1000 ELSE 0.0 END), 0)::INTEGER END AS dist_m
+  FROM pairs p LEFT JOIN raw r USING (instance_id, i, j))"""
+
+
+@query("completed_matrix", f"WITH {FILLED_SQL} SELECT instance_id, i, j, dur_s, dist_m, filled FROM filled")
+def completed_matrix(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return matrix.complete(p, world.raw_cells(world.cells(p)))
+
+
+@query("matrix_shape_errors", f"WITH {RAW_SQL} SELECT instance_id, count(*) AS cells, max(i) + 1 AS n FROM raw WHERE dur_s IS NOT NULL GROUP BY 1 HAVING count(*) <> (max(i) + 1) * (max(i) + 1)")
+def matrix_shape_errors(spark, sf_dir):
+    return matrix.shape_errors(world.raw_cells(world.cells(world.points(spark, sf_dir))).where("dur_s IS NOT NULL"))
+
+
+@query("symmetrised_cost", f"""WITH {RAW_SQL} SELECT a.instance_id, a.i, a.j, coalesce((a.dur_s + b.dur_s) / 2.0::DOUBLE, a.dur_s, b.dur_s)::DOUBLE AS cost_s
+FROM raw a JOIN raw b ON a.instance_id = b.instance_id AND a.i = b.j AND a.j = b.i WHERE a.i < a.j""")
+def symmetrised_cost(spark, sf_dir):
+    return matrix.symmetric_costs(world.raw_cells(world.cells(world.points(spark, sf_dir))))
+
+
+@query("matrix_content_hash", f"""WITH {RAW_SQL}, r AS (SELECT instance_id, i, string_agg(coalesce(dur_s::VARCHAR, ''), ',' ORDER BY j) || ';' AS d, string_agg(coalesce(dist_m::VARCHAR, ''), ',' ORDER BY j) || ';' AS m FROM raw GROUP BY 1, 2)
+SELECT instance_id, left(md5(string_agg(d, '' ORDER BY i) || string_agg(m, '' ORDER BY i)), 12) AS content_hash FROM r GROUP BY 1""")
+def matrix_content_hash(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return matrix.packed(p, world.raw_cells(world.cells(p))).select("instance_id", text.matrix_content_hash(F.col("dur"), F.col("dist")).alias("content_hash"))
+
+
+@query("matrix_seed", f"""WITH {POINTS_SQL} SELECT instance_id, ('0x' || left(md5(left(md5(string_agg(id, '|' ORDER BY id)), 8)), 8))::BIGINT AS seed FROM points GROUP BY 1""")
+def matrix_seed(spark, sf_dir):
+    return world.points(spark, sf_dir).groupBy("instance_id").agg(text.ids_signature(F.collect_list("id")).alias("s")).select("instance_id", text.seed_of(F.col("s")).alias("seed"))
+
+
+@query("points_signature", f"WITH {POINTS_SQL} SELECT instance_id, left(md5(string_agg(id, '|' ORDER BY id)), 8) AS signature FROM points GROUP BY 1")
+def points_signature(spark, sf_dir):
+    return world.points(spark, sf_dir).groupBy("instance_id").agg(text.ids_signature(F.collect_list("id")).alias("signature"))
+
+
+@query("coordinates_key", f"""WITH {POINTS_SQL} SELECT instance_id, md5('driving-car|duration+distance|' || string_agg(printf('%.6f,%.6f', lon, lat), ';' ORDER BY idx)) AS key,
+md5('driving-car#' || string_agg(printf('%.6f,%.6f;', lon, lat), '' ORDER BY idx) || '#') AS map_key FROM points GROUP BY 1""")
+def coordinates_key(spark, sf_dir):
+    p = world.points(spark, sf_dir).groupBy("instance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.array("lon", "lat").alias("c")))), lambda e: e["c"]).alias("c"))
+    none = F.array().cast("array<array<double>>")
+    return p.select("instance_id", text.coordinates_key(F.lit("driving-car"), F.col("c")).alias("key"), text.routes_key(F.lit("driving-car"), F.array(F.col("c"), none)).alias("map_key"))
+
+
+ROUTE_SQL = CELLS_SQL + """, stops AS (
+  SELECT instance_id, CASE WHEN idx % 2 = 1 THEN 1 ELSE 2 END AS vehicle, idx, row_number() OVER (PARTITION BY instance_id, idx % 2 ORDER BY idx) AS pos FROM points WHERE idx > 0
+), legs AS (
+  SELECT instance_id, vehicle, coalesce(lag(idx) OVER w, 0) AS i, idx AS j FROM stops WINDOW w AS (PARTITION BY instance_id, vehicle ORDER BY pos)
+  UNION ALL SELECT instance_id, vehicle, max_by(idx, pos), 0 FROM stops GROUP BY 1, 2
+), priced AS (SELECT instance_id, vehicle, sum(dur_s)::BIGINT AS dur_s, sum(dist_m)::BIGINT AS dist_m, sum(km) AS km, count(*) - 1 AS n FROM legs JOIN cells USING (instance_id, i, j) GROUP BY 1, 2)"""
+
+
+def parity_stops(p):
+    return outputs.vehicle_routes(parity_routes(p)).join(p.where("idx > 0").groupBy("instance_id").agg((F.count(F.lit(1)) > 1).alias("both")), "instance_id").where("vehicle = 1 OR both").drop("both")
+
+
+@query("route_costs", f"WITH {ROUTE_SQL} SELECT instance_id, vehicle, dur_s + n * 60.0::DOUBLE AS duration_s, dist_m AS distance_m, n::INTEGER AS stops FROM priced")
+def route_costs(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return matrix.route_costs(parity_stops(p), world.cells(p), ["vehicle"], 60.0)
+
+
+@query("packed_route_costs", f"WITH {ROUTE_SQL} SELECT instance_id, sum(dur_s)::BIGINT AS duration_s FROM priced GROUP BY 1")
+def packed_route_costs(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    r = parity_routes(p).join(packed, "instance_id")
+    return r.select("instance_id", (matrix.packed_route_cost(F.col("dur"), F.col("route_a")) + matrix.packed_route_cost(F.col("dur"), F.col("route_b"))).cast("long").alias("duration_s"))
+
+
+@query("route_crow_km", f"WITH {ROUTE_SQL} SELECT instance_id, vehicle, round(km, 6) AS km FROM priced")
+def route_crow_km(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return matrix.crow_km(parity_stops(p), p, ["vehicle"]).withColumn("km", F.round("km", 6))
+
+
+@query("route_members_matrix", f"WITH {CELLS_SQL} SELECT instance_id, i, j, dur_s, dist_m FROM cells WHERE i % 2 = 1 AND j % 2 = 1")
+def route_members_matrix(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return matrix.members_matrix(world.cells(p), p.where("idx % 2 = 1"))
+
+
+@query("vehicle_totals", f"WITH {ROUTE_SQL} SELECT instance_id, vehicle, dist_m AS metres, dur_s AS seconds, n::INTEGER AS stops FROM priced")
+def vehicle_totals(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    t = matrix.route_costs(parity_stops(p), world.cells(p), ["vehicle"])
+    return t.select("instance_id", "vehicle", F.col("distance_m").alias("metres"), F.col("duration_s").cast("long").alias("seconds"), "stops")
+
+
+@query("capacities_and_levels", f"""WITH {POINTS_SQL}, n AS (SELECT instance_id, count(*) - 1 AS n FROM points GROUP BY 1), t AS (SELECT *, ceil(0.15::DOUBLE * n)::INTEGER AS cap, n % 11 AS e FROM n),
+l AS (SELECT *, [0, least(ceil(0.05::DOUBLE * n)::INTEGER, cap), least(ceil(0.1::DOUBLE * n)::INTEGER, cap), cap] AS levels FROM t)
+SELECT instance_id, ceil(n / 2)::INTEGER AS capacity, CASE WHEN n <= 40 THEN 5 ELSE 3 END AS runs, array_to_string(levels, ',') AS levels, list_min(list_filter(levels, lambda x: x >= e)) AS level FROM l""")
+def capacities_and_levels(spark, sf_dir):
+    n = F.col("n")
+    s = world.points(spark, sf_dir).groupBy("instance_id").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return s.select("instance_id", geo.exact_capacity(n, F.lit(2)).alias("capacity"), geo.order_runs(n, F.lit(2)).alias("runs"), F.array_join(geo.enclave_thresholds(n), ",").alias("levels"), geo.enclave_level(n % 11, n).alias("level"))
+
+
+# ------------------------------------------------------------------------ graphs
+
+
+@query("knn_graph", f"WITH {CELLS_SQL}{KNN_SQL.format(k=4)} SELECT * FROM edges")
+def knn_graph(spark, sf_dir):
+    return graph.knn_edges(world.points(spark, sf_dir).where("idx > 0"), 4)
+
+
+@query("knn_graph_strict", f"WITH {CELLS_SQL}{KNN_SQL.format(k=5)} SELECT * FROM edges")
+def knn_graph_strict(spark, sf_dir):
+    return graph.strict_knn(world.points(spark, sf_dir).where("idx > 0"))
+
+
+@query("road_neighbours", f"""WITH {RAW_SQL}, s AS (SELECT a.instance_id, a.i, a.j, coalesce((a.dur_s + b.dur_s) / 2.0::DOUBLE, a.dur_s, b.dur_s) AS c FROM raw a JOIN raw b ON a.instance_id = b.instance_id AND a.i = b.j AND a.j = b.i WHERE a.i <> a.j AND a.i > 0 AND a.j > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY instance_id, i ORDER BY c, j) AS rank FROM s WHERE c IS NOT NULL)
+SELECT DISTINCT instance_id, least(i, j) AS u, greatest(i, j) AS v FROM r WHERE rank <= 3""")
+def road_neighbours(spark, sf_dir):
+    s = matrix.symmetric_costs(world.raw_cells(world.cells(world.points(spark, sf_dir)))).where("i > 0")
+    both = s.unionByName(s.select("instance_id", F.col("j").alias("i"), F.col("i").alias("j"), "cost_s"))
+    return graph.canonical_edges(graph.nearest(both, 3, "cost_s"))
+
+
+@query("neighbourhood_graph")
+def neighbourhood_graph(spark, sf_dir):
+    return search.graph_edges(packed_world(spark, sf_dir)[1], settings(spark))
+
+
+COMPONENTS_SQL = f"""WITH RECURSIVE {CELLS_SQL}{KNN_SQL.format(k=2)}, links AS (SELECT instance_id, u, v FROM edges UNION ALL SELECT instance_id, v, u FROM edges),
+reach AS (SELECT instance_id, idx AS s, idx AS t FROM points WHERE idx > 0 UNION SELECT r.instance_id, r.s, l.v FROM reach r JOIN links l ON l.instance_id = r.instance_id AND l.u = r.t)
+SELECT instance_id, s AS u, min(t) AS label FROM reach GROUP BY 1, 2"""
+
+
+@query("graph_components", COMPONENTS_SQL)
+def graph_components(spark, sf_dir):
+    p = world.points(spark, sf_dir).where("idx > 0")
+    return graph.components(p.select("instance_id", F.col("idx").alias("u")), graph.knn_edges(p, 2))
+
+
+@query("component_summary", f"""WITH l AS ({COMPONENTS_SQL}), c AS (SELECT instance_id, label, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT instance_id, count(*)::INTEGER AS components, string_agg(n::VARCHAR, ',' ORDER BY n DESC) AS sizes, count(*) <= 1 AS connected FROM c GROUP BY 1""")
+def component_summary(spark, sf_dir):
+    s = graph.component_summary(graph_components(spark, sf_dir))
+    return s.select("instance_id", "components", F.array_join("sizes", ",").alias("sizes"), "connected")
+
+
+SIDED_SQL = f"WITH {CELLS_SQL}{KNN_SQL.format(k=5)}{SIDES_SQL}, sided AS (SELECT e.instance_id, e.u, e.v, a.side AS su, b.side AS sv FROM (SELECT instance_id, u, v FROM edges UNION ALL SELECT instance_id, v, u FROM edges) e JOIN members a ON a.instance_id = e.instance_id AND a.idx = e.u JOIN members b ON b.instance_id = e.instance_id AND b.idx = e.v)"
+
+
+@query("boundary_metrics", SIDED_SQL + """, n AS (SELECT s.instance_id, u, count(*) AS degree, count(*) FILTER (WHERE su <> sv) AS foreign_n, count(*) FILTER (WHERE su = 'a' AND sv = 'b') AS cut, sum(CASE WHEN su = 'a' AND sv = 'b' THEN km * 1000 ELSE 0 END) AS len
+FROM sided s JOIN cells c ON c.instance_id = s.instance_id AND c.i = s.u AND c.j = s.v GROUP BY 1, 2)
+SELECT instance_id, sum(cut)::INTEGER AS cut_edges, round(sum(len), 1) AS cut_length_m, sum(foreign_n)::INTEGER AS cross_neighbors, count(*) FILTER (WHERE foreign_n * 2 > degree)::INTEGER AS enclave_points FROM n GROUP BY 1""")
+def boundary_metrics(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    inner = p.where("idx > 0")
+    return graph.boundary_metrics(graph.strict_knn(inner), parity_members(p), inner, [])
+
+
+@query("border_nodes", SIDED_SQL + " SELECT DISTINCT instance_id, u AS idx, su AS side FROM sided WHERE su <> sv")
+def border_nodes(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return graph.border_nodes(graph.strict_knn(p.where("idx > 0")), parity_members(p), [])
+
+
+@query("border_and_cores", SIDED_SQL + """, f1 AS (SELECT DISTINCT instance_id, u AS idx FROM sided WHERE su <> sv), f2 AS (SELECT * FROM f1 UNION SELECT s.instance_id, s.v FROM sided s JOIN f1 ON f1.instance_id = s.instance_id AND f1.idx = s.u)
+SELECT m.instance_id, m.idx, m.side, f2.idx IS NOT NULL AS free FROM members m LEFT JOIN f2 USING (instance_id, idx)""")
+def border_and_cores(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return graph.border_and_cores(graph.strict_knn(p.where("idx > 0")), parity_members(p), [], 2)
+
+
+@query("close_to_other_route", f"WITH {CELLS_SQL} SELECT instance_id, CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END AS vehicle, i AS idx, round(min(km), 6) AS km FROM cells WHERE i > 0 AND j > 0 AND i % 2 <> j % 2 AND km < 0.5 GROUP BY ALL")
+def close_to_other_route(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return graph.close_to_other_route(parity_stops(p).where("idx > 0"), p).withColumn("km", F.round("km", 6))
+
+
+@query("seed_pairs", f"""WITH {CELLS_SQL}{XY_SQL}, dirs AS (SELECT * FROM (VALUES (1, 90.0), (2, 0.0), (3, 30.0), (4, 60.0), (5, 120.0), (6, 150.0)) t(rank, deg)),
+along AS (SELECT instance_id, rank, idx, CASE rank WHEN 1 THEN y WHEN 2 THEN x ELSE x * cos(radians(deg::DOUBLE)) + y * sin(radians(deg::DOUBLE)) END AS p FROM xy, dirs),
+ends AS (SELECT instance_id, rank, first(idx ORDER BY p, idx) AS a, first(idx ORDER BY p DESC, idx) AS b FROM along GROUP BY 1, 2),
+far AS (SELECT instance_id, 0 AS rank, first(a.idx ORDER BY sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) DESC, a.idx, b.idx) AS a, first(b.idx ORDER BY sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) DESC, a.idx, b.idx) AS b FROM xy a JOIN xy b USING (instance_id) WHERE a.idx < b.idx GROUP BY 1),
+road AS (SELECT instance_id, 7 AS rank, first(i ORDER BY dur_s DESC, i, j) AS a, first(j ORDER BY dur_s DESC, i, j) AS b FROM cells WHERE i > 0 AND i < j GROUP BY 1),
+ids AS (SELECT instance_id, list(idx ORDER BY idx) AS l FROM points WHERE idx > 0 GROUP BY 1),
+every AS (SELECT * FROM ends UNION ALL SELECT * FROM far UNION ALL SELECT * FROM road UNION ALL SELECT instance_id, 8, l[1], l[-1] FROM ids UNION ALL SELECT instance_id, 9, l[1], l[len(l) // 2 + 1] FROM ids)
+SELECT instance_id, least(a, b) AS u, greatest(a, b) AS v, min(rank)::INTEGER AS rank FROM every WHERE a <> b GROUP BY 1, 2, 3""")
+def seed_pairs(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return graph.seed_pairs(p, geometry.local_xy(p.where("idx > 0")), matrix.symmetric_costs(world.cells(p)))
+
+
+@query("articulation_points")
+def articulation_points(spark, sf_dir):
+    return search.articulation_points(packed_world(spark, sf_dir)[1], settings(spark))
+
+
+# --------------------------------------------------------- keys and selection
+
+#: Many made-up solutions per customer: orders as solutions of their customer's instance.
+SOLUTIONS_SQL = """sol AS (
+  SELECT o_custkey AS instance_id, o_orderkey AS k, round(o_totalprice / 1000) * 5 AS duration_s, (o_orderkey * 37 % 1000)::DOUBLE AS distance_m, o_orderkey % 5 <> 0 AS connected, o_orderkey % 7 <> 0 AS cardinality_ok,
+    (o_orderkey % 3)::INTEGER AS components_total, (o_orderkey % 13)::INTEGER AS cut_edges, (o_orderkey % 4)::INTEGER AS enclave_points, ['vroom', 'ortools', 'heuristic'][(o_orderkey % 3 + 1)::INTEGER] AS sequencer FROM orders
+)"""
+
+
+def order_solutions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pair = lambda m: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda x: (x * 2 - m).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("instance_id"), k.alias("k"), F.concat(F.lit("s:"), k.cast("string")).alias("source"), F.get(F.array(F.lit("vroom"), F.lit("ortools"), F.lit("heuristic")), (k % 3).cast("int")).alias("sequencer"),
+        pair(1).alias("group_a"), pair(0).alias("group_b"), F.array(k.cast("int")).alias("route_a"), F.array(F.lit(0)).alias("route_b"),
+        (F.round(F.col("o_totalprice") / 1000) * 5).cast("double").alias("duration_s"), (k * 37 % 1000).cast("double").alias("distance_m"), (k % 5 != 0).alias("connected"), (k % 7 != 0).alias("cardinality_ok"), (k % 3).cast("int").alias("components_total"),
+        F.struct((k % 13).cast("int").alias("cut_edges"), F.lit(0.0).alias("cut_length_m"), F.lit(0).alias("cross_neighbors"), (k % 4).cast("int").alias("enclave_points")).alias("boundary"),
+    )
+
+
+@query("selection_rank", f"WITH {SOLUTIONS_SQL}, t AS (SELECT *, min(k) OVER (PARTITION BY instance_id, connected, cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) AS least FROM sol) SELECT instance_id, k, (rank() OVER (PARTITION BY instance_id ORDER BY NOT connected, NOT cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) - 1)::INTEGER AS rank FROM t WHERE k = least")
+def selection_rank(spark, sf_dir):
+    r = selection.ranked(order_solutions(spark, sf_dir))
+    w = Window.partitionBy("instance_id", "connected", "cardinality_ok", "components_total", "duration_s", "distance_m", F.col("boundary.cut_edges") + F.col("boundary.enclave_points"))
+    return r.withColumn("rank", F.min("rank").over(w)).withColumn("least", F.min("k").over(w)).where("k = least").select("instance_id", "k", F.col("rank").cast("int").alias("rank"))
+
+
+POOL_SQL = f"""WITH {SOLUTIONS_SQL}, v AS (SELECT *, connected AND cardinality_ok AS ok FROM sol), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY instance_id) AS has FROM v),
+b AS (SELECT *, min(duration_s) OVER (PARTITION BY instance_id) AS best FROM a WHERE ok = has), pool AS (SELECT * FROM b WHERE duration_s <= best + 30)"""
+
+
+@query("select_best_window", POOL_SQL + """ SELECT instance_id, k, duration_s, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r FROM pool) WHERE r = 1""")
+def select_best_window(spark, sf_dir):
+    return selection.select_best(order_solutions(spark, sf_dir)).select("instance_id", "k", "duration_s", "distance_m")
+
+
+@query("selection_reasons", POOL_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r, count(*) OVER (PARTITION BY instance_id) AS n FROM pool)
+SELECT instance_id, CASE WHEN n = 1 THEN 'only_in_window' WHEN duration_s = best THEN 'fastest_and_shortest' ELSE 'shorter_within_window' END AS reason FROM w WHERE r = 1""")
+def selection_reasons(spark, sf_dir):
+    return selection.selection_reason(order_solutions(spark, sf_dir)).select("instance_id", "reason")
+
+
+@query("territorial_selection", f"""WITH {SOLUTIONS_SQL}, v AS (SELECT *, connected AND cardinality_ok AS ok FROM sol), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY instance_id) AS has FROM v),
+l AS (SELECT *, CASE WHEN enclave_points <= 0 THEN 0 WHEN enclave_points <= 1 THEN 1 WHEN enclave_points <= 2 THEN 2 END AS level FROM a WHERE ok = has),
+m AS (SELECT *, min(level) OVER (PARTITION BY instance_id) AS least_level FROM l), p AS (SELECT *, min(duration_s) OVER (PARTITION BY instance_id) AS best FROM m WHERE least_level IS NULL OR level = least_level),
+w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r FROM p WHERE duration_s <= best + 30)
+SELECT instance_id, k, level AS territorial_level, level IS NULL AS above_levels, NOT has AS unsound FROM w WHERE r = 1""")
+def territorial_selection(spark, sf_dir):
+    return selection.select_territorial(order_solutions(spark, sf_dir)).select("instance_id", "k", "territorial_level", "above_levels", "unsound")
+
+
+@query("arbitration", f"""WITH {SOLUTIONS_SQL}, b AS (SELECT instance_id, min_by(duration_s, k) AS bd, min_by(distance_m, k) AS bm, max_by(duration_s, k) AS ad, max_by(distance_m, k) AS am FROM sol GROUP BY 1), f AS (SELECT *, least(bd, ad) AS q FROM b)
+SELECT instance_id, CASE WHEN CASE WHEN ad <= q + 30 AND bd <= q + 30 THEN am < bm OR (am = bm AND ad <= bd) ELSE ad <= q + 30 END THEN 'kept' ELSE 'rejected_slower' END AS verdict FROM f""")
+def arbitration(spark, sf_dir):
+    s = order_solutions(spark, sf_dir)
+    pick = lambda f: s.groupBy("instance_id").agg(f(F.struct("group_a", "group_b", "duration_s", "distance_m"), "k").alias("s")).select("instance_id", "s.*")
+    return selection.arbitrate(pick(F.min_by), pick(F.max_by)).select("instance_id", "verdict")
+
+
+@query("partition_keys", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, list(idx ORDER BY idx) FILTER (WHERE idx % 2 = 1) AS a, list(idx ORDER BY idx) FILTER (WHERE idx % 2 = 0) AS b FROM points WHERE idx > 0 GROUP BY 1)
+SELECT instance_id, array_to_string(a, ',') AS one_sided, array_to_string(CASE WHEN b IS NULL THEN [] ELSE a END, ',') AS canonical_a, left(md5(array_to_string(a, ',') || '|' || coalesce(array_to_string(b, ','), '')), 8) AS short_key FROM g""")
+def partition_keys(spark, sf_dir):
+    a, b = F.col("group_a"), F.col("group_b")
+    return parity_partitions(world.points(spark, sf_dir)).select("instance_id", F.array_join(text.one_sided_key(b, a), ",").alias("one_sided"), F.array_join(text.canonical_key(b, a)["a"], ",").alias("canonical_a"), text.short_key(a, b).alias("short_key"))
+
+
+@query("partition_differences", f"""WITH {POINTS_SQL}{SPLITS_SQL}, k AS (SELECT instance_id, ga, gb FROM best),
+d AS (SELECT p.instance_id, least(len(list_filter(p.ga, lambda x: NOT list_contains(q.ga, x))) + len(list_filter(p.gb, lambda x: NOT list_contains(q.gb, x))), len(list_filter(p.ga, lambda x: NOT list_contains(q.gb, x))) + len(list_filter(p.gb, lambda x: NOT list_contains(q.ga, x)))) AS d
+FROM k p JOIN k q ON p.instance_id = q.instance_id AND p.ga < q.ga)
+SELECT instance_id, coalesce(min(d), 0)::INTEGER AS least_difference FROM k LEFT JOIN d USING (instance_id) GROUP BY 1""")
+def partition_differences(spark, sf_dir):
+    return selection.smallest_difference(geometry.separable_partitions(world.points(spark, sf_dir)))
+
+
+@query("deduplicated_candidates", """WITH c AS (SELECT l_orderkey AS instance_id, l_partkey % 10 AS key, l_linenumber AS seq, l_returnflag AS source FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY instance_id, key ORDER BY seq, source) AS n FROM c)
+SELECT instance_id, key, seq, source FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, source ORDER BY seq, key) AS m FROM f WHERE n = 1) WHERE m <= 2""")
+def deduplicated_candidates(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("instance_id"), (F.col("l_partkey") % 10).alias("key"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("source"))
+    return selection.capped_per_source(selection.deduplicated(c, F.col("key"), ["seq", "source"]), 2, ["seq", "key"])
+
+
+@query("source_counters", """SELECT l_orderkey AS instance_id, l_returnflag AS source, count(*) AS raw, count(*) FILTER (WHERE l_linenumber % 5 = 0) AS duplicate, count(*) FILTER (WHERE l_linenumber % 5 = 1) AS size,
+count(*) FILTER (WHERE l_linenumber % 5 = 2) AS disconnected, count(*) FILTER (WHERE l_linenumber % 5 = 3) AS failed, count(*) FILTER (WHERE l_linenumber % 5 = 4) AS "unique" FROM lineitem GROUP BY 1, 2""")
+def source_counters(spark, sf_dir):
+    m = F.col("l_linenumber") % 5
+    verdict = F.when(m == 0, "duplicate").when(m == 1, "invalid_size").when(m == 2, "disconnected").when(m == 3, "lost_points").otherwise("ok")
+    return selection.source_counters(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("instance_id"), F.col("l_returnflag").alias("source"), verdict.alias("verdict")))
+
+
+@query("partition_verdicts", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, count(*) FILTER (WHERE idx > 0) AS n, instance_id % 5 AS m FROM points GROUP BY 1 HAVING count(*) > 5)
+SELECT instance_id, CASE m WHEN 0 THEN 'duplicate' WHEN 1 THEN 'lost_points' WHEN 2 THEN 'invalid_size' WHEN 3 THEN 'disconnected' ELSE 'ok' END AS verdict FROM g""")
+def partition_verdicts(spark, sf_dir):
+    p = parity_partitions(world.points(spark, sf_dir)).withColumn("indices", F.array_sort(F.concat("group_a", "group_b"))).where("size(indices) >= 5")
+    m = F.col("instance_id") % 5
+    a, b = F.col("group_a"), F.col("group_b")
+    p = p.withColumn("target", F.floor(F.size("indices") / 2).cast("int"))
+    moved = p.withColumn("new_a", F.when(m == 0, F.concat(a, F.slice(a, 1, 1))).when(m == 1, F.slice(a, 2, 1000)).when(m == 2, F.concat(a, F.slice(b, 1, 2))).otherwise(a)).withColumn("new_b", F.when(m == 2, F.slice(b, 3, 1000)).otherwise(b))
+    q = moved.select("instance_id", "indices", "target", F.col("new_a").alias("group_a"), F.col("new_b").alias("group_b"))
+    return q.select("instance_id", selection.partition_verdict(F.col("instance_id") % 5 != 3, F.col("target"), F.col("indices")).alias("verdict"))
+
+
+@query("ledger_counts", """WITH s AS (SELECT o_custkey AS instance_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 4 AS t, o_orderkey % 4 AS m FROM orders)
+SELECT instance_id, count(*) AS planned, count(*) FILTER (WHERE t) AS attempted, count(*) FILTER (WHERE t AND m < 2) AS succeeded, count(*) FILTER (WHERE t AND m >= 2) AS failed, count(*) FILTER (WHERE t AND m = 3) AS timed_out, count(*) FILTER (WHERE NOT t) AS skipped FROM s GROUP BY 1""")
+def ledger_counts(spark, sf_dir):
+    m = F.col("o_orderkey") % 4
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("instance_id"), "o_orderkey", F.when(m < 2, "ok").when(m == 2, "error").otherwise("timeout").alias("outcome"))
+    return control.ledger_counts(s, 4, ["o_orderkey"])
+
+
+@query("joint_validation", f"""WITH {POINTS_SQL}, n AS (SELECT instance_id, count(*) - 1 AS n, instance_id % 6 AS m FROM points GROUP BY 1)
+SELECT instance_id, CASE WHEN m = 0 THEN 'missing job' WHEN m = 1 THEN 'duplicate job' WHEN m = 2 THEN 'foreign job' WHEN m = 3 THEN 'start' WHEN m = 4 THEN 'capacity' END AS fault FROM n WHERE n > 4""")
+def joint_validation(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    big = p.groupBy("instance_id").agg(F.count(F.lit(1)).alias("c")).where("c > 5").select("instance_id")
+    p = p.join(big, "instance_id", "left_semi")
+    m = F.pmod(F.col("instance_id"), F.lit(6))
+    steps = outputs.vehicle_routes(parity_routes(p))
+    last = F.max("pos").over(Window.partitionBy("instance_id", "vehicle"))
+    kind = F.when(F.col("pos") == 0, "start").when(F.col("pos") == last, "end").otherwise("job")
+    steps = steps.withColumn("kind", kind)
+    changed = steps.where(~((m == 0) & (F.col("idx") == 1))).withColumn("idx", F.when((m == 1) & (F.col("idx") == 3), 1).when((m == 2) & (F.col("idx") == 3), 99).otherwise(F.col("idx"))).withColumn("kind", F.when((m == 3) & (F.col("kind") == "start"), "job").otherwise(F.col("kind")))
+    more = steps.where((m == 4) & (F.col("idx") == 1)).select("instance_id", "vehicle", F.explode(F.sequence(F.lit(100), F.lit(140))).alias("pos"), "idx", "kind").withColumn("pos", F.col("pos") / 1000 + 1)
+    return joint.validated(changed.withColumn("pos", F.col("pos").cast("double")).unionByName(more), p.where("idx > 0"), cap=35)
+
+
+@query("joint_payloads", f"""WITH {CELLS_SQL}, r AS (SELECT instance_id, i, '[' || string_agg(dur_s::VARCHAR, ',' ORDER BY j) || ']' AS r FROM cells GROUP BY 1, 2),
+g AS (SELECT instance_id, count(*) - 1 AS n, '[' || string_agg(r, ',' ORDER BY i) || ']' AS m FROM r GROUP BY 1)
+SELECT instance_id, md5('{{"jobs":[' || coalesce((SELECT string_agg('{{"id":' || x || ',"location_index":' || x || ',"delivery":[1],"service":0}}', ',' ORDER BY x) FROM (SELECT unnest(range(1, g.n + 1)) AS x)), '') || '],"vehicles":[{{"id":1,"profile":"car","start_index":0,"end_index":0,"capacity":[35]}},{{"id":2,"profile":"car","start_index":0,"end_index":0,"capacity":[35]}}],"matrices":{{"car":{{"durations":' || m || '}}}}}}') AS digest FROM g""")
+def joint_payloads(spark, sf_dir):
+    return joint.payloads(packed_world(spark, sf_dir)[1], 35).select("instance_id", F.md5("payload").alias("digest"))
+
+
+# ------------------------------------------------------------------- text, sinks
+
+
+@query("counts_texts", """WITH c AS (SELECT l_orderkey AS k, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT k, string_agg(f || '=' || n, ';' ORDER BY f) AS counts FROM c GROUP BY 1""")
+def counts_texts(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("k").agg(text.counts_text(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n")))).alias("counts"))
+
+
+@query("stage_texts", """SELECT l_orderkey AS k, string_agg('line' || l_linenumber || '=' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS stages, min(l_partkey) FILTER (WHERE l_linenumber = 2) AS second_ms FROM lineitem GROUP BY 1""")
+def stage_texts(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("line"), "l_linenumber").alias("stage"), F.col("l_partkey").alias("elapsed_ms")))).alias("s"))
+    return s.select("k", text.stages_text(F.col("s"), "elapsed_ms").alias("stages"), text.stage_ms(F.col("s"), "line2").alias("second_ms"))
+
+
+@query("source_texts", """WITH c AS (SELECT l_orderkey AS k, l_returnflag AS f, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY 1, 2)
+SELECT k, string_agg(f || ':r=' || n || ',d=' || m || ',s=0,x=0,f=0,u=' || n, ';' ORDER BY f) AS sources FROM c GROUP BY 1""")
+def source_texts(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("source")).agg(F.count(F.lit(1)).alias("raw"), F.max("l_linenumber").alias("duplicate"))
+    zero = F.lit(0)
+    entry = F.struct("source", "raw", F.col("duplicate").cast("long").alias("duplicate"), zero.alias("size"), zero.alias("disconnected"), zero.alias("failed"), F.col("raw").alias("unique"))
+    return n.groupBy("k").agg(text.source_text(F.collect_list(entry)).alias("sources"))
+
+
+@query("cells_and_numbers", """SELECT e.o_orderkey AS k, coalesce(o_orderstatus, '') AS cell, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 3)::DOUBLE END AS number,
+o_orderstatus || ' / ' || o_orderpriority AS list, split_part('fam' || o_orderkey % 4 || ':x:y', ':', 1) AS family FROM orders e""")
+def cells_and_numbers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 3 == 0, F.lit(" ")).otherwise((k % 3).cast("string"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("k"), text.cell(F.col("o_orderstatus")).alias("cell"), text.number(raw).alias("number"), text.cell_list(F.array("o_orderstatus", "o_orderpriority")).alias("list"),
+        text.source_family(F.concat(F.lit("fam"), (k % 4).cast("string"), F.lit(":x:y"))).alias("family"),
+    )
+
+
+@query("share_chunks", """WITH c AS (SELECT doc_id, text, greatest(1, ceil(length(text) / 1000.0)) AS n FROM documents)
+SELECT doc_id, n::INTEGER AS n, md5((SELECT string_agg('~' || substr(text, (i * 1000 + 1)::INTEGER, 1000), '' ORDER BY i) FROM (SELECT unnest(range(n::BIGINT)) AS i))) AS digest, true AS whole FROM c""")
+def share_chunks(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", text.chunks(F.col("text"), 1000).alias("c"))
+    return c.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "")).alias("digest"), (text.joined_chunks(F.col("c")) == F.col("text")).alias("whole"))
+
+
+@query("html_safe_pages", """SELECT page_id, md5(replace(replace(replace(html, '<', chr(92) || 'u003c'), chr(8232), chr(92) || 'u2028'), chr(8233), chr(92) || 'u2029')) AS digest FROM pages""")
+def html_safe_pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.html_safe(F.col("html"))).alias("digest"))
+
+
+@query("app_addresses", """WITH u AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'http://a.example.org/s/x/exec' WHEN 2 THEN 'https://a.example.org/s/x/exec?y=1' WHEN 3 THEN 'https://evil.net/s/x/exec' WHEN 4 THEN 'https://a.example.org/s/x/dev' WHEN 5 THEN 'https://a.example.org/s/x' ELSE 'https://a.example.org/s/id' || page_id || '/exec' END AS u FROM pages)
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'not https' WHEN 2 THEN 'has parameters' WHEN 3 THEN 'foreign host' WHEN 4 THEN 'not a deployment' WHEN 5 THEN 'not an exec address' END AS fault,
+CASE WHEN page_id % 7 IN (1, 3) THEN 'x' WHEN page_id % 7 = 6 THEN 'id' || page_id END AS deployment FROM u""")
+def app_addresses(spark, sf_dir):
+    k = F.col("page_id")
+    base = "https://a.example.org/s/"
+    u = F.when(k % 7 == 0, "").when(k % 7 == 1, "http://a.example.org/s/x/exec").when(k % 7 == 2, base + "x/exec?y=1").when(k % 7 == 3, "https://evil.net/s/x/exec").when(k % 7 == 4, base + "x/dev").when(k % 7 == 5, base + "x").otherwise(F.concat(F.lit(base + "id"), k.cast("string"), F.lit("/exec")))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.valid_app_url(u, ("example.org",)).alias("fault"), text.deployment_id(u).alias("deployment"))
+
+
+@query("file_names", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'map' ELSE 'map_' || left(regexp_replace(o_orderpriority || o_orderkey, '[^A-Za-z0-9_-]', '', 'g'), 40) END || '_' || strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d_%H-%M') AS name FROM orders""")
+def file_names(spark, sf_dir):
+    sig = F.when(F.col("o_orderkey") % 3 != 0, F.concat("o_orderpriority", F.col("o_orderkey").cast("string")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), text.file_name(sig, F.col("o_orderdate").cast("timestamp")).alias("name"))
+
+
+@query("scrubbed_texts", r"""SELECT conv_id, turn, md5(left(regexp_replace(text, '(?im)^.*(?:authorization|api[_-]?key|token|secret|password).*$', '[hidden]', 'g'), 400)) AS digest FROM conversations""")
+def scrubbed_texts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.md5(text.scrubbed(F.col("text"))).alias("digest"))
+
+
+MAP_SQL = POINTS_SQL + """, stops AS (
+  SELECT instance_id, CASE WHEN idx % 2 = 1 THEN 1 ELSE 2 END AS vehicle, idx, row_number() OVER (PARTITION BY instance_id, idx % 2 ORDER BY idx) AS pos FROM points WHERE idx > 0
+), ends AS (SELECT instance_id, vehicle, 0 AS pos, 'D' AS label, 'start' AS role FROM stops GROUP BY 1, 2 UNION ALL SELECT instance_id, vehicle, max(pos) + 1, 'A', 'end' FROM stops GROUP BY 1, 2),
+seen AS (SELECT instance_id, vehicle, pos, pos::VARCHAR AS label, 'collection' AS role FROM stops UNION ALL SELECT * FROM ends)"""
+
+
+@query("map_stops", f"WITH {MAP_SQL} SELECT instance_id, vehicle, pos::INTEGER AS pos, label, role FROM seen")
+def map_stops(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return outputs.map_stops(parity_stops(p), p).select("instance_id", "vehicle", "pos", "label", "role")
+
+
+@query("side_by_side", f"""WITH {MAP_SQL}, named AS (SELECT s.instance_id, s.vehicle, s.pos, p.id FROM (SELECT instance_id, vehicle, idx, pos FROM stops UNION ALL SELECT instance_id, vehicle, 0, pos FROM ends) s JOIN points p USING (instance_id, idx))
+SELECT coalesce(a.instance_id, b.instance_id) AS instance_id, coalesce(a.pos, b.pos)::INTEGER AS pos, coalesce(a.id, '') AS id_1, coalesce(b.id, '') AS id_2 FROM (SELECT * FROM named WHERE vehicle = 1) a FULL JOIN (SELECT * FROM named WHERE vehicle = 2) b ON a.instance_id = b.instance_id AND a.pos = b.pos""")
+def side_by_side(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    return outputs.side_by_side(parity_stops(p), p).select("instance_id", "pos", "id_1", "id_2")
+
+
+@query("mode_texts", """SELECT o_orderkey AS instance_id, CASE o_orderkey % 4 WHEN 0 THEN 'joint routing' WHEN 1 THEN 'capacitated routing' WHEN 2 THEN 'mine' ELSE 'unknown' END || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' + 2-opt + swaps' END || CASE WHEN o_orderkey % 5 = 0 THEN ' + (quota)' ELSE '' END AS mode FROM orders""")
+def mode_texts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    r = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("instance_id"), F.when(k % 4 == 0, "vroom").when(k % 4 == 1, "ortools").alias("engine"), F.when(k % 4 != 3, "mine").alias("strategy"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("2-opt"), F.lit("swaps"))).alias("steps"), F.when(k % 5 == 0, False).when(k % 5 == 1, True).alias("joint_used"), F.lit("quota").alias("error"),
+    )
+    return outputs.mode_text(r)
+
+
+@query("map_answers", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'ok' WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 'partial' ELSE 'failed' END AS status FROM orders")
+def map_answers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    a, b = (F.when(k % m == 0, "ok").otherwise("timeout") for m in (2, 3))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), providers.map_answer(a, b).alias("status"))
+
+
+@query("live_shares", """SELECT count(*) AS shares, count(*) FILTER (WHERE ts + INTERVAL 30 DAYS >= (SELECT max(ts) FROM events)) AS live FROM events""")
+def live_shares(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts")
+    latest = e.agg(F.max("ts").alias("now"))
+    joined = e.join(F.broadcast(latest))  # one row
+    return joined.agg(F.count(F.lit(1)).alias("shares"), F.count_if(F.col("ts") + F.expr("INTERVAL 30 DAYS") >= F.col("now")).alias("live"))
+
+
+# ------------------------------------------------------------- kernels and plans
+
+
+@query("nearest_routes")
+def nearest_routes(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    g = parity_members(p).groupBy("instance_id", F.when(F.col("side") == "a", 1).otherwise(2).alias("vehicle")).agg(F.array_sort(F.collect_list("idx")).alias("members"))
+    return search.nearest_routes(g, packed, settings(spark))
+
+
+@query("polished_routes")
+def polished_routes(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    return search.polished_routes(parity_routes(p).select("instance_id", F.array("route_a", "route_b").alias("routes")), packed, settings(spark))
+
+
+@query("swapped_routes")
+def swapped_routes(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    return search.swapped_routes(parity_routes(p).select("instance_id", F.array("route_a", "route_b").alias("routes")), packed, settings(spark))
+
+
+@query("partition_candidates")
+def partition_candidates(spark, sf_dir):
+    return search.candidates(packed_world(spark, sf_dir)[1], settings(spark))
+
+
+def _strategy(name):
+    def run(spark, sf_dir):
+        p, packed = packed_world(spark, sf_dir)
+        return strategies.PLANS[name](p, packed, settings(spark))
+
+    return run
+
+
+for _short, _name in zip(("kmeans", "crow_capacity", "separable", "connected", "hybrid"), STRATEGIES, strict=True):
+    query(f"strategy_{_short}")(_strategy(_name))
+
+
+@query("solved_requests")
+def solved_requests(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    return strategies.solve(requests.parse(request_bodies(spark, sf_dir)), p, packed, settings(spark)).drop("boundary")
+
+
+@query("run_log")
+def run_log(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    best = strategies.separable(p, packed, settings(spark))
+    signed = p.groupBy("instance_id").agg(text.ids_signature(F.collect_list("id")).alias("signature"))
+    return outputs.run_log(best, requests.parse(request_bodies(spark, sf_dir)), signed)
+
+
+@query("map_payloads")
+def map_payloads(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    best = strategies.separable(p, packed, settings(spark))
+    return outputs.map_payload(outputs.vehicle_routes(best), p, best).select("instance_id", F.to_json(F.struct("routes", "certificate")).alias("payload"))

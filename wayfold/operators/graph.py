@@ -39,36 +39,30 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("instance_id", "u", "v").unionByName(edges.select("instance_id", F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("instance_id",), most_rounds: int = 12) -> DataFrame:
-    """label: the smallest node that each node (u) reaches over the edges within its key.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """label: the smallest node that each node (u) of an instance reaches over the edges between its nodes.
 
-    Labels spread along edges and jump to their own label's label, so a
-    component of n nodes settles in about log n rounds; ``most_rounds`` allows
-    for 2^12 nodes on a path and costs nothing for settled instances beyond a
-    join, as instances are bounded by their request.
+    An instance is bounded by its request, so its graph travels as one row and
+    is settled in one pass.
     """
-    keys = list(keys)
-    label = nodes.select(*keys, "u", F.col("u").alias("label"))
-    links = edges.select(*keys, "u", "v")
-    links = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    inside = links.join(nodes.select(*keys, "u"), [*keys, "u"], "left_semi").join(nodes.select(*keys, F.col("u").alias("v")), [*keys, "v"], "left_semi")
-    grouped = inside.groupBy(*keys).agg(F.collect_list(F.struct("u", "v")).alias("links"))
-    packed = label.groupBy(*keys).agg(F.array_sort(F.collect_list("u")).alias("nodes")).join(grouped, keys, "left")
-    start = F.map_from_arrays(F.col("nodes"), F.col("nodes"))
-
-    def spread(labels, _):
-        near = F.transform("links", lambda e: F.struct(e["u"].alias("k"), F.element_at(labels, e["v"]).alias("x")))
-        least = lambda u: F.array_min(F.concat(F.array(F.element_at(labels, u)), F.transform(F.filter(near, lambda e: e["k"] == u), lambda e: e["x"])))
-        moved = F.map_from_arrays(F.col("nodes"), F.transform("nodes", least))
-        return F.map_from_arrays(F.col("nodes"), F.transform("nodes", lambda u: F.element_at(moved, F.element_at(moved, u))))
-
-    final = F.when(F.col("links").isNull(), start).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), start, spread))
-    return packed.select(*keys, F.explode(final).alias("u", "label"))
-
-
-def component_summary(labels: DataFrame, keys: tuple[str, ...] = ("instance_id",)) -> DataFrame:
+    from wayfold.operators.kernels import adjacency, parts
+    from wayfold.operators.search import per_row
+
+    links = edges.groupBy("instance_id").agg(F.collect_list(F.struct("u", "v")).alias("links"))
+    packed = nodes.groupBy("instance_id").agg(F.collect_set("u").alias("nodes")).join(links, "instance_id", "left")
+
+    def labels(row):
+        adj = adjacency((e["u"], e["v"]) for e in row["links"] or [])
+        for part in parts(row["nodes"], adj):
+            for u in part:
+                yield row["instance_id"], u, part[0]
+
+    return per_row(packed, labels, "instance_id long, u int, label int")
+
+
+def component_summary(labels: DataFrame) -> DataFrame:
     """count, sizes (descending), and components ordered by size and least node."""
-    keys = list(keys)
+    keys = ["instance_id"]
     each = labels.groupBy(*keys, "label").agg(F.array_sort(F.collect_list("u")).alias("nodes"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.size("nodes")).alias("s"), F.col("label").alias("l"), "nodes")))
     out = each.groupBy(*keys).agg(ordered.alias("c"))

@@ -265,7 +265,7 @@ def joint_orders(packed: DataFrame, settings: Settings) -> DataFrame:
             t = orders[name]
             groups = [t[k * n // v : (k + 1) * n // v] for k in range(v)]
             routes = [K.shortest_order(i.dur, g, i.start, i.end) for g in groups]
-            routes, _ = K.swap_between(i.dur, i.km, routes, i.start, i.end, settings.max_per_vehicle, border_km=1e9)
+            routes, _ = K.swap_between(i.dur, i.km, routes, i.start, i.end, settings.max_per_vehicle, rounds=1, border_km=1e9)
             if v == 2:
                 yield i.solution(f"joint:{name}", "vroom", routes[0][1:-1], routes[1][1:-1], *routes, i.strict)
 

@@ -169,3 +169,23 @@ def test_catalog_agrees_with_sql(spark):
         rows = sorted(shown(r[c] for c in columns) for r in got.collect())
         at = [want.columns.index(c) for c in columns]
         assert rows == sorted(shown(r[k] for k in at) for r in want.fetchall()), name
+
+
+def test_penalty_and_responses(spark, grids):
+    pts, packed = grids
+    s = Settings(alns_iterations=30)
+    best = strategies.hybrid(pts, packed, s)
+    ref = search.reference_solutions(packed, s)
+    got = {r.instance_id: r for r in selection.connectivity_penalty(best, ref).collect()}
+    assert got[0].reliable and got[0].penalty_s == pytest.approx(got[0].duration_s - got[0].reference_s)
+    solved = best.withColumns({"strategy": F.lit("hybrid_local_vroom_territorial"), "strategy_used": F.lit("hybrid_local_vroom_territorial"), "error": F.lit(None).cast("string")})
+    body = {r.instance_id: json.loads(r.response) for r in outputs.responses(solved, pts, world.cells(pts)).collect()}
+    assert body[0]["status"] == 200 and sorted(x for t in body[0]["tours"] for x in t["ids"][1:-1]) == sorted(map(str, range(1, 25))) and sum(body[0]["partition_sizes"]) == 24
+
+
+def test_generators_fall_back(spark, grids, monkeypatch):
+    _, packed = grids
+    i = search.Instance(packed.where("instance_id = 9").first().asDict(recursive=True), Settings())
+    monkeypatch.setattr(search.K, "tree_cuts", lambda *a: 1 // 0)
+    found = list(search.with_fallback(i))
+    assert any(f[1].startswith("plain") for f in found) and any(f[1].startswith("legacy") for f in found)

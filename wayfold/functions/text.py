@@ -124,6 +124,11 @@ def joined_chunks(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.substring(p, F.lit(2), F.length(p))), "")
 
 
+def nested(block: Column, field: str, default) -> Column:
+    """A field of a struct that may be null, with a default."""
+    return F.coalesce(block[field], F.lit(default))
+
+
 def html_safe(text: Column) -> Column:
     """JSON that may stand inside a page's script: "<" and the two line separators are escaped."""
     out = F.replace(text, F.lit("<"), F.lit("\\u003c"))

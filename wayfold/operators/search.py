@@ -153,17 +153,40 @@ def raw_candidates(i: Instance) -> Iterator[tuple]:
         yield 2, "two_medoids", *K.two_medoids(i.idx, i.dur, target, (p, q))
     for a, b, _ in K.separable(i.idx, i.xy, s.per_source, (0, 1, -1, 2, -2), s.separable_max_angles):
         yield 2, "sweep", a, b
+    for a, b in started[: s.local_seeds]:
+        if K.verdict(a, b, i.idx, target, i.adj) == "ok":
+            x, y, _, swaps = K.exchange_search(a, b, i.adj, i.dur, i.start, i.end, min(4, s.local_iterations))
+            if swaps:
+                yield 3, "local_search", x, y
     for a, b in K.perturbations(started[:2], i.adj, s.perturbations, s.chain_length):
         yield 3, "perturbation", a, b
 
 
+def plain_candidates(i: Instance) -> Iterator[tuple]:
+    """A few straight splits and 2-means, resized and repaired: what remains when the full set of generators fails on an instance."""
+    if len(i.idx) < 2:
+        return
+    for source, (a, b) in [*(("plain:straight", p[:2]) for p in K.separable(i.idx, i.xy, 8)), ("plain:means", K.two_means(i.idx, i.xy, i.target))]:
+        a, b = K.resize(a, b, i.idx, i.target, i.xy)
+        a, b, _, _ = K.repair(a, b, i.adj, i.km, i.dur, i.start, i.end, i.target)
+        yield 0, source, a, b
+
+
+def with_fallback(i: Instance) -> Iterator[tuple]:
+    """All candidates; those found so far and the plain ones where a generator fails."""
+    try:
+        yield from raw_candidates(i)
+    except (ArithmeticError, IndexError, ValueError):
+        yield from plain_candidates(i)
+
+
 def candidates(packed: DataFrame, settings: Settings) -> DataFrame:
     """Candidates of all generators, those that aren't sound repaired once, with their verdict."""
 
     def run(row):
         i = Instance(row, settings)
         seen: set = set()
-        for seq, (stage, source, a, b) in enumerate(raw_candidates(i)):
+        for seq, (stage, source, a, b) in enumerate(with_fallback(i)):
             if seq >= settings.max_raw:
                 break
             key = K.key_of(a, b)
@@ -226,6 +249,18 @@ def diverse_finalists(solutions: DataFrame, packed: DataFrame, settings: Setting
     return per_row(with_instance(rows, packed), run, SOLUTION, 1)
 
 
+def reference_solutions(packed: DataFrame, settings: Settings) -> DataFrame:
+    """Capacitated routing by road with exactly even cardinality and no demand for connection: what the winner is measured against."""
+
+    def run(row):
+        i = Instance(row, settings)
+        if len(i.idx) >= 2:
+            ra, rb = K.capacitated(i.dur, i.lat, i.lon, i.idx, 2, -(-len(i.idx) // 2), i.start, i.end)
+            yield i.solution("reference", "ortools", ra[1:-1], rb[1:-1], ra, rb, i.adj)
+
+    return per_row(packed, run, SOLUTION, 1)
+
+
 def kmeans_solutions(packed: DataFrame, settings: Settings) -> DataFrame:
     """Partitions made of k-means sub-clusters, the four cheapest by the crow ordered by road."""
 

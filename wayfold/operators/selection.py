@@ -90,6 +90,15 @@ def arbitrate(before: DataFrame, after: DataFrame, tie_seconds: float = 30.0) ->
     return b.join(a, "instance_id").select("instance_id", verdict.alias("verdict"), "b_duration_s", "a_duration_s", "b_distance_m", "a_distance_m")
 
 
+def connectivity_penalty(best: DataFrame, reference: DataFrame) -> DataFrame:
+    """What connection costs: the winner's duration and distance against the reference's, reliable where the reference is even."""
+    r = reference.select("instance_id", F.col("duration_s").alias("reference_s"), F.col("distance_m").alias("reference_m"), F.col("cardinality_ok").alias("reliable"))
+    share = F.when(F.col("reference_s") > 0, F.round((F.col("duration_s") / F.col("reference_s") - 1) * 100, 2))
+    return best.join(r, "instance_id", "left").select(
+        "instance_id", "duration_s", "reference_s", (F.col("duration_s") - F.col("reference_s")).alias("penalty_s"), (F.col("distance_m") - F.col("reference_m")).alias("penalty_m"), share.alias("penalty_pct"), F.coalesce("reliable", F.lit(False)).alias("reliable")
+    )
+
+
 def deduplicated(candidates: DataFrame, key: Column, order: list) -> DataFrame:
     """The first candidate of each key, by stage and place in its stage."""
     w = Window.partitionBy("instance_id", key).orderBy(*order)

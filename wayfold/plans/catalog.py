@@ -791,6 +791,19 @@ def solved_requests(spark, sf_dir):
     return strategies.solve(requests.parse(request_bodies(spark, sf_dir)), p, packed, settings(spark)).drop("boundary")
 
 
+@query("connectivity_penalty")
+def connectivity_penalty(spark, sf_dir):
+    p, packed = packed_world(spark, sf_dir)
+    return selection.connectivity_penalty(strategies.hybrid(p, packed, settings(spark)), search.reference_solutions(packed, settings(spark)))
+
+
+@query("responses")
+def responses(spark, sf_dir):
+    p = world.points(spark, sf_dir)
+    c = world.cells(p)
+    return outputs.responses(strategies.solve(requests.parse(request_bodies(spark, sf_dir)), p, matrix.packed(p, c), settings(spark)), p, c)
+
+
 @query("run_log")
 def run_log(spark, sf_dir):
     p, packed = packed_world(spark, sf_dir)

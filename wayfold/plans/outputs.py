@@ -34,6 +34,24 @@ def side_by_side(stops: DataFrame, points: DataFrame) -> DataFrame:
     return one(1).join(one(2), ["instance_id", "pos"], "full").na.fill("")
 
 
+def responses(solved: DataFrame, points: DataFrame, cells: DataFrame) -> DataFrame:
+    """One JSON text per request: status, strategy, sizes, signature, certificate, and each vehicle's ids, kilometres and minutes."""
+    from wayfold.functions.text import ids_signature
+
+    found = solved.where("route_a IS NOT NULL")
+    stops = vehicle_routes(found)
+    ids = stops.join(points.select("instance_id", "idx", "id"), ["instance_id", "idx"]).groupBy("instance_id", "vehicle").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("o"))
+    per = ids.select("instance_id", "vehicle", F.transform("o", lambda e: e["id"]).alias("ids")).join(vehicle_totals(stops, cells), ["instance_id", "vehicle"])
+    tours = per.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("vehicle", "ids", "km", "min"))).alias("tours"))
+    signed = points.groupBy("instance_id").agg(ids_signature(F.collect_list("id")).alias("points_signature"))
+    body = solved.join(tours, "instance_id", "left").join(signed, "instance_id", "left")
+    fields = [
+        F.when(F.col("error").isNull(), 200).otherwise(400).alias("status"), "error", F.col("strategy").alias("strategy_requested"), "strategy_used", "sequencer", "source", "duration_s", "distance_m",
+        "connected", "cardinality_ok", "components_total", "boundary", F.when(F.col("group_a").isNotNull(), F.array(F.size("group_a"), F.size("group_b"))).alias("partition_sizes"), "points_signature", "tours",
+    ]
+    return body.select("instance_id", F.to_json(F.struct(*fields)).alias("response"))
+
+
 def mode_text(results: DataFrame) -> DataFrame:
     """How a result came about: the engine, or the strategy, then the steps; a fallback's reason only where the joint solve is known not to have run."""
     label = F.coalesce(*[F.when(F.col("engine") == k, v) for k, v in ENGINE_LABELS.items()], F.col("strategy"), F.lit("unknown"))

@@ -65,10 +65,10 @@ class DigestIndex:
         if self.exists():
             known = self.read()
             fresh = groups.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti")
-            fresh = materialise(fresh, "fresh-digests")
+            fresh = materialise(fresh, "fresh-digests")  # as the index stands before this batch is appended
             held = known.select("text_sha256", F.col("keep_id").alias("held_id"))
             of_batch = groups.join(held, "text_sha256", "left").select("text_sha256", F.coalesce("held_id", "keep_id").alias("keep_id"), F.col("held_id").isNotNull().alias("held"), "n")
-            of_batch = materialise(of_batch, "batch-digests")  # as the index stands before this batch is appended
+            of_batch = materialise(of_batch, "batch-digests")
         else:
             fresh = materialise(groups, "fresh-digests")
             of_batch = fresh.withColumn("held", F.lit(False))

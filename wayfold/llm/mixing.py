@@ -122,15 +122,13 @@ def leaves(spark: SparkSession, quotas: np.ndarray, shards: int, seed: int = SEE
 
 
 class Mix:
-    """The plan of a mix: target and draws of each block, computed once and kept in the shared folder."""
+    """The plan of a mix: target and draws of each block, computed once and kept."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_words: int = SHARD_WORDS):
         self.id_col, self.text_col, self.source_col, self.seed = id_col, text_col, source_col, seed
         spark = docs.sparkSession
-        self.sizes = materialise(
-            docs.select(F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size")), "mix-sizes"
-        )
-        self.targets = materialise(targets(self.sizes), "mix-targets")
+        self.sizes = materialise(docs.select(F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size")), "mix-sizes")
+        self.targets = materialise(targets(self.sizes), "mix-targets", 1)
         if self.targets.count() > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources; merge rare sources into one before mixing")
         rows = max(1, self.targets.agg(F.sum("rows")).first()[0] or 0)

@@ -33,8 +33,10 @@ from wayfold.llm.store import documents
 BITS = 14
 FACTORS = 8
 #: Labelled rows that the model is fitted on at most; their features go to the driver (about 5 kB a row).
-MAX_ROWS = 8000
+MAX_ROWS = 5000
+#: Passes over the rows; more where they give fewer than STEPS batches.
 EPOCHS = 6
+STEPS = 250
 BATCH = 128
 RATE = 0.08
 DECAY = 2e-6
@@ -121,9 +123,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, se
         model.v[:] = 0
         model.w[CONSTANT] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return model
-    weight = {1: len(rows) / 2 / positive, 0: len(rows) / 2 / (len(rows) - positive)}
     past_w, past_v = np.full(WIDTH, 1e-4), np.full((WIDTH, FACTORS), 1e-4)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * min(BATCH, len(rows)) // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             some = [rows[i] for i in order[at : at + BATCH]]
@@ -131,7 +132,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, se
             ids, x = np.concatenate([r[0] for r in some]), np.concatenate([r[1] for r in some])
             starts, of = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(some)), sizes)
             vx, s, p = model.parts(ids, x, starts)
-            g = (p - [r[2] for r in some]) * [weight[r[2]] for r in some] / len(some)
+            g = (p - [r[2] for r in some]) / len(some)
             gx = g[of] * x
             grad_w = np.bincount(ids, gx, WIDTH)
             grad_v = np.stack([np.bincount(ids, gx * (s[of, k] - vx[:, k]), WIDTH) for k in range(FACTORS)], 1)
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
         ids, x = batch.column("ids"), batch.column("x")
         for i, (doc_id, quality) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), strict=True)):
             a, b = ids[i].values.to_numpy(), x[i].values.to_numpy()
-            rows.append(((doc_id, quality, len(a), zlib.crc32(a.tobytes())), (a, b.astype(float), quality)))
+            rows.append(((doc_id, quality, len(a), zlib.crc32(a.tobytes())), (a, b, quality)))
     rows.sort(key=lambda r: r[0])
     return fit([r for _, r in rows])
 

@@ -45,6 +45,8 @@ HASH_SEED = 42
 RUN = 200_000
 #: Hashes whose bits are counted at a time.
 PIECE = 1 << 14
+#: Links that one file of a step holds, about.
+EDGES_A_FILE = 500_000
 #: Generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0xC75
 
@@ -286,7 +288,7 @@ def links(distinct: DataFrame, keys=keys_of, most: int = MOST, run_limit: int =
         dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseAND(F.lit((1 << 62) - 1)).alias("key")
         whole = _link(None, most)
-        more = materialise(dealt.select(pair, "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(whole, LINKS), "links-of-large-keys")
+        more = dealt.select(pair, "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(whole, LINKS)
         found = found.where(F.col("b").isNotNull()).unionByName(more)
     return found.select("a", "b").where("a <> b").distinct()
 
@@ -299,14 +301,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     alternate until nothing changes, which takes about log n rounds.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    state = None
+    files, state = 1 + edges.count() // EDGES_A_FILE, None  # steps never add edges
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialise(small, label)
+        edges = materialise(small, label, files)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now == state or now[0] == 0:
             break
@@ -319,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint and component_id of every row."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    stars = materialise(components(links(groups)), "stars")
+    stars = components(links(groups))
     member = stars.join(groups, stars["node"] == groups["fp"]).select("fp", "root", "least")
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = member.join(of_root, "root").select("fp", "component_id")
@@ -417,7 +419,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         yield flush(found)
 
     keyed = printed.select(*names).distinct().mapInArrow(expand, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    between = materialise(keyed.mapInArrow(rising, "a long, b long").distinct(), "wide-links")
+    between = keyed.mapInArrow(rising, "a long, b long").distinct()
     first = printed.groupBy("p0").agg(F.min("rk").alias("hub"))
     hubs = first.select(F.col("p0").alias("a"), F.col("hub").alias("x")), first.select(F.col("p0").alias("b"), F.col("hub").alias("y"))
     pairs = between.join(hubs[0], "a").join(hubs[1], "b").select("x", "y")
@@ -438,11 +440,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     both = pairs.join(grams.select(F.col("rk").alias("x"), F.col("grams").alias("g1")), "x").join(grams.select(F.col("rk").alias("y"), F.col("grams").alias("g2")), "y")
     similar = both.select("x", "y", "g1", "g2").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    stars = materialise(components(similar, "similar"), "similar-stars")
+    stars = components(similar, "similar")
     ids = printed.select(F.col("rk").alias("node"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
     member = stars.join(ids, "node")
-    keep = member.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("keep_rk"))
-    return member.join(keep, "root").select(F.col("node").alias("rk"), "keep_rk")
+    stays = member.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("keep_rk"))
+    return member.join(stays, "root").select(F.col("node").alias("rk"), "keep_rk")
 
 
 def row_key(id_col: str, text_col: str):
@@ -452,7 +454,7 @@ def row_key(id_col: str, text_col: str):
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each group of near copies."""
-    gone = materialise(near_copies(docs, id_col, text_col).where("rk <> keep_rk").select(F.col("rk").alias("_gone")), "near-copies")
+    gone = near_copies(docs, id_col, text_col).where("rk <> keep_rk").select(F.col("rk").alias("_gone"))
     rows = docs.withColumn("_rk", row_key(id_col, text_col))
     return rows.join(gone, F.col("_rk") == F.col("_gone"), "left_anti").select(*docs.columns)
 

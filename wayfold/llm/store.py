@@ -1,9 +1,9 @@
-"""Shared storage for intermediate tables.
+"""Storage of intermediate tables.
 
-Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir``, which
-every executor shares, and reading it again: a lost executor then costs a
-re-read and never a recomputation, and the table's true size is known to the
-planner.
+``materialise`` cuts lineage: it writes a Parquet table below
+``spark.checkpoint.dir``, which every executor shares, and reads it again, so a
+lost executor costs a re-read, and stages that run side by side don't compute
+the same rows twice, as they may with a cached table.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{FOLDER}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of it."""
+def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in ``files`` files or four a core at most, and return a scan of it."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.coalesce(files or 4 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +49,17 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bytes of input that an output partition stands for, about.
+OUTPUT_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its source's size calls for, so that small inputs don't end as many tiny files.
+
+    Large inputs keep the partitions they have.
+    """
+    spark = df.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, size // OUTPUT_BYTES)))

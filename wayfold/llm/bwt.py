@@ -5,81 +5,108 @@ from __future__ import annotations
 import numpy as np
 
 
+class Alphabet:
+    """Symbols of a collection: 0 for terminators, then the bytes that occur, closely numbered.
+
+    With up to 255 of them two symbols fit 16 bits, and a round of the merge
+    takes two symbols at a time; else it takes one.
+    """
+
+    def __init__(self, strings: list[bytes]):
+        present = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+        self.code = np.zeros(256, np.uint16)
+        self.code[present] = np.arange(1, len(present) + 1)
+        self.size = len(present) + 1
+        self.step = 2 if self.size <= 256 else 1
+
+
 class Shard:
     """The transform of a collection of byte strings, each closed by a terminator of its own.
 
-    ``bwt`` holds the symbol before each suffix (byte + 1; 0 for a terminator),
-    ``at`` the suffix's place in the concatenation.  Suffixes are in order of
-    their first ``depth`` symbols at least; terminators rank below all bytes,
-    in order of their strings.
+    ``before`` holds the ``step`` symbols before each suffix, cyclically within
+    its string, as one number; ``closed`` tells which of them reach a
+    terminator; ``at`` is the suffix's place in the concatenation.  Suffixes are
+    in order of their first ``depth`` symbols at least; terminators rank below
+    all bytes, in order of their strings.
     """
 
-    def __init__(self, bwt: np.ndarray, at: np.ndarray, ends: int, classes: np.ndarray | None = None):
-        self.bwt, self.at, self.ends, self.classes = bwt, at, ends, classes
+    def __init__(self, before: np.ndarray, closed: np.ndarray, at: np.ndarray, classes: np.ndarray | None = None):
+        self.before, self.closed, self.at, self.classes = before, closed, at, classes
 
 
-def build(strings: list[bytes], base: int, depth: int) -> Shard:
+def build(strings: list[bytes], base: int, depth: int, alphabet: Alphabet) -> Shard:
     """The transform of one shard by prefix doubling; places count from ``base``."""
     sizes = np.array([len(s) + 1 for s in strings])
     stops = np.cumsum(sizes) - 1
-    symbols = np.zeros(int(sizes.sum()), np.int16)
-    inside = np.ones(len(symbols), bool)
+    n = int(sizes.sum())
+    symbols = np.zeros(n, np.uint16)
+    inside = np.ones(n, bool)
     inside[stops] = False
-    symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
+    symbols[inside] = alphabet.code[np.frombuffer(b"".join(strings), np.uint8)]
     rank = symbols.astype(np.int64) + len(strings)
     rank[stops] = np.arange(len(strings))
-    order, width, n = np.argsort(rank, kind="stable"), 1, len(symbols)
-    while width < depth:
+    width = 1
+    top = n + len(strings) + 300
+    while True:
         behind = np.zeros(n, np.int64)
-        behind[: n - width] = rank[width:] + 1  # beyond a terminator nothing counts, as terminators are unequal
-        key = rank * (n + len(strings) + 300) + behind
-        order = np.argsort(key, kind="stable")
+        behind[: max(0, n - width)] = rank[width:] + 1  # beyond a terminator nothing counts, as terminators are unequal
+        key = rank * top + behind
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         width *= 2
-    before = symbols[order - 1]
+        if width >= depth:
+            break
     starts = np.concatenate([[0], stops[:-1] + 1])
-    first = np.zeros(n, bool)
-    first[starts] = True
-    before[first[order]] = 0
-    return Shard(before, order + base, len(strings))
+    back = np.arange(n) - 1
+    back[starts] = stops
+    before, closed = symbols[back], back == np.repeat(stops, sizes)
+    if alphabet.step == 2:
+        two = back[back]
+        before = symbols[two] * np.uint16(alphabet.size) + before
+        closed = closed | closed[back]
+    return Shard(before[order], closed[order], order + base)
 
 
-def merge(a: Shard, b: Shard, depth: int) -> Shard:
+def merge(a: Shard, b: Shard, depth: int, step: int) -> Shard:
     """Merge two transforms without sorting suffixes again.
 
-    Round h orders the suffixes by h symbols: the symbols before the suffixes,
-    read in the present interleave, are dealt stably by symbol, which puts the
-    suffix one symbol longer behind each in its place.  Two neighbours part when
-    their first symbols or the parts of their remainders differ, so the round in
-    which a boundary appears is their longest common prefix plus one; after
-    ``depth`` rounds the parts are the classes of equal ``depth``-symbol prefixes.
+    A round orders the suffixes by ``step`` symbols more: what stands before
+    each suffix in the present interleave is dealt stably by symbol, which puts
+    the longer suffix in its place.  Two neighbours part when their first
+    symbols or the parts of their remainders differ, so the round in which a
+    boundary appears bounds their longest common prefix; after the last one the
+    parts are the classes of equal ``depth``-symbol prefixes.  Suffixes that
+    have met their terminator are alone, those of the first shard in front.
     """
-    n = len(a.bwt) + len(b.bwt)
+    n, na = len(a.at) + len(b.at), len(a.at)
+    every, shut = np.concatenate([a.before, b.before]), np.concatenate([a.closed, b.closed])
+    # the symbols in order are the same in every round, and so are their boundaries and the rows that have met a terminator
+    by_symbol = np.argsort(every, kind="stable")
+    ordered = every[by_symbol]
+    closed = np.flatnonzero(np.isin(ordered, np.unique(every[shut])))
+    heads = np.ones(n, bool)
+    heads[1:] = ordered[1:] != ordered[:-1]
+    heads[closed] = True
+    heads[closed[closed < n - 1] + 1] = True
+    closed_from_b = by_symbol[closed] >= na  # the stable sort has put the first shard's rows in front
     from_b = np.zeros(n, bool)
-    from_b[len(a.bwt) :] = True
-    part = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.int16)
-    ends = a.ends + b.ends
-    new = np.ones(n, bool)
-    for _ in range(depth):
-        symbol[~from_b] = a.bwt
-        symbol[from_b] = b.bwt
+    from_b[na:] = True
+    part, symbol = np.zeros(n, np.int32), np.empty(n, np.uint16)
+    for _ in range(-(-depth // step)):
+        symbol[~from_b] = a.before
+        symbol[from_b] = b.before
         deal = np.argsort(symbol, kind="stable")
-        from_b = from_b[deal]
-        from_b[: a.ends] = False
-        from_b[a.ends : ends] = True
-        sorted_symbol, behind = symbol[deal], part[deal]
-        new[1:] = (sorted_symbol[1:] != sorted_symbol[:-1]) | (behind[1:] != behind[:-1])
-        new[:ends] = True
-        part = np.cumsum(new, dtype=np.int32)
-    symbol[~from_b] = a.bwt
-    symbol[from_b] = b.bwt
-    at = np.empty(n, np.int64)
-    at[~from_b] = a.at
-    at[from_b] = b.at
-    return Shard(symbol, at, ends, part)
+        behind, from_b = part[deal], from_b[deal]
+        from_b[closed] = closed_from_b
+        new = behind[1:] != behind[:-1]
+        new |= heads[1:]
+        np.cumsum(new, out=part[1:])
+    source = np.empty(n, np.int64)
+    source[~from_b] = np.arange(na)
+    source[from_b] = np.arange(na, n)
+    return Shard(every[source], shut[source], np.concatenate([a.at, b.at])[source], part)
 
 
 def prefix_classes(strings: list[bytes], depth: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,22 +114,25 @@ def prefix_classes(strings: list[bytes], depth: int, shard_bytes: int) -> tuple[
 
     Places with one class have the same ``depth`` bytes before any terminator.
     """
+    alphabet = Alphabet(strings)
+    if depth % alphabet.step:
+        alphabet.step = 1
     shards, some, size, base, offset = [], [], 0, 0, 0
     starts = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    least = max(1, min(shard_bytes, int(starts[-1]) // 2))  # two shards at least
+    least = max(1, min(max(shard_bytes, int(starts[-1]) // 8), int(starts[-1]) // 2))  # two shards at least, eight at most
     for s in strings:
         some.append(s)
         size += len(s) + 1
         offset += len(s) + 1
         if size >= least:
-            shards.append(build(some, base, depth))
+            shards.append(build(some, base, depth, alphabet))
             some, size, base = [], 0, offset
     if some:
-        shards.append(build(some, base, depth))
+        shards.append(build(some, base, depth, alphabet))
     if len(shards) == 1:
-        shards.append(Shard(np.zeros(0, np.int16), np.zeros(0, np.int64), 0))
+        shards.append(Shard(shards[0].before[:0], shards[0].closed[:0], shards[0].at[:0]))
     while len(shards) > 1:
-        shards = [merge(*shards[i : i + 2], depth) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
+        shards = [merge(*shards[i : i + 2], depth, alphabet.step) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
     classes = np.empty(int(starts[-1]), np.int32)
     classes[shards[0].at] = shards[0].classes
     return classes, starts[:-1]

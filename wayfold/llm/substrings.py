@@ -42,10 +42,12 @@ from wayfold.llm.store import documents, materialise
 WIDTH = 100
 GRAM = 32
 #: Bytes that are hashed at a time; window places take 24 bits.
-PIECE = 1 << 21
-#: Bytes of a shard whose transform is built, and of segments that are merged together.
-SHARD_BYTES = 1 << 16
-TOGETHER = 1 << 17
+PIECE = 1 << 19
+#: Bytes of a shard whose transform is built, and of segments that are merged together: what a core's own cache holds.
+SHARD_BYTES = 4 << 10
+TOGETHER = 8 << 10
+#: Rows that a kernel gathers before it hands them on.
+ROWS = 1 << 17
 LARGE = 4096
 #: Bits of the filter that tells which documents have marks at all; 1 MB whatever the corpus.
 FILTER_BITS = 23
@@ -158,24 +160,33 @@ def _segments(batches):
     for batch in batches:
         data, offsets = _flat(batch.column("text"))
         ids, hashes = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
-        found = []
+        found, size = [], 0
         for a, b, start, stop in _pieces(offsets, PIECE, WIDTH):
             stops = np.append(offsets[a + 1 : b], stop) - start
-            at, windows, kh, sh = segmenter.cut(data[start:stop], stops[np.concatenate([[True], stops[1:] > stops[:-1]])] if len(stops) else stops)
+            at, windows, kh, sh = segmenter.cut(data[start:stop], np.unique(stops))
             doc = np.searchsorted(offsets[a + 1 : b + 1], at + start, "right") + a
             found.append((kh.view(np.int64), sh.view(np.int64), ids[doc], hashes[doc], (at + start - offsets[doc]) << 8 | windows))
-        if not found:
-            continue
-        kh, sh, doc, th, pn = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((pn, th, doc, sh, kh))
-        kh, sh, doc, th, pn = kh[order], sh[order], doc[order], th[order], pn[order]
-        again = np.zeros(len(kh), bool)
-        again[1:] = (kh[1:] == kh[:-1]) & (sh[1:] == sh[:-1])
-        pn = np.where(again, pn | REPEAT, pn)
-        kh = np.where(again, doc * np.int64(-7046029254386353131) + pn, kh)  # any key: dealt evenly
-        for at in range(0, len(kh), 65536):
-            some = slice(at, at + 65536)
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (kh, sh, doc, th, pn)], names=["kh", "sh", "doc", "th", "pn"])
+            size += len(at)
+            if size > ROWS:
+                yield from _combined(found)
+                found, size = [], 0
+        yield from _combined(found)
+
+
+def _combined(found: list[tuple]):
+    """Segments of several pieces; of equal ones all but the earliest are marked and may go anywhere."""
+    if not found:
+        return
+    kh, sh, doc, th, pn = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((pn, th, doc, sh, kh))
+    kh, sh, doc, th, pn = kh[order], sh[order], doc[order], th[order], pn[order]
+    again = np.zeros(len(kh), bool)
+    again[1:] = (kh[1:] == kh[:-1]) & (sh[1:] == sh[:-1])
+    pn = np.where(again, pn | REPEAT, pn)
+    kh = np.where(again, doc * np.int64(-7046029254386353131) + pn, kh)  # any key: dealt evenly
+    for at in range(0, len(kh), 65536):
+        some = slice(at, at + 65536)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (kh, sh, doc, th, pn)], names=["kh", "sh", "doc", "th", "pn"])
 
 
 MARKS = "doc long, th int, pn long, kh long"
@@ -228,15 +239,23 @@ CONTESTED = "kh long, doc long, th int, place long, bytes binary"
 
 def _fetch(batches):
     """The bytes of the wanted segments of each document."""
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kh", "doc", "th", "place", "bytes"])
+
     for batch in batches:
-        out = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for i in range(batch.num_rows):
             text, doc, th = batch.column("text")[i].as_py(), batch.column("doc")[i].as_py(), batch.column("th")[i].as_py()
-            for want in batch.column("wanted")[i].as_py():
-                place, windows = want["pn"] >> 8, want["pn"] & 127
-                for to, value in zip(out, (want["kh"], doc, th, place, text[place : place + windows + WIDTH - 1]), strict=True):
+            wanted = batch.column("wanted")[i].values
+            kh, pn = wanted.field("kh").to_numpy(), wanted.field("pn").to_numpy()
+            for k, n in zip(kh.tolist(), pn.tolist(), strict=True):
+                for to, value in zip(out, (k, doc, th, n >> 8, text[n >> 8 : (n >> 8) + (n & 127) + WIDTH - 1]), strict=True):
                     to.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kh", "doc", "th", "place", "bytes"])
+            if len(out[0]) > 8192:
+                yield batch_of(out)
+                out = [[], [], [], [], []]
+        yield batch_of(out)
 
 
 SPANS = "doc long, th int, start long, stop long, w1 long, w2 long"
@@ -244,25 +263,26 @@ SPANS = "doc long, th int, start long, stop long, w1 long, w2 long"
 
 def repeated_windows(rows: list[tuple], width: int = WIDTH, shard_bytes: int = SHARD_BYTES):
     """(doc, th, start, stop) of byte ranges whose windows occur in an earlier row, for rows (doc, th, place, bytes)."""
+    rows = sorted(rows, key=lambda r: r[:3])
     strings = [r[3] for r in rows]
     classes, starts = prefix_classes(strings, width, shard_bytes)
-    counts = np.array([len(s) - width + 1 for s in strings])
+    counts = np.fromiter(map(len, strings), np.int64, len(strings)) - width + 1
     of = np.repeat(np.arange(len(rows)), counts)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    name = classes[starts[of] + offset]
-    doc, th, place = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-    order = np.lexsort((place[of] + offset, th[of], doc[of], name))
-    name, of, offset = name[order], of[order], offset[order]
+    doc, th, place = (np.fromiter((r[i] for r in rows), np.int64, len(rows)) for i in range(3))
     d, t, p = doc[of], th[of], place[of] + offset
+    # segments of a document share no window, so windows stand in the order of their places already
+    key = classes[starts[of] + offset].astype(np.int64) * len(of) + np.arange(len(of))
+    order = np.argsort(key)
+    name = key[order] // max(1, len(of))
+    head = np.concatenate([[True], name[1:] != name[:-1]])[: len(of)]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(of)), 0))]
     # a repeat is a window that isn't at the same place as the first of its class (one document may be there twice)
-    head = np.concatenate([[True], name[1:] != name[:-1]])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(name)), 0))
-    repeat = (d != d[first]) | (t != t[first]) | (p != p[first])
+    repeat = np.zeros(len(of), bool)
+    repeat[order] = (d[order] != d[first]) | (t[order] != t[first]) | (p[order] != p[first])
     d, t, p = d[repeat], t[repeat], p[repeat]
-    order = np.lexsort((p, t, d))
-    d, t, p = d[order], t[order], p[order]
     cut = np.ones(len(p), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)
+    cut[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)
     at = np.flatnonzero(cut)
     end = np.append(at[1:], len(p)) - 1 if len(p) else at
     return d[at], t[at], p[at], p[end] + width if len(p) else p
@@ -365,27 +385,28 @@ def removed_spans(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
 
 
 class Marked:
-    """A fixed-size filter of documents: no false negatives; false positives only cost a shuffled row."""
+    """A fixed-size filter of documents: no false negatives; false positives only cost a shuffled row.
+
+    It is a table of at most 2^18 words of 32 bits, joined by broadcast, so that
+    only texts it holds are shuffled.
+    """
 
     def __init__(self, rows: DataFrame):
         bit = F.xxhash64("doc", "th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        words = rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("bits"))
-        self.words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        for r in words.toArrow().to_batches():  # 2^18 words at most
-            self.words[r.column("word").to_numpy()] = r.column("bits").to_numpy().astype(np.uint32)
-        self.shared = rows.sparkSession.sparkContext.broadcast(self.words)
-
-    def test(self):
-        shared = self.shared
+        words = rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("_bits"))
+        self.words = F.broadcast(materialise(words, "filter", 1))
 
-        @F.pandas_udf("boolean")
-        def held(bit):
-            import pandas as pd
+    def _join(self, rows: DataFrame, how: str) -> DataFrame:
+        bit = "(xxhash64(doc, th) & {})".format((1 << FILTER_BITS) - 1)
+        return rows.join(self.words, F.expr(f"shiftright({bit}, 5) = _word AND (shiftright(_bits, cast({bit} & 31 AS int)) & 1) = 1"), how)
 
-            b = bit.to_numpy()
-            return pd.Series((shared.value[b >> 5] >> (b & 31).astype(np.uint32) & 1).astype(bool))
+    def held(self, rows: DataFrame) -> DataFrame:
+        """Rows that may be marked."""
+        return self._join(rows, "left_semi")
 
-        return held(F.xxhash64("doc", "th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
+    def free(self, rows: DataFrame) -> DataFrame:
+        """The others."""
+        return self._join(rows, "left_anti")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,10 +420,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc, th and spans (array of start, stop, unmerged) of the documents with repeated bytes."""
     rows = keyed(docs, id_col, text_col)
     segments = rows.select("doc", "th", "text").mapInArrow(_segments, SEGMENTS)
-    marks = materialise(segments.repartition("kh").sortWithinPartitions("kh", "sh", "doc", "th", "pn").mapInArrow(_marks, MARKS), "marks")
+    marks = segments.repartition("kh").sortWithinPartitions("kh", "sh", "doc", "th", "pn").mapInArrow(_marks, MARKS)
+    marks = materialise(marks, "marks")  # its shuffle, the largest, can go
     contested = marks.where(F.col("kh").isNotNull())
     wanted = contested.groupBy("doc", "th").agg(F.collect_list(F.struct("kh", "pn")).alias("wanted"))  # within one text's size
-    texts = rows.where(Marked(contested).test()).select("doc", "th", "text")
+    texts = Marked(contested).held(rows.select("doc", "th", "text"))
     fetched = texts.join(wanted, ["doc", "th"]).mapInArrow(_fetch, CONTESTED)
     merged = materialise(fetched.repartition("kh").sortWithinPartitions("kh", "doc", "th", "place").mapInArrow(_merge, SPANS), "merged")
     spans = marks.where(F.col("kh").isNull()).select("doc", "th", F.shiftright("pn", 8).alias("start"), (F.shiftright("pn", 8) + F.col("pn").bitwiseAND(F.lit(127)) + (WIDTH - 1)).alias("stop"))
@@ -415,9 +437,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel=_cut, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
     """One row per document; only texts that lose bytes are shuffled."""
     rows, spans = keyed(docs, id_col, text_col), repeats(docs, id_col, text_col)
-    marked = Marked(spans).test()
-    clean = rows.where(~marked).select("doc_id", "text").mapInArrow(kernel, schema)
-    touched = rows.where(marked).join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(kernel, schema)
+    marked = Marked(spans)
+    clean = marked.free(rows).select("doc_id", "text").mapInArrow(kernel, schema)
+    touched = marked.held(rows).join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(kernel, schema)
     return clean.unionByName(touched)
 
 

@@ -95,9 +95,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_lines", "n_deleted", "kept_sha256"])
 
     schema = "doc_id long, kept binary" if texts else CUT
-    marked = Marked(places).test()
-    clean = rows.where(~marked).select("doc_id", "text").mapInArrow(cut, schema)
-    touched = rows.where(marked).join(places, ["doc", "th"], "left").select("doc_id", "text", "places").mapInArrow(cut, schema)
+    marked = Marked(places)
+    clean = marked.free(rows).select("doc_id", "text").mapInArrow(cut, schema)
+    touched = marked.held(rows).join(places, ["doc", "th"], "left").select("doc_id", "text", "places").mapInArrow(cut, schema)
     return clean.unionByName(touched)
 
 

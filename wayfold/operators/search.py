@@ -76,7 +76,13 @@ class Instance:
 
 
 def per_row(rows: DataFrame, function: Callable[[dict], Iterator[tuple]], schema: str, at_a_time: int = 16) -> DataFrame:
-    """Tuples of ``schema`` that the function yields for each row, a few rows at a time."""
+    """Tuples of ``schema`` that the function yields for each row, a few rows at a time.
+
+    Rows are few bytes and much work, so they are dealt out by number: merging
+    partitions by size would leave the work to one task.
+    """
+    spark = rows.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 

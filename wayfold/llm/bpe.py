@@ -32,10 +32,11 @@ from wayfold.llm.store import documents
 
 #: Parts up to which a word is merged by scanning its rank array.
 SHORT = 64
-#: Words of a text that are handled at a time.
+#: Characters up to which a text is cut into words at once, and words of a longer one that are handled at a time.
+WHOLE = 1 << 19
 PIECE = 1 << 16
 #: Words remembered by a Python worker.
-MEMO = 400_000
+MEMO = 250_000
 NONE = 1 << 62
 
 
@@ -160,7 +161,11 @@ class Codec:
             if k % 2:
                 yield [self.v.special[part]]
                 continue
-            words = (self.ascii_word if part.isascii() else self.any_word).finditer(part)
+            pattern = self.ascii_word if part.isascii() else self.any_word
+            if len(part) <= WHOLE:
+                yield list(itertools.chain.from_iterable(map(self.memo.__getitem__, pattern.findall(part))))
+                continue
+            words = pattern.finditer(part)
             while some := [m[0] for m in itertools.islice(words, PIECE)]:
                 yield list(itertools.chain.from_iterable(map(self.memo.__getitem__, some)))
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.arrow import slices
 from wayfold.llm.store import documents, materialise
 
 SHINGLE = 4
@@ -335,28 +336,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Word shingles of the similarity, and the least similarity of near copies.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Seeds of the words of a wide fingerprint over distinct words; each gives two segments of 23 bits.
-WIDE_SEEDS = (0, 1, 2)
-#: Differing bits of the first word between candidates, and the rising bounds at which they are linked.
-RISING = (2, 4, 6, 9)
-
-
-def wide_prints(text: bytes) -> list[int]:
-    """SimHash words over the distinct words of a text."""
-    import xxhash
-
-    words = set(text.lower().split())
-    return [majority([np.fromiter((xxhash.xxh64_intdigest(w, s) for w in words), np.uint64, len(words))]) if words else 0 for s in WIDE_SEEDS]
-
-
-def wide_keys(code: Golay, prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): pairs of codewords of the two segments of each word; a pair of texts meets where both differ in 2 bits at most."""
-    rows, keys = [], []
-    for k, fp in enumerate(prints):
-        row, key = pair_keys(code, (fp & np.uint64(0x7FFFFF)).astype(np.int64), (fp >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64))
-        rows.append(row)
-        keys.append(key | k << 40)
-    return np.concatenate(rows), np.concatenate(keys)
+#: One text in so many is counted to find common shingles; a shingle is common from so many of these texts on.
+COUNTED, COMMON = 8, 3
+#: Common shingles that are sent to the tasks at most; which ones are sent changes the order of shingles only, never the result.
+MOST_COMMON = 500_000
+#: Counts of a text's shingles by hash, modulo 256; they bound the similarity of two texts from above.
+CELLS = 128
+#: Stands for the shingles of a text without words.
+NO_SHINGLE = np.zeros(1, np.uint64)
 
 
 def shingle_set(text: bytes, width: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -373,78 +360,143 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def set_name(grams: np.ndarray) -> int:
+    """A shingle set's name; texts with equal sets are one item."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(grams.tobytes(), HASH_SEED)
+
+
+def rare_prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rarest first, of which two sets at the similarity share one at least.
+
+    Sets that are ``SIMILARITY`` alike share that part of either, so fewer than
+    the rest of a set can come before the first shared shingle in any order.
+    """
+    if not len(grams):
+        return NO_SHINGLE
+    length = len(grams) - int(np.ceil(SIMILARITY * len(grams) - 1e-9)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        often = np.where(common[at] == grams, counts[at], 0)
+        if often.any():
+            return grams[np.lexsort((grams, often))[:length]]
+    return grams[:length]
+
+
+def cells(grams: np.ndarray) -> bytes:
+    return np.bincount((grams % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8).tobytes()
+
+
+def may_be_similar(n1: np.ndarray, n2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """False only where sizes and cells rule the similarity out.
+
+    Each shingle of one set alone changes one cell by one, so the cells' distance
+    is at most the number of such shingles, which the similarity bounds.
+    """
+    d = c1 - c2  # wraps
+    apart = np.minimum(d, -d).sum(1, dtype=np.int64)
+    return np.maximum(apart, np.abs(n1 - n2)) <= (n1 + n2) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles, and in how many of the texts counted they are."""
+
+    def run(batches):
+        for batch in batches:
+            for some in slices(batch, 100):
+                grams = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(x.as_py() or b"") for x in some.column(0))])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+
+    counted = rows.where(F.pmod("rk", F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "gram long")
+    found = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toArrow()
+    grams, counts = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def _shared_runs(batches):
+    """key, fp and hub of the keys that several items have; the hub is one of the key's items, another one for other keys."""
+
+    def flush(found):
+        k, f, h = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(f.view(np.int64)), pa.array(h.view(np.int64))], names=["key", "fp", "hub"])
+
+    found, size = [], 0
+    for key, items, _ in _runs(_only_shared(batches), None):
+        items = np.unique(items)
+        if len(items) > 1:
+            hub = items[np.argmin((items ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))]
+            found.append((np.full(len(items), key), items, np.full(len(items), hub)))
+            size += len(items)
+        if size > 50_000:
+            yield flush(found)
+            found, size = [], 0
+    yield flush(found)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rk and keep_rk of every row that has near copies, for rows keyed by ``row_key``.
 
-    Candidates come from Golay keys of the wide fingerprint and are linked along
-    spanning forests of rising distance; each link is verified by the Jaccard
-    similarity of the texts' word shingles.  Of each component the smallest
-    doc_id stays (null last, then the smaller row key).
+    Candidates share a shingle of their prefixes of rare shingles, as all texts
+    at the similarity do.  Each is verified by the Jaccard similarity of the
+    texts' word shingles.  Of each component the smallest doc_id stays (null
+    last, then the smaller row key).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
-    def prints(batches):
+    def prefixes(batches):
         for batch in batches:
-            got = np.array([wide_prints(x.as_py() or b"") for x in batch.column("text")], np.uint64).reshape(-1, len(WIDE_SEEDS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in got.T)], names=["doc_id", "rk", *(f"p{k}" for k in range(len(WIDE_SEEDS)))])
-
-    names = [f"p{k}" for k in range(len(WIDE_SEEDS))]
-    printed = materialise(rows.mapInArrow(prints, "doc_id long, rk long, " + ", ".join(f"{n} long" for n in names)), "wide-prints")
-
-    def expand(batches):
-        code = Golay()
+            sets = [shingle_set(x.as_py() or b"") for x in batch.column("text")]
+            columns = (
+                pa.array(np.array([set_name(g) for g in sets], np.uint64).view(np.int64)), pa.array([len(g) for g in sets], pa.int64()),
+                pa.array([cells(g) for g in sets], pa.binary()), pa.array([rare_prefix(g, *common.value).view(np.int64) for g in sets], pa.list_(pa.int64())),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *columns], names=["doc_id", "rk", "item", "n", "cells", "prefix"])
+
+    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, item long, n long, cells binary, prefix array<long>"), "prefixes")
+    keyed = printed.select(F.explode("prefix").alias("key"), F.col("item").alias("fp")).repartition("key").sortWithinPartitions("key", "fp")
+    shared = materialise(keyed.mapInArrow(_shared_runs, "key long, fp long, hub long"), "shared-shingles")
+    items = printed.groupBy("item").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    items = materialise(items.join(shared.select(F.col("fp").alias("item")).distinct(), "item", "left_semi"), "items")
+
+    def possible(batches):
         for batch in batches:
-            columns = [batch.column(n).to_numpy().view(np.uint64) for n in names]
-            for at in range(0, batch.num_rows, 4096):
-                some = [c[at : at + 4096] for c in columns]
-                row, key = wide_keys(code, some)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[0][row].view(np.int64))], names=["key", "fp"])
-
-    def rising(batches):
-        def flush(found):
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        found, size = [], 0
-        for _, items, _ in _runs(_only_shared(batches), None):
-            items = np.unique(items)
-            for most in RISING if len(items) > 1 else ():
-                a, b = forest(items, most)
-                if len(a):
-                    found.append((a, b))
-                    size += len(a)
-            if size > 50_000:
-                yield flush(found)
-                found, size = [], 0
-        yield flush(found)
-
-    keyed = printed.select(*names).distinct().mapInArrow(expand, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    between = keyed.mapInArrow(rising, "a long, b long").distinct()
-    first = printed.groupBy("p0").agg(F.min("rk").alias("hub"))
-    hubs = first.select(F.col("p0").alias("a"), F.col("hub").alias("x")), first.select(F.col("p0").alias("b"), F.col("hub").alias("y"))
-    pairs = between.join(hubs[0], "a").join(hubs[1], "b").select("x", "y")
-    own = printed.join(first, "p0").where("rk <> hub").select(F.col("hub").alias("x"), F.col("rk").alias("y"))
-    pairs = materialise(pairs.unionByName(own).distinct(), "similar-pairs")
+            n = [batch.column(c).to_numpy() for c in ("n1", "n2")]
+            c = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("c1", "c2")]
+            yield batch.select(["x", "y"]).filter(pa.array(may_be_similar(*n, *c), pa.bool_()))
+
+    def likely(pairs: DataFrame, label: str) -> DataFrame:
+        one, two = (items.select(F.col("item").alias(i), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}")) for i, k in (("x", 1), ("y", 2)))
+        both = pairs.join(one, "x").join(two, "y").select("x", "y", "n1", "n2", "c1", "c2")
+        return materialise(both.mapInArrow(possible, "x long, y long"), label)
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in batch.column("text")], pa.binary())], names=["rk", "grams"])
-
-    wanted = pairs.select(F.col("x").alias("rk")).unionByName(pairs.select(F.col("y").alias("rk"))).distinct()
-    grams = materialise(rows.select("rk", "text").join(wanted, "rk", "left_semi").mapInArrow(sets, "rk long, grams binary").dropDuplicates(["rk"]), "shingles")
+            found = [shingle_set(x.as_py() or b"") for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_name(g) for g in found], np.uint64).view(np.int64)), pa.array([g.tobytes() for g in found], pa.binary())], names=["item", "grams"])
 
     def verify(batches):
         for batch in batches:
             good = [similarity(*(np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("g1", "g2"))) >= SIMILARITY for i in range(batch.num_rows)]
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(grams.select(F.col("rk").alias("x"), F.col("grams").alias("g1")), "x").join(grams.select(F.col("rk").alias("y"), F.col("grams").alias("g2")), "y")
-    similar = both.select("x", "y", "g1", "g2").mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        wanted = pairs.select(F.col("x").alias("item")).unionByName(pairs.select(F.col("y").alias("item"))).distinct()
+        of_rows = items.join(wanted, "item", "left_semi").select("rk")
+        grams = materialise(rows.select("rk", "text").join(of_rows, "rk", "left_semi").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
+        one, two = (grams.select(F.col("item").alias(i), F.col("grams").alias(f"g{k}")) for i, k in (("x", 1), ("y", 2)))
+        both = pairs.join(one, "x").join(two, "y").select("x", "y", "g1", "g2")
+        return materialise(both.mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), label)
+
+    pairs = likely(shared.where("fp <> hub").select(F.least("fp", "hub").alias("x"), F.greatest("fp", "hub").alias("y")).distinct(), "hub-pairs")
+    similar = verified(pairs, "similar-to-hubs")
     stars = components(similar, "similar")
-    ids = printed.select(F.col("rk").alias("node"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
-    member = stars.join(ids, "node")
-    stays = member.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("keep_rk"))
-    return member.join(stays, "root").select(F.col("node").alias("rk"), "keep_rk")
+    ids = printed.select("rk", "item", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
+    member = ids.join(stars.withColumnRenamed("node", "item"), "item", "left").select("rk", "id", F.coalesce("root", "item").alias("root"))
+    stays = member.groupBy("root").agg(F.min_by("rk", F.struct("id", "rk")).alias("keep_rk"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return member.join(stays, "root").select("rk", "keep_rk")
 
 
 def row_key(id_col: str, text_col: str):

@@ -41,3 +41,21 @@ def test_appended_truncated_and_boundary_copies_go(spark):
     want = stays(texts)
     assert 80 < len(want) < 160
     assert kept(spark, texts) == want
+
+
+def edited(rnd, text, share):
+    return [w if rnd.random() >= share else f"e{rnd.randrange(10**9)}" for w in text]
+
+
+def test_groups_linked_through_any_member_collapse(spark):
+    rnd, texts = random.Random(22), []
+    for _ in range(12):
+        text = words(rnd, 150)
+        texts += [" ".join(text), *(" ".join(edited(rnd, text, 0.018)) for _ in range(8))]
+    for _ in range(10):
+        text = words(rnd, 120)  # the same words in blocks of another order, and a near copy of the second
+        turned = [w for k in range(0, 120, 6) for w in reversed(text[k : k + 6])]
+        texts += [" ".join(text), " ".join(turned), " ".join(edited(rnd, turned, 0.01))]
+    order = list(texts)
+    rnd.shuffle(order)
+    assert kept(spark, order) == stays(order)

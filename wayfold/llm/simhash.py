@@ -439,8 +439,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """rk and keep_rk of every row that has near copies, for rows keyed by ``row_key``.
 
     Candidates share a shingle of their prefixes of rare shingles, as all texts
-    at the similarity do.  Each is verified by the Jaccard similarity of the
-    texts' word shingles.  Of each component the smallest doc_id stays (null
+    at the similarity do.  Each item of a key is compared with the key's hub by the
+    Jaccard similarity of the word shingles, and the items that these links leave
+    apart with each other, so no link between components is lost.  Of each component the smallest doc_id stays (null
     last, then the smaller row key).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
@@ -493,6 +494,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = likely(shared.where("fp <> hub").select(F.least("fp", "hub").alias("x"), F.greatest("fp", "hub").alias("y")).distinct(), "hub-pairs")
     similar = verified(pairs, "similar-to-hubs")
     stars = components(similar, "similar")
+    # what shares a key but is not in one component yet is compared pair by pair
+    apart = items.join(stars.withColumnRenamed("node", "item"), "item", "left").select(F.col("item").alias("fp"), F.coalesce("root", "item").alias("root"), "n")
+    left = shared.select("key", "fp").join(apart, "fp")
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = materialise(left.join(mixed, "key", "left_semi"), "open-shingles")
+    one, two = (left.select("key", F.col("fp").alias(i), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for i, k in (("x", 1), ("y", 2)))
+    near = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(SIMILARITY) - F.lit(1e-6)
+    rest = one.join(two.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("r1") != F.col("r2")) & near).select("x", "y").distinct()
+    more = verified(likely(rest.join(pairs, ["x", "y"], "left_anti"), "other-pairs"), "similar-to-others")
+    if not more.isEmpty():
+        stars = components(similar.unionByName(more), "similar")
     ids = printed.select("rk", "item", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
     member = ids.join(stars.withColumnRenamed("node", "item"), "item", "left").select("rk", "id", F.coalesce("root", "item").alias("root"))
     stays = member.groupBy("root").agg(F.min_by("rk", F.struct("id", "rk")).alias("keep_rk"), F.count(F.lit(1)).alias("n")).where("n > 1")

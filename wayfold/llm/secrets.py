@@ -32,10 +32,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that make a context sensitive, and how far before a candidate they count.
-CONTEXT = re.compile(r"(?i)\b(?:auth\w*|bearer|credential\w*|passphrase|passwd|password|private|pwd|secret\w*|signature|token\w*|api_?key|access_?key|key)\b", re.ASCII)
+#: Words that make a context sensitive, alone or as parts of identifiers, and how far from a candidate they count.
+#: Words that are parts of plain words, too, have to stand between separators or humps.
+CONTEXT = re.compile(
+    r"(?i:bearer|credential|passphrase|passwd|password|private|pwd|secret|signature|token|(?:api|access|auth|client|encryption|master|session|signing|ssh)[_-]?key|\bauth)"
+    r"|(?<![A-Za-z])(?:auth[a-z]*|key|keys|pass)(?![a-z])|(?:Auth[a-z]*|Key|Keys|Pass)(?![a-z])|(?<![A-Z])(?:AUTH[A-Z]*|KEY|KEYS|PASS)(?![A-Za-z])|(?i:\bkey\b)",
+    re.ASCII,
+)
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_CANDIDATE = 20
+PART = re.compile(r"[^=]+=*")
 AROUND = 256
 #: A candidate is reported when it adds at least this share of its own bytes.
 NOVEL_SHARE = 0.62
@@ -84,19 +91,27 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return sorted(found)
 
+    @staticmethod
+    def candidates(text: str) -> list[tuple[int, int]]:
+        """Spans of candidates; names and values that "=" joins stand apart where a part is long enough."""
+        found = []
+        for m in CANDIDATE.finditer(text):
+            parts = [p.span() for p in PART.finditer(text, *m.span())]
+            found += [p for p in parts if p[1] - p[0] >= LEAST_CANDIDATE] or [m.span()]
+        return found
+
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Incompressible strings in sensitive contexts that no fixed kind touches."""
         starts, furthest, found = [s for s, _, _ in base], [], []
         for _, _, end in base:
             furthest.append(max(end, furthest[-1] if furthest else 0))
-        for m in CANDIDATE.finditer(text):
-            s, e = m.span()
+        for s, e in self.candidates(text):
             i = bisect_right(starts, e - 1)
             if i and furthest[i - 1] > s:
                 continue
-            if not CONTEXT.search(text, max(0, s - REACH), s):
+            if not CONTEXT.search(text, max(0, s - REACH), e + REACH):
                 continue
-            piece = m[0]
+            piece = text[s:e]
             if sum(map(bool, (re.search("[a-z]", piece), re.search("[A-Z]", piece), re.search("[0-9]", piece)))) < 2:
                 continue
             # a long candidate is measured in full, whatever its length

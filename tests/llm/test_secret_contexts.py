@@ -33,3 +33,14 @@ def test_plain_words_are_no_context():
     k = key(random.Random(1))
     for text in (f"the monkey {k} sat", f"a passage {k} here", f"turkey: {k}"):
         assert secrets.Scanner().spans(text)[1] == []
+
+
+@pytest.mark.parametrize("n", [20, 40, 120, 300, 512])
+@pytest.mark.parametrize("form", ["Bearer {0} key {0}", "curl -H 'Bearer {0}' a\ncurl -H 'Bearer {0}' b\ncurl -H 'Bearer {0}' c", "Bearer {0} and a plain line of words that goes on " + "and on " * 30 + "{0}"])
+def test_copies_of_a_secret_are_all_found(form, n):
+    rnd, scanner, hits = random.Random(n), secrets.Scanner(), 0
+    for _ in range(40):
+        k = key(rnd, n)
+        text = "words before " + form.format(k) + " and more words"
+        hits += len([s for s in scanner.spans(text)[1] if s[1] == 3 and text[s[0] : s[2]] == k]) == text.count(k)
+    assert hits >= 36

@@ -78,10 +78,13 @@ class Scanner:
         return len(self.packer.compress(text.encode("utf-8", "replace")))
 
     def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes that the span adds to what stands around it, per byte of the span."""
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        with_it = self.size(before + after + "\n" + text[start:end])
-        return (with_it - self.size(before + after + "\n")) / (end - start)
+        """Bytes that the span adds to what stands around it, other copies of it left out, per byte of the span."""
+        piece, reach = text[start:end], AROUND + end - start  # a copy that the reach cuts lies beyond AROUND
+        blank = "\0" * len(piece)
+        before = text[max(0, start - reach) : start].replace(piece, blank)[-AROUND:].replace("\0", "")
+        after = text[end : end + reach].replace(piece, blank)[:AROUND].replace("\0", "")
+        with_it = self.size(before + after + "\n" + piece)
+        return (with_it - self.size(before + after + "\n")) / len(piece)
 
     @staticmethod
     def base(text: str) -> list[tuple[int, int, int]]:
@@ -101,22 +104,22 @@ class Scanner:
         return found
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Incompressible strings in sensitive contexts that no fixed kind touches."""
+        """All places of incompressible strings that stand in a sensitive context once at least and that no fixed kind touches."""
         starts, furthest, found = [s for s, _, _ in base], [], []
         for _, _, end in base:
             furthest.append(max(end, furthest[-1] if furthest else 0))
+        places: dict[str, list[tuple[int, int]]] = {}
         for s, e in self.candidates(text):
             i = bisect_right(starts, e - 1)
             if i and furthest[i - 1] > s:
                 continue
-            if not CONTEXT.search(text, max(0, s - REACH), e + REACH):
-                continue
-            piece = text[s:e]
+            places.setdefault(text[s:e], []).append((s, e))
+        for piece, spans in places.items():
             if sum(map(bool, (re.search("[a-z]", piece), re.search("[A-Z]", piece), re.search("[0-9]", piece)))) < 2:
                 continue
             # a long candidate is measured in full, whatever its length
-            if self.marginal(text, s, e) >= NOVEL_SHARE:
-                found.append((s, 3, e))
+            if any(CONTEXT.search(text, max(0, s - REACH), e + REACH) and self.marginal(text, s, e) >= NOVEL_SHARE for s, e in spans):
+                found += [(s, 3, e) for s, e in spans]
         return found
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

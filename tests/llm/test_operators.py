@@ -336,12 +336,52 @@ def test_substrings_of_large_buckets_and_long_texts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_substrings(rows)
     for large, piece in ((4096, 1 << 21), (6, 333)):
-        monkeypatch.setattr(substrings, "LARGE", large)
         monkeypatch.setattr(substrings, "PIECE", piece)
-        got = {(LAST if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df).collect()}
+        got = {(LAST if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df, large=large).collect()}
         assert got == want
 
 
+def test_substrings_and_lines_of_repeated_rows_and_ids(spark):
+    """Rows equal in id and text are one document; unequal rows of one id or of none stand in the order of their hashes."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    prose = ["\n".join(" ".join(word() for _ in range(8)) for _ in range(9)) for _ in range(6)]
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[1]), (2, prose[0] + prose[2]), (2, prose[0] + prose[2]), (None, prose[3]), (None, prose[3]), (None, prose[4] + prose[1]), (None, "x" + prose[4])]
+    rows += [(3, None), (3, None), (3, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = {(r.doc_id, bytes(r.text)): (r.doc, r.t1, r.t2) for r in substrings.keyed(df).collect()}
+    names = {k: n for n, k in enumerate(sorted(set(order.values())))}
+    numbered = {(names[k], text.decode()) for (_, text), k in order.items()}
+    want = brute_substrings(numbered)
+    expected = sorted((r[0] is None, r[0] or 0, *want[names[order[(r[0], (r[1] or "").encode())]]]) for r in rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(df).collect())
+    assert got == expected
+    seen, gone = set(), {}
+    for n, text in sorted(numbered):
+        ls = text.split("\n") if text else []
+        runs = [tuple(ls[p : p + 3]) for p in range(len(ls) - 2)]
+        gone[n] = len({p + k for p, run in enumerate(runs) if run in seen for k in range(3)})
+        seen |= set(runs)
+    expected = sorted((r[0] is None, r[0] or 0, gone[names[order[(r[0], (r[1] or "").encode())]]]) for r in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_deleted) for r in lines.deduplicate(df).collect()) == expected
+
+
+def test_texts_whose_hashes_agree_in_31_bits_are_two_documents(spark):
+    import xxhash
+
+    rnd, seen = random.Random(5), {}
+    while True:
+        text = "".join(rnd.choices("abcdefghijklmnop\n", k=200))
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) & 0x7FFFFFFF, text)
+        if other != text:
+            break
+    rows = [(1, text[:150]), (None, text), (None, other)]
+    got = sorted((r.n_bytes, r.n_removed) for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(150, 0), (200, 0), (200, 150)]
+    three = [(1, "a\nb\nc\n"), (None, "a\nb\nc\n" + text), (None, "a\nb\nc\n" + other)]
+    assert [r.n_deleted for r in lines.deduplicate(spark.createDataFrame(three, "doc_id long, text string")).collect()].count(0) == 1
+
+
 def test_merged_transforms_name_equal_prefixes_alike():
     rnd = random.Random(3)
     for t in range(40):
@@ -350,7 +390,8 @@ def test_merged_transforms_name_equal_prefixes_alike():
         strings += strings[: t % 2]
         from wayfold.llm.bwt import prefix_classes
 
-        classes, starts = prefix_classes(strings, depth, rnd.choice([8, 64]))
+        data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+        classes, starts = prefix_classes(data, sizes, depth, rnd.choice([8, 64]))
         names, back = {}, {}
         for s, at in zip(strings, starts, strict=True):
             for o in range(len(s) - depth + 1):

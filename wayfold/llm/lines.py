@@ -29,33 +29,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.store import documents, materialise
-from wayfold.llm.substrings import Marked, keyed
+from wayfold.llm.substrings import KEY, Marked, keyed
 
 RUN = 3
 
 
 def line_places(rows: DataFrame) -> DataFrame:
-    """doc, th, pos and two hashes of each line."""
+    """The document's key, pos and two hashes of each line."""
     lines = F.when(F.length("text") > 0, F.split(F.col("text").cast("string"), "\n", -1)).otherwise(F.array().cast("array<string>"))
-    each = rows.select("doc", "th", F.posexplode(lines).alias("pos", "line"))
-    return each.select("doc", "th", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
+    each = rows.select(*KEY, F.posexplode(lines).alias("pos", "line"))
+    return each.select(*KEY, "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
 
 
 def named(pairs: DataFrame, label: str) -> DataFrame:
     """Places whose pair (a, b) occurs again, with a name in the order of the pairs, and the first place of the name."""
-    groups = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "pos")).alias("first")).where("n > 1")
+    groups = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("first")).where("n > 1")
     names = materialise(groups.orderBy("a", "b").select("a", "b", "first", F.monotonically_increasing_id().alias("name")), f"names-{label}")
-    return materialise(pairs.join(names, ["a", "b"]).select("doc", "th", "pos", "name", "first"), f"places-{label}")
+    return materialise(pairs.join(names, ["a", "b"]).select(*KEY, "pos", "name", "first"), f"places-{label}")
 
 
 def doubled(level: DataFrame, step: int) -> DataFrame:
     """Pairs of the names at a place and ``step`` lines on."""
-    ahead = level.select("doc", "th", (F.col("pos") - step).alias("pos"), F.col("name").alias("b"))
-    return level.select("doc", "th", "pos", F.col("name").alias("a")).join(ahead, ["doc", "th", "pos"])
+    ahead = level.select(*KEY, (F.col("pos") - step).alias("pos"), F.col("name").alias("b"))
+    return level.select(*KEY, "pos", F.col("name").alias("a")).join(ahead, [*KEY, "pos"])
 
 
 def repeated_runs(rows: DataFrame, run: int = RUN) -> DataFrame:
-    """doc, th, pos and first of the places where ``run`` lines start that occur again."""
+    """The key, pos and first of the places where ``run`` lines start that occur again."""
     level, reach = named(line_places(rows), "1"), 1
     while reach * 2 <= run:
         level, reach = named(doubled(level, reach), str(reach * 2)), reach * 2
@@ -77,8 +77,8 @@ def kept_lines(text: bytes, places, run: int) -> tuple[list[bytes], list[bytes]]
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, texts: bool = False) -> DataFrame:
     """One row per document: counts and the hash of the lines that stay, or (``texts``) doc_id and the text that stays."""
     rows = keyed(docs, id_col, text_col)
-    later = repeated_runs(rows, run).where("doc <> first.doc OR th <> first.th OR pos <> first.pos")
-    places = materialise(later.groupBy("doc", "th").agg(F.collect_list("pos").alias("places")), "repeated-lines")  # within one text's size
+    later = repeated_runs(rows, run).where("doc <> first.doc OR t1 <> first.t1 OR t2 <> first.t2 OR pos <> first.pos")
+    places = materialise(later.groupBy(*KEY).agg(F.collect_list("pos").alias("places")), "repeated-lines")  # within one text's size
 
     def cut(batches):
         for batch in batches:
@@ -97,7 +97,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "doc_id long, kept binary" if texts else CUT
     marked = Marked(places)
     clean = marked.free(rows).select("doc_id", "text").mapInArrow(cut, schema)
-    touched = marked.held(rows).join(places, ["doc", "th"], "left").select("doc_id", "text", "places").mapInArrow(cut, schema)
+    touched = marked.held(rows).join(places, KEY, "left").select("doc_id", "text", "places").mapInArrow(cut, schema)
     return clean.unionByName(touched)
 
 

@@ -16,12 +16,16 @@ shuffle where they meet in one batch.  Only the earliest occurrences of
 *different* segments of one minimiser, mostly the edges of passages, have their
 bytes fetched, transformed and merged.
 
-A bucket with more than ``LARGE`` such segments isn't held by one task: its
-windows are compared by 128 bits of hash in a shuffle of their own.
+A bucket with more than ``LARGE`` such segments isn't held by one task.  It is
+halved by how far its windows begin before the minimiser; the windows of a half
+share a longer string, whose hash deals them to smaller buckets, which are
+merged like any other or halved again.  A range of one place holds equal
+windows only, so this ends.
 
 "Earlier" means smaller doc_id (null last), then, for unequal rows of one
-doc_id, the smaller text hash, then the earlier start; rows equal in id and
-text count as one document and get the same result.  Texts are UTF-8 bytes,
+doc_id, the smaller text hash (128 bits), then the earlier start; rows equal in
+id and text count as one document and get the same result, so a repeated row
+removes nothing from its copy.  An empty table gives an empty result.  Texts are UTF-8 bytes,
 null as empty; texts shorter than ``WIDTH`` keep all bytes.  Texts of any length
 are read in pieces of ``PIECE`` bytes that overlap, so windows are not cut.
 Only the id and text columns are read.
@@ -33,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +49,14 @@ GRAM = 32
 #: Bytes that are hashed at a time; window places take 24 bits.
 PIECE = 1 << 19
 #: Bytes of a shard whose transform is built, and of segments that are merged together: what a core's own cache holds.
-SHARD_BYTES = 4 << 10
-TOGETHER = 8 << 10
+SHARD_BYTES = 12 << 10
+TOGETHER = 24 << 10
 #: Rows that a kernel gathers before it hands them on.
 ROWS = 1 << 17
+#: Segments of one bucket that a task holds; a larger one is halved by where its windows lie.
 LARGE = 4096
-#: Bits of the filter that tells which documents have marks at all; 1 MB whatever the corpus.
-FILTER_BITS = 23
+#: Documents that the filter of marked documents takes, and its bits: a table of a few MB at most.
+MOST_MARKED, MOST_BITS = 1 << 21, 23
 LAST_ID = (1 << 63) - 1
 SEED = 20240607
 
@@ -95,6 +101,13 @@ class Segmenter:
         self.width, self.gram, self.grams = width, gram, width - gram + 1
         self.first, self.second = Rolling(SEED), Rolling(SEED + 1)
 
+    def place_of(self, gram: int, data: bytes) -> int:
+        """Where a segment's minimiser begins in its bytes."""
+        values = np.frombuffer(data, np.uint8)
+        self.first.load(values)
+        n = len(values) - self.gram + 1
+        return int(np.flatnonzero(mixed(self.first.of(slice(0, n), slice(self.gram, n + self.gram))).view(np.int64) == gram)[0])
+
     def cut(self, data: np.ndarray, stops: np.ndarray):
         """start, windows, gram hash and content hash of each segment; ``stops``: where documents end in the data."""
         n = len(data)
@@ -138,7 +151,7 @@ def _pieces(offsets: np.ndarray, piece: int, width: int):
         doc = last
 
 
-SEGMENTS = "kh long, sh long, doc long, th int, pn long"
+SEGMENTS = "kh long, sh long, doc long, t1 long, t2 long, pn long"
 #: pn = place << 8 | windows, with this bit for segments known to be repeats.
 REPEAT = 128
 
@@ -159,13 +172,13 @@ def _segments(batches):
     segmenter = Segmenter()
     for batch in batches:
         data, offsets = _flat(batch.column("text"))
-        ids, hashes = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
+        ids, one, two = (batch.column(c).to_numpy() for c in ("doc", "t1", "t2"))
         found, size = [], 0
         for a, b, start, stop in _pieces(offsets, PIECE, WIDTH):
             stops = np.append(offsets[a + 1 : b], stop) - start
             at, windows, kh, sh = segmenter.cut(data[start:stop], np.unique(stops))
             doc = np.searchsorted(offsets[a + 1 : b + 1], at + start, "right") + a
-            found.append((kh.view(np.int64), sh.view(np.int64), ids[doc], hashes[doc], (at + start - offsets[doc]) << 8 | windows))
+            found.append((kh.view(np.int64), sh.view(np.int64), ids[doc], one[doc], two[doc], (at + start - offsets[doc]) << 8 | windows))
             size += len(at)
             if size > ROWS:
                 yield from _combined(found)
@@ -177,19 +190,22 @@ def _combined(found: list[tuple]):
     """Segments of several pieces; of equal ones all but the earliest are marked and may go anywhere."""
     if not found:
         return
-    kh, sh, doc, th, pn = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((pn, th, doc, sh, kh))
-    kh, sh, doc, th, pn = kh[order], sh[order], doc[order], th[order], pn[order]
+    rows = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.lexsort(rows[::-1])
+    kh, sh, doc, t1, t2, pn = (c[order] for c in rows)
     again = np.zeros(len(kh), bool)
     again[1:] = (kh[1:] == kh[:-1]) & (sh[1:] == sh[:-1])
+    # a document that stands there twice doesn't repeat itself
+    twice = again.copy()
+    twice[1:] &= (doc[1:] == doc[:-1]) & (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1]) & (pn[1:] == pn[:-1])
     pn = np.where(again, pn | REPEAT, pn)
     kh = np.where(again, doc * np.int64(-7046029254386353131) + pn, kh)  # any key: dealt evenly
-    for at in range(0, len(kh), 65536):
-        some = slice(at, at + 65536)
-        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (kh, sh, doc, th, pn)], names=["kh", "sh", "doc", "th", "pn"])
+    rows = [c[~twice] for c in (kh, sh, doc, t1, t2, pn)] if twice.any() else [kh, sh, doc, t1, t2, pn]
+    for at in range(0, len(rows[0]), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in rows], names=["kh", "sh", "doc", "t1", "t2", "pn"])
 
 
-MARKS = "doc long, th int, pn long, kh long"
+MARKS = "doc long, t1 long, t2 long, pn long, kh long"
 
 
 def _marks(batches):
@@ -200,158 +216,266 @@ def _marks(batches):
     its kh, if that isn't known to be contested yet.
     """
     last, pending = None, None
+    names = ["doc", "t1", "t2", "pn"]
     for batch in batches:
-        kh, sh, doc, th, pn = (batch.column(c).to_numpy() for c in ("kh", "sh", "doc", "th", "pn"))
-        known = pn & REPEAT > 0
-        out = [(doc[known], th[known], pn[known] ^ REPEAT, np.full(known.sum(), 0), np.ones(known.sum(), bool))]
-        kh, sh, doc, th, pn = (c[~known] for c in (kh, sh, doc, th, pn))
+        kh, sh, *rows = (batch.column(c).to_numpy() for c in ("kh", "sh", *names))
+        out: list[tuple] = []
+
+        def add(some, key=None, rows=None, out=out):
+            n = len(some[0])
+            out.append((*some, np.zeros(n, np.int64) if key is None else key, np.full(n, key is None)))
+
+        known = rows[3] & REPEAT > 0
+        add([*(c[known] for c in rows[:3]), rows[3][known] ^ REPEAT])
+        kh, sh, *rows = (c[~known] for c in (kh, sh, *rows))
         if len(kh):
-            same_kh, same_sh = np.zeros(len(kh), bool), np.zeros(len(kh), bool)
+            same_kh, same_sh, twice = (np.zeros(len(kh), bool) for _ in range(3))
             same_kh[1:] = kh[1:] == kh[:-1]
             same_sh[1:] = same_kh[1:] & (sh[1:] == sh[:-1])
+            twice[1:] = same_sh[1:] & np.logical_and.reduce([c[1:] == c[:-1] for c in rows])
             if last is not None:
                 same_kh[0] = kh[0] == last[0]
                 same_sh[0] = same_kh[0] and sh[0] == last[1]
-            out.append((doc[same_sh], th[same_sh], pn[same_sh], np.full(same_sh.sum(), 0), np.ones(same_sh.sum(), bool)))
+                twice[0] = same_sh[0] and last[2:] == tuple(c[0] for c in rows)
+            later = same_sh & ~twice  # a document that stands there twice doesn't repeat itself
+            add([c[later] for c in rows])
             first = ~same_sh  # first of its segment
-            later = first & same_kh  # another segment of the same kh came before
             run = np.cumsum(~same_kh)
-            contested_run = np.bincount(run, later, minlength=run[-1] + 1) > 0
+            contested_run = np.bincount(run, first & same_kh, minlength=run[-1] + 1) > 0  # another segment of the same kh came before
             contested = first & contested_run[run]
-            rows = [(doc[contested], th[contested], pn[contested], kh[contested], np.zeros(contested.sum(), bool))]
+            add([c[contested] for c in rows], kh[contested])
             if pending is not None and same_kh[0] and contested_run[run[0]]:
-                rows.append(tuple(np.array([c]) for c in (*pending, last[0], False)))
+                add([np.array([c]) for c in pending], np.array([last[0]]))
                 pending = None
             elif pending is not None and not same_kh[0]:
                 pending = None
-            out += rows
             # the last run: its first segment waits unless it has been given out
             a = int(np.searchsorted(run, run[-1]))
             if a or not same_kh[0]:
-                pending = None if contested_run[run[-1]] else (doc[a], th[a], pn[a])
-            last = (kh[-1], sh[-1])
-        doc, th, pn, key, none = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(th.astype(np.int32)), pa.array(pn.astype(np.int64)), pa.array(key.astype(np.int64), mask=none)], names=["doc", "th", "pn", "kh"])
+                pending = None if contested_run[run[-1]] else tuple(c[a] for c in rows)
+            last = (kh[-1], sh[-1], *(c[-1] for c in rows))
+        *columns, key, none = (np.concatenate(c) for c in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(key.astype(np.int64), mask=none)], names=[*names, "kh"])
 
 
-CONTESTED = "kh long, doc long, th int, place long, bytes binary"
+CONTESTED = "key long, doc long, t1 long, t2 long, place long, gram int, lo int, hi int, bytes binary"
+FIELDS = ["key", "doc", "t1", "t2", "place", "gram", "lo", "hi"]
+TYPES = [pa.int64()] * 5 + [pa.int32()] * 3
 
 
-def _fetch(batches):
-    """The bytes of the wanted segments of each document."""
+def _contested_batch(columns, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)), pa.array(data, pa.binary())], names=[*FIELDS, "bytes"])
 
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kh", "doc", "th", "place", "bytes"])
 
+def _fetch(batches):
+    """The bytes of the wanted segments of each document; where their minimiser lies is only sought if it is needed (gram -1)."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for i in range(batch.num_rows):
-            text, doc, th = batch.column("text")[i].as_py(), batch.column("doc")[i].as_py(), batch.column("th")[i].as_py()
-            wanted = batch.column("wanted")[i].values
-            kh, pn = wanted.field("kh").to_numpy(), wanted.field("pn").to_numpy()
-            for k, n in zip(kh.tolist(), pn.tolist(), strict=True):
-                for to, value in zip(out, (k, doc, th, n >> 8, text[n >> 8 : (n >> 8) + (n & 127) + WIDTH - 1]), strict=True):
-                    to.append(value)
-            if len(out[0]) > 8192:
-                yield batch_of(out)
-                out = [[], [], [], [], []]
-        yield batch_of(out)
-
-
-SPANS = "doc long, th int, start long, stop long, w1 long, w2 long"
-
-
-def repeated_windows(rows: list[tuple], width: int = WIDTH, shard_bytes: int = SHARD_BYTES):
-    """(doc, th, start, stop) of byte ranges whose windows occur in an earlier row, for rows (doc, th, place, bytes)."""
-    rows = sorted(rows, key=lambda r: r[:3])
-    strings = [r[3] for r in rows]
-    classes, starts = prefix_classes(strings, width, shard_bytes)
-    counts = np.fromiter(map(len, strings), np.int64, len(strings)) - width + 1
+        for at in range(batch.num_rows):
+            wanted = batch.column("wanted")[at].values
+            text = batch.column("text")[at].as_py()
+            pn = wanted.field("pn").to_numpy()
+            place, size, n = pn >> 8, (pn & 127) + WIDTH - 1, len(pn)
+            same = [np.full(n, batch.column(c)[at].as_py()) for c in ("doc", "t1", "t2")]
+            yield _contested_batch(
+                [wanted.field("kh").to_numpy(), *same, place, np.full(n, -1), np.zeros(n), np.full(n, WIDTH - GRAM)], [text[p : p + m] for p, m in zip(place.tolist(), size.tolist(), strict=True)]
+            )
+
+
+def joined(batches, rows: int = ROWS):
+    """Batches of about ``rows`` rows from many small ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+SPANS = "doc long, t1 long, t2 long, start long, stop long"
+
+
+def _spans(doc, t1, t2, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (doc, t1, t2, start, stop)], names=["doc", "t1", "t2", "start", "stop"])
+
+
+class Segments:
+    """Segments as arrays, with their bytes one after the other."""
+
+    def __init__(self, columns: dict[str, np.ndarray], data: np.ndarray, sizes: np.ndarray):
+        self.columns, self.data, self.sizes = columns, data, sizes
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Segments:
+        data, offsets = _flat(batch.column("bytes"))
+        return cls({c: batch.column(c).to_numpy() for c in FIELDS}, data, np.diff(offsets))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def behind(self, other: Segments | None) -> Segments:
+        if other is None or not len(other):
+            return self
+        return Segments({c: np.concatenate([other.columns[c], self.columns[c]]) for c in FIELDS}, np.concatenate([other.data, self.data]), np.concatenate([other.sizes, self.sizes]))
+
+    def take(self, rows: np.ndarray) -> Segments:
+        begin = (np.cumsum(self.sizes) - self.sizes)[rows]
+        sizes = self.sizes[rows]
+        flat = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return Segments({c: v[rows] for c, v in self.columns.items()}, self.data[flat], sizes)
+
+    def same_as_before(self) -> np.ndarray:
+        """Which segments equal the one before them in key and bytes."""
+        wide = np.zeros((len(self), int(self.sizes.max(initial=0))), np.uint8)
+        wide[np.arange(wide.shape[1]) < self.sizes[:, None]] = self.data
+        key = self.columns["key"]
+        same = np.zeros(len(self), bool)
+        same[1:] = (key[1:] == key[:-1]) & (self.sizes[1:] == self.sizes[:-1]) & (wide[1:] == wide[:-1]).all(1)
+        return same
+
+
+def repeated_windows(rows: Segments, width: int = WIDTH, shard_bytes: int = SHARD_BYTES):
+    """(doc, t1, t2, start, stop) of byte ranges whose windows also stand in an earlier segment."""
+    doc, t1, t2, place = (rows.columns[c] for c in ("doc", "t1", "t2", "place"))
+    rows = rows.take(np.lexsort((place, t2, t1, doc)))
+    classes, starts = prefix_classes(rows.data, rows.sizes, width, shard_bytes)
+    counts = rows.sizes - width + 1
     of = np.repeat(np.arange(len(rows)), counts)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc, th, place = (np.fromiter((r[i] for r in rows), np.int64, len(rows)) for i in range(3))
-    d, t, p = doc[of], th[of], place[of] + offset
+    place = rows.columns["place"][of] + offset
     # segments of a document share no window, so windows stand in the order of their places already
-    key = classes[starts[of] + offset].astype(np.int64) * len(of) + np.arange(len(of))
-    order = np.argsort(key)
-    name = key[order] // max(1, len(of))
-    head = np.concatenate([[True], name[1:] != name[:-1]])[: len(of)]
+    name = classes[starts[of] + offset]
+    order = np.argsort(name, kind="stable")
+    ordered = name[order]
+    head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     first = order[np.maximum.accumulate(np.where(head, np.arange(len(of)), 0))]
-    # a repeat is a window that isn't at the same place as the first of its class (one document may be there twice)
+    # a repeat is a window that isn't at the same place as the first of its class (equal rows are one document, there twice)
+    of_first = of[first]
+    elsewhere = place[order] != place[first]
+    for c in ("doc", "t1", "t2"):
+        elsewhere |= rows.columns[c][of[order]] != rows.columns[c][of_first]
     repeat = np.zeros(len(of), bool)
-    repeat[order] = (d[order] != d[first]) | (t[order] != t[first]) | (p[order] != p[first])
-    d, t, p = d[repeat], t[repeat], p[repeat]
-    cut = np.ones(len(p), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)
+    repeat[order] = elsewhere
+    of, place = of[repeat], place[repeat]
+    cut = np.ones(len(of), bool)
+    cut[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(cut)
-    end = np.append(at[1:], len(p)) - 1 if len(p) else at
-    return d[at], t[at], p[at], p[end] + width if len(p) else p
-
-
-def _merge(batches):
-    """Merged transforms of the segments, sorted by kh: spans of repeats, or window hashes for large buckets (w1 set)."""
-    rolling = Rolling(SEED + 2), Rolling(SEED + 3)
-    held, size = [], 0  # whole buckets that wait to be merged together
-    bucket, key, large = [], None, False
-
-    def rows_of(d, t, a, b, w1=None, w2=None):
-        none = np.full(len(d), w1 is None)
-        z = np.zeros(len(d), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(t, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(z if w1 is None else w1, mask=none), pa.array(z if w2 is None else w2, mask=none)], names=["doc", "th", "start", "stop", "w1", "w2"])
-
-    def windows(rows):
-        for at in range(0, len(rows), 512):
-            some = rows[at : at + 512]
-            data = np.frombuffer(b"".join(r[3] for r in some), np.uint8)
-            counts = np.array([len(r[3]) - WIDTH + 1 for r in some])
-            of = np.repeat(np.arange(len(some)), counts)
-            offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = np.cumsum([0, *(len(r[3]) for r in some[:-1])])[of] + offset
-            w = []
-            for r in rolling:
-                r.load(data)
-                w.append(mixed(r.of(begin, begin + WIDTH)).view(np.int64))
-            place = np.array([r[2] for r in some])[of] + offset
-            yield rows_of(np.array([r[0] for r in some])[of], np.array([r[1] for r in some])[of], place, place + WIDTH, *w)
+    end = np.append(at[1:], len(of)) - 1 if len(of) else at
+    return *(rows.columns[c][of[at]] for c in ("doc", "t1", "t2")), place[at], place[end] + width
 
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("kh", "doc", "th", "place", "bytes")]
-        for kh, *row in zip(*columns, strict=True):
-            if kh != key:
-                if large:
-                    yield from windows(bucket)
-                elif len(bucket) > 1:
-                    held += bucket
-                    size += sum(len(r[3]) for r in bucket)
-                if size > TOGETHER:
-                    yield rows_of(*repeated_windows(held))
-                    held, size = [], 0
-                bucket, key, large = [], kh, False
-            bucket.append(tuple(row))
-            if len(bucket) > LARGE:
-                large = True
-                yield from windows(bucket)
-                bucket = []
-    if large:
-        yield from windows(bucket)
-    elif len(bucket) > 1:
-        held += bucket
-    if held:
-        yield rows_of(*repeated_windows(held))
 
+def halves(rows: Segments, segmenter: Segmenter) -> pa.RecordBatch:
+    """Segments of a large bucket, cut in two by where their windows lie to the minimiser.
 
-def _later(batches):
-    """From window hashes sorted by hash and order: the spans of all but the first of each."""
-    last = None
-    for batch in batches:
-        w1, w2 = batch.column("w1").to_numpy(), batch.column("w2").to_numpy()
-        if not len(w1):
-            continue
-        again = np.zeros(len(w1), bool)
-        again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-        again[0] = last == (w1[0], w2[0])
-        last = (w1[-1], w2[-1])
-        yield batch.filter(pa.array(again)).select(["doc", "th", "start", "stop"])
+    Windows that begin ``a`` bytes before the minimiser, with ``a`` from lo to
+    hi, all hold the bytes from lo before it to WIDTH - hi behind its start.
+    Halving that range makes this common string longer, and its hash is the new
+    key; for a single ``a`` it is the window.
+    """
+    out: list[list] = [[] for _ in FIELDS]
+    data = []
+    begin = np.cumsum(rows.sizes) - rows.sizes
+    whole = rows.data.tobytes()
+    for i in range(len(rows)):
+        key, doc, t1, t2, place, gram, lo, hi = (int(rows.columns[c][i]) for c in FIELDS)
+        text = whole[begin[i] : begin[i] + rows.sizes[i]]
+        if gram < 0:
+            gram = segmenter.place_of(key, text)
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid + 1, hi)):
+            first, last = max(0, gram - b), min(len(text) - WIDTH, gram - a)  # of the windows
+            if first > last or a > b:
+                continue
+            core = text[gram - a : gram - b + WIDTH]
+            for to, value in zip(out, (xxhash.xxh64_intdigest(core, a * WIDTH + b) - (1 << 63), doc, t1, t2, place + first, gram - first, a, b), strict=True):
+                to.append(value)
+            data.append(text[first : last + WIDTH])
+    return _contested_batch(out, data)
+
+
+def _merger(large: int, equal: bool):
+    """The kernel that merges the segments of each bucket, which come sorted by key (and by their bytes, if equal ones may come).
+
+    It gives spans of repeats (key null), and what a bucket of more than
+    ``large`` segments is cut to, for the next round.
+    """
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A batch of spans in the columns of both."""
+        n = batch.num_rows
+        columns = {"key": pa.nulls(n, pa.int64()), "doc": batch.column("doc"), "t1": batch.column("t1"), "t2": batch.column("t2"), "place": batch.column("start"), "stop": batch.column("stop")}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, None) if f.name in columns else pa.nulls(n, f.type) for f in BOTH], schema=BOTH)
+
+    def cut(rows: Segments, segmenter: Segmenter):
+        for at in range(0, len(rows), large):
+            batch = halves(rows.take(np.arange(at, min(len(rows), at + large))), segmenter)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int64())], schema=BOTH)
+
+    def run(batches):
+        segmenter = Segmenter()
+        held: Segments | None = None  # the open bucket
+        over, last = None, None  # key of a bucket that is known to be large; the last segment seen
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = Segments.of(batch)
+            if equal:
+                rows, extra = rows.behind(last), 0 if last is None else 1
+                same = rows.same_as_before()
+                # the first of equal segments in a row; its place is known, as equal rows (one document twice) are no repeats
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+                again = same & np.logical_or.reduce([rows.columns[c] != rows.columns[c][head] for c in ("doc", "t1", "t2", "place")])
+                again[:extra] = False
+                if again.any():
+                    r = rows.take(np.flatnonzero(again))
+                    yield found(_spans(*(r.columns[c] for c in ("doc", "t1", "t2", "place")), r.columns["place"] + r.sizes))
+                last = rows.take(head[-1:])
+                fresh = ~same
+                fresh[:extra] = False
+                rows = rows.take(np.flatnonzero(fresh))
+                if not len(rows):
+                    continue
+            if over is not None:
+                more = rows.columns["key"] == over
+                if more.any():
+                    yield from cut(rows.take(np.flatnonzero(more)), segmenter)
+                    rows = rows.take(np.flatnonzero(~more))
+                    if not len(rows):
+                        continue
+                over = None
+            rows = rows.behind(held)
+            key = rows.columns["key"]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            held = rows.take(np.arange(begin[-1], len(rows)))
+            yield from merged(rows, begin[:-1], begin[1:], segmenter)
+            if len(held) > large:
+                yield from cut(held, segmenter)
+                held, over = None, int(key[-1])
+        if held is not None:
+            yield from merged(held, np.zeros(1, np.int64), np.array([len(held)]), segmenter)
+
+    def merged(rows: Segments, begin: np.ndarray, end: np.ndarray, segmenter: Segmenter):
+        count = end - begin
+        for b, e in zip(begin[count > large], end[count > large], strict=True):
+            yield from cut(rows.take(np.arange(b, e)), segmenter)
+        some = (count > 1) & (count <= large)
+        inside = np.repeat(some, count)  # buckets stand side by side from row 0 on
+        begin, end = begin[some], end[some]
+        bytes_before = np.concatenate([[0], np.cumsum(rows.sizes)])
+        size = np.cumsum(bytes_before[end] - bytes_before[begin])
+        at = 0
+        while at < len(begin):  # whole buckets, merged together
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
+            b, e = begin[at], end[upto - 1]
+            yield found(_spans(*repeated_windows(rows.take(np.flatnonzero(inside[b:e]) + b))))
+            at = upto
+
+    return run
+
+
+BOTH = pa.schema([*(pa.field(c, t) for c, t in zip(FIELDS, TYPES, strict=True)), pa.field("bytes", pa.binary()), pa.field("stop", pa.int64())])
 
 
 def _cut(batches):
@@ -385,61 +509,75 @@ def removed_spans(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
 
 
 class Marked:
-    """A fixed-size filter of documents: no false negatives; false positives only cost a shuffled row.
+    """A filter of the documents that ``rows`` names: no false negatives; false positives only cost a shuffled row.
 
-    It is a table of at most 2^18 words of 32 bits, joined by broadcast, so that
-    only texts it holds are shuffled.
+    It is a table of words of 32 bits, sized by the number of documents and
+    joined by broadcast, so that only texts it holds are shuffled.  For more than
+    ``MOST_MARKED`` documents the table would be too large to send: then all
+    texts are held, and the join by key sorts them out.
     """
 
     def __init__(self, rows: DataFrame):
-        bit = F.xxhash64("doc", "th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        words = rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("_bits"))
-        self.words = F.broadcast(materialise(words, "filter", 1))
+        n = rows.count()
+        self.words = None
+        if n <= MOST_MARKED:
+            bits = min(MOST_BITS, max(16, (8 * n).bit_length()))
+            self.bit = f"(xxhash64(doc, t1, t2) & {(1 << bits) - 1})"
+            bit = F.expr(self.bit)
+            words = rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("_bits"))
+            self.words = F.broadcast(materialise(words, "filter", 1))
 
     def _join(self, rows: DataFrame, how: str) -> DataFrame:
-        bit = "(xxhash64(doc, th) & {})".format((1 << FILTER_BITS) - 1)
-        return rows.join(self.words, F.expr(f"shiftright({bit}, 5) = _word AND (shiftright(_bits, cast({bit} & 31 AS int)) & 1) = 1"), how)
+        return rows.join(self.words, F.expr(f"shiftright({self.bit}, 5) = _word AND (shiftright(_bits, cast({self.bit} & 31 AS int)) & 1) = 1"), how)
 
     def held(self, rows: DataFrame) -> DataFrame:
         """Rows that may be marked."""
-        return self._join(rows, "left_semi")
+        return rows if self.words is None else self._join(rows, "left_semi")
 
     def free(self, rows: DataFrame) -> DataFrame:
         """The others."""
-        return self._join(rows, "left_anti")
+        return rows.where(F.lit(False)) if self.words is None else self._join(rows, "left_anti")
+
+
+KEY = ["doc", "t1", "t2"]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, doc (its place in the order), th (hash of the text) and text as bytes."""
+    """doc_id, its place in the order (doc: the id, null last; t1 and t2: 128 bits of the text's hash) and the text as bytes."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), "text")
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, th and spans (array of start, stop, unmerged) of the documents with repeated bytes."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+    """doc, t1, t2 and spans (array of start, stop, unmerged) of the documents with repeated bytes."""
     rows = keyed(docs, id_col, text_col)
-    segments = rows.select("doc", "th", "text").mapInArrow(_segments, SEGMENTS)
-    marks = segments.repartition("kh").sortWithinPartitions("kh", "sh", "doc", "th", "pn").mapInArrow(_marks, MARKS)
+    segments = rows.select(*KEY, "text").mapInArrow(_segments, SEGMENTS)
+    marks = segments.repartition("kh").sortWithinPartitions("kh", "sh", *KEY, "pn").mapInArrow(_marks, MARKS)
     marks = materialise(marks, "marks")  # its shuffle, the largest, can go
     contested = marks.where(F.col("kh").isNotNull())
-    wanted = contested.groupBy("doc", "th").agg(F.collect_list(F.struct("kh", "pn")).alias("wanted"))  # within one text's size
-    texts = Marked(contested).held(rows.select("doc", "th", "text"))
-    fetched = texts.join(wanted, ["doc", "th"]).mapInArrow(_fetch, CONTESTED)
-    merged = materialise(fetched.repartition("kh").sortWithinPartitions("kh", "doc", "th", "place").mapInArrow(_merge, SPANS), "merged")
-    spans = marks.where(F.col("kh").isNull()).select("doc", "th", F.shiftright("pn", 8).alias("start"), (F.shiftright("pn", 8) + F.col("pn").bitwiseAND(F.lit(127)) + (WIDTH - 1)).alias("stop"))
-    spans = spans.unionByName(merged.where(F.col("w1").isNull()).select("doc", "th", "start", "stop"))
-    large = merged.where(F.col("w1").isNotNull())
-    spans = spans.unionByName(large.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc", "th", "start").mapInArrow(_later, "doc long, th int, start long, stop long"))
-    return materialise(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel=_cut, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
+    wanted = contested.groupBy(*KEY).agg(F.collect_list(F.struct("kh", "pn")).alias("wanted"))  # within one text's size
+    texts = Marked(contested.select(*KEY)).held(rows.select(*KEY, "text"))
+    todo = texts.join(wanted, KEY).mapInArrow(lambda batches: joined(_fetch(batches), 8192), CONTESTED)
+    place = F.shiftright("pn", 8)
+    spans = marks.where(F.col("kh").isNull()).select(*KEY, place.alias("start"), (place + F.col("pn").bitwiseAND(F.lit(127)) + (WIDTH - 1)).alias("stop"))
+    order, equal = ["key", *KEY, "place"], False
+    while True:  # a round for each halving that large buckets need; seven halve a range to one window
+        merged = materialise(todo.repartition("key").sortWithinPartitions(*order).mapInArrow(_merger(large, equal), CONTESTED + ", stop long"), "merged")
+        spans = spans.unionByName(merged.where(F.col("key").isNull()).select(*KEY, F.col("place").alias("start"), "stop"))
+        todo = merged.where(F.col("key").isNotNull()).drop("stop")
+        if todo.isEmpty():
+            break
+        order, equal = ["key", "bytes", *KEY, "place"], True
+    return materialise(spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kernel=_cut, schema: str = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", large: int = LARGE) -> DataFrame:
     """One row per document; only texts that lose bytes are shuffled."""
-    rows, spans = keyed(docs, id_col, text_col), repeats(docs, id_col, text_col)
+    rows, spans = keyed(docs, id_col, text_col), repeats(docs, id_col, text_col, large)
     marked = Marked(spans)
     clean = marked.free(rows).select("doc_id", "text").mapInArrow(kernel, schema)
-    touched = marked.held(rows).join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans").mapInArrow(kernel, schema)
+    touched = marked.held(rows).join(spans, KEY, "left").select("doc_id", "text", "spans").mapInArrow(kernel, schema)
     return clean.unionByName(touched)
 
 

@@ -39,15 +39,29 @@ def test_selection_table(spark):
 def test_territorial_level_beats_time(spark):
     rows = [solution(1, 100, 10, enclaves=1, a=range(1, 11), b=range(11, 21)), solution(2, 900, 10, enclaves=0, a=range(1, 11), b=range(11, 21))]
     r = selection.select_territorial(spark.createDataFrame(rows, SOLUTION)).first()
-    assert r.source == "s2" and r.territorial_level == 0 and not r.above_levels
+    assert r.source == "s2" and r.territorial_level == 0 and r.admissible and r.fallback_reason == ""
+    rows = [solution(1, 900, 10, connected=False), solution(2, 100, 10, enclaves=5, connected=False)]
+    r = selection.select_territorial(spark.createDataFrame(rows, SOLUTION)).first()
+    assert (r.source, r.territorial_level, r.admissible, r.fallback_reason) == ("s2", None, False, "no_structurally_valid_solution")
+    r = selection.select_territorial(spark.createDataFrame([solution(1, 9, 9, enclaves=3), solution(2, 8, 8, connected=False)], SOLUTION)).first()
+    assert (r.source, r.territorial_level, r.fallback_reason) == ("s1", None, "enclave_cap_exceeded")
 
 
 def test_arbitration(spark):
     make = lambda *r: spark.createDataFrame([solution(1, *r[0], **(r[1] if len(r) > 1 else {}))], SOLUTION)
     verdict = lambda b, a: selection.arbitrate(b, a).first().verdict
-    assert verdict(make((100, 10)), make((90, 9))) == "kept"
-    assert verdict(make((100, 10)), make((131, 1))) == "rejected_slower"
-    assert verdict(make((100, 10)), make((90, 9), {"a": (1, 3), "b": (2, 4)})) == "rejected_membership"
+    assert verdict(make((100, 10)), make((90, 9))) == "or2opt_kept"
+    assert verdict(make((100, 10)), make((131, 1))) == "or2opt_rejected"
+    assert verdict(make((100, 10)), make((99, 10))) == "or2opt_rejected"  # an equal distance keeps the earlier one
+    assert verdict(make((100, 10)), make((60, 300))) == "or2opt_kept" and verdict(make((100, 10)), make((99, 300))) == "or2opt_rejected"
+    assert verdict(make((100, 10)), make((90, 9), {"a": (1, 3), "b": (2, 4)})) == "membership_changed"
+    assert verdict(make((100, 10)).limit(0), make((90, 9))) == "no_comparison_possible"
+
+
+def test_equals_go_to_the_solver_that_ranks_first(spark):
+    rows = [solution(i, 10, 5)[:2] + (by,) + solution(i, 10, 5)[3:] for i, by in enumerate(("vroom", "manual", "ortools", "heuristic"))]
+    r = selection.selection_reason(spark.createDataFrame(rows, SOLUTION)).first()
+    assert r.sequencer == "ortools" and r.reason == "level2_ortools"
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +105,7 @@ def test_graph_edges_agree_with_the_window(spark, grids):
 
 def test_requests(spark):
     body = lambda **k: json.dumps({"points": [{"id": "0012", "lat": 45.1, "lon": 4.2}, {"id": "12", "lat": "x", "lon": 4}]} | k)
-    raw = spark.createDataFrame([(1, body()), (2, body(strategy="x")), (3, body(ortools_solution_limit=12.7)), (4, body(max_swap_candidates=True)), (5, "{}"), (6, "no json"), (7, body(strategy=" KMEANS ", start_id="12"))], "instance_id long, body string")
+    raw = spark.createDataFrame([(1, body()), (2, body(strategy="x")), (3, body(ortools_solution_limit="12.7")), (4, body(max_swap_candidates="60")), (5, "{}"), (6, "no json"), (7, body(strategy=" KMEANS ", start_id="12"))], "instance_id long, body string")
     got = {r.instance_id: r for r in requests.parse(raw).collect()}
     assert [got[i].status for i in range(1, 8)] == [200, 400, 400, 400, 400, 400, 200]
     assert got[3].error.endswith("not an integer") and got[5].error == "no points" and got[7].strategy == "kmeans"

@@ -53,5 +53,7 @@ def enclave_thresholds(n: Column, ratios=(0.0, 0.05, 0.10), cap: float = 0.15) -
 
 
 def enclave_level(enclaves: Column, n: Column, cap: float = 0.15) -> Column:
-    """The first threshold that isn't below the enclaves, or null."""
-    return F.try_element_at(F.filter(enclave_thresholds(n, cap=cap), lambda t: t >= enclaves), F.lit(1))
+    """The number, from 0, of the first threshold that isn't below the enclaves, or null."""
+    thresholds = enclave_thresholds(n, cap=cap)
+    below = F.size(F.filter(thresholds, lambda t: t < enclaves))
+    return F.when(below < F.size(thresholds), below)

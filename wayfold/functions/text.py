@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTEGER = "^-?[0-9]+$"
+def _whole(raw: Column, kind: Column) -> tuple[Column, Column]:
+    """(value, beyond) of a variant that holds a whole number; numbers beyond 64 bits are told by their 19 digits or more."""
+    return F.when(kind == "BIGINT", F.try_variant_get(raw, "$", "bigint")), kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
 
 
 def strict_int(raw: Column, lo: int, hi: int, default: int) -> tuple[Column, Column]:
-    """(value, error) of a JSON scalar kept as its text: absent gives the default; only whole numbers in range are taken, never truncated."""
-    value = F.when(raw.isNull(), F.lit(default)).when(raw.rlike(INTEGER), raw.try_cast("long"))
-    error = F.when(raw.isNotNull() & ~raw.rlike(INTEGER), "not an integer").when(raw.isNotNull() & ~F.coalesce(value.between(lo, hi), F.lit(False)), "out of range")
-    return F.when(error.isNull(), value), error
+    """(value, error) of a JSON value (a variant): absent or null gives the default; texts, booleans and fractions are refused, never truncated."""
+    kind = F.schema_of_variant(raw)
+    value, beyond = _whole(raw, kind)
+    absent = raw.isNull() | (kind == "VOID")
+    error = F.when(absent, F.lit(None).cast("string")).when(value.isNull() & ~beyond, "not an integer").when(~F.coalesce(value.between(lo, hi), F.lit(False)), "out of range")
+    return F.when(absent, F.lit(default)).when(error.isNull(), value), error
+
+
+def loose_int(raw: Column, lo: int, hi: int, default: int) -> tuple[Column, Column]:
+    """Like ``strict_int``, but whole numbers in texts are read, fractions lose their decimals and booleans count 0 and 1."""
+    kind = F.schema_of_variant(raw)
+    value, beyond = _whole(raw, kind)
+    text = F.trim(F.try_variant_get(raw, "$", "string"))
+    typed = F.when((kind == "STRING") & text.rlike("^[+-]?[0-9]+$"), F.coalesce(text.try_cast("long"), F.lit(hi + 1).cast("long")))
+    number = F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(raw, "$", "double").cast("long")).when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("long"))
+    value = F.coalesce(value, F.when(~beyond, number), typed)
+    absent = raw.isNull() | (kind == "VOID")
+    error = F.when(absent, F.lit(None).cast("string")).when(value.isNull() & ~beyond, "not an integer").when(~F.coalesce(value.between(lo, hi), F.lit(False)), "out of range")
+    return F.when(absent, F.lit(default)).when(error.isNull(), value), error
 
 
 def number(raw: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from wayfold.functions.geo import enclave_level
 from wayfold.functions.text import one_sided_key
 
-#: Which order of stops is preferred among equals.
-SEQUENCER_RANK = {"vroom": 0, "ortools": 1, "heuristic": 2}
+#: Which order of stops is preferred among equals, the rank of all others, and the reason each is reported with.
+SEQUENCER_RANK = {"ortools": 0, "vroom": 1, "heuristic": 2}
+OTHER_RANK = 9
+SELECTION_REASONS = {"heuristic": "level1_heuristic", "ortools": "level2_ortools", "vroom": "level3_vroom"}
 
 
 def selection_key() -> Column:
@@ -26,11 +28,16 @@ def ranked(solutions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return solutions.withColumn("rank", F.row_number().over(order) - 1)
 
 
+def sequencer_rank(sequencer: Column) -> Column:
+    return F.coalesce(*[F.when(sequencer == s, r) for s, r in SEQUENCER_RANK.items()], F.lit(OTHER_RANK))
+
+
 def tiebreak() -> Column:
-    rank = F.coalesce(*[F.when(F.col("sequencer") == s, r) for s, r in SEQUENCER_RANK.items()], F.lit(len(SEQUENCER_RANK)))
+    """Within the window: distance, a clean border, the partition, then who ordered the stops, and the stops."""
+    zero = lambda c: F.coalesce(F.col(f"boundary.{c}"), F.lit(0))
     return F.struct(
-        F.col("distance_m").alias("t1"), (F.col("boundary.cut_edges") + F.col("boundary.enclave_points")).alias("t2"), one_sided_key(F.col("group_a"), F.col("group_b")).alias("t3"),
-        rank.alias("t4"), F.col("sequencer").alias("t5"), F.col("route_a").alias("t6"), F.col("route_b").alias("t7"),
+        F.col("distance_m").alias("t1"), (zero("cut_edges") + zero("enclave_points")).alias("t2"), one_sided_key(F.col("group_a"), F.col("group_b")).alias("t3"),
+        sequencer_rank(F.col("sequencer")).alias("t4"), F.coalesce("sequencer", F.lit("")).alias("t5"), F.concat("route_a", "route_b").alias("t6"),
     )
 
 
@@ -51,43 +58,54 @@ def select_best(solutions: DataFrame, tie_seconds: float = 30.0) -> DataFrame:
 
 
 def selection_reason(solutions: DataFrame, tie_seconds: float = 30.0) -> DataFrame:
-    """Why the winner won: it was alone in the window, the fastest in it, or shorter than a faster one."""
-    pool = window_pool(solutions, tie_seconds)
-    counts = pool.groupBy("instance_id").agg(F.count(F.lit(1)).alias("in_window"), F.min("duration_s").alias("fastest_s"))
-    reason = F.when(F.col("in_window") == 1, "only_in_window").when(F.col("duration_s") == F.col("fastest_s"), "fastest_and_shortest").otherwise("shorter_within_window")
-    return select_best(solutions, tie_seconds).join(counts, "instance_id").withColumn("reason", reason)
+    """The winner, and which level of ordering it came from; an unknown sequencer stands for itself."""
+    s = F.col("sequencer")
+    reason = F.coalesce(*[F.when(s == k, v) for k, v in SELECTION_REASONS.items()], s)
+    return select_best(solutions, tie_seconds).withColumn("reason", reason)
 
 
 def select_territorial(solutions: DataFrame, tie_seconds: float = 30.0, cap: float = 0.15) -> DataFrame:
-    """Among connected, even solutions the lowest level of enclaves is taken first, then the tie window decides.
+    """Among sound solutions (connected and even) the lowest level of enclaves is taken first, then the tie window decides.
 
-    Where no solution reaches a level, or none is sound, all are considered and the flags say so.
+    Where none is sound the window decides over all, where none reaches a level
+    over the sound ones; both are marked as not admissible, without a level.
     """
     of = Window.partitionBy("instance_id")
     n = F.size("group_a") + F.size("group_b")
-    marked = solutions.withColumn("sound", F.col("connected") & F.col("cardinality_ok")).withColumn("any_sound", F.max("sound").over(of)).where("sound = any_sound")
-    level = marked.withColumn("level", enclave_level(F.col("boundary.enclave_points"), n, cap)).withColumn("least_level", F.min("level").over(of))
-    at_level = level.where(F.col("least_level").isNull() | (F.col("level") == F.col("least_level")))
-    best = select_best(at_level.drop("sound"), tie_seconds)
-    return best.select(*solutions.columns, F.col("level").alias("territorial_level"), F.col("level").isNull().alias("above_levels"), (~F.col("any_sound")).alias("unsound"))
+    sound = F.col("connected") & F.col("cardinality_ok")
+    pool = solutions.withColumn("_sound", sound).withColumn("_any", F.max("_sound").over(of)).where("_sound = _any")
+    enclaves = F.coalesce("boundary.enclave_points", F.lit(0))
+    level = pool.withColumn("level", F.when(F.col("_any"), enclave_level(enclaves, n, cap))).withColumn("_least", F.min("level").over(of))
+    at_level = level.where(F.col("_least").isNull() | (F.col("level") == F.col("_least")))
+    best = select_best(at_level.withColumn("_some", F.col("_any")).drop("_sound", "_any", "_least"), tie_seconds)
+    reason = F.when(F.col("level").isNotNull(), "").when(F.col("_some"), "enclave_cap_exceeded").otherwise("no_structurally_valid_solution")
+    return best.select(*solutions.columns, F.col("level").alias("territorial_level"), F.col("level").isNotNull().alias("admissible"), reason.alias("fallback_reason"))
 
 
 def arbitrate(before: DataFrame, after: DataFrame, tie_seconds: float = 30.0) -> DataFrame:
-    """Whether the post-optimised solution replaces the one before.
+    """Whether the post-optimised routes replace those before: both compete by the tie window and its tiebreak.
 
-    A changed membership is rejected; incomplete figures keep the later one;
-    otherwise both compete in the tie window.
+    The later one competes under a sequencer of its own, whose rank is behind
+    all known ones, so equal distances keep the earlier one.  Without a solution
+    before there is nothing to compare; routes whose points changed are
+    rejected; incomplete figures keep the later one.
     """
-    b = before.select("instance_id", *[F.col(c).alias(f"b_{c}") for c in ("group_a", "group_b", "duration_s", "distance_m")])
-    a = after.select("instance_id", *[F.col(c).alias(f"a_{c}") for c in ("group_a", "group_b", "duration_s", "distance_m")])
-    same = lambda x, y: F.array_sort(x) == F.array_sort(y)
-    moved = ~((same(F.col("b_group_a"), F.col("a_group_a")) & same(F.col("b_group_b"), F.col("a_group_b"))) | (same(F.col("b_group_a"), F.col("a_group_b")) & same(F.col("b_group_b"), F.col("a_group_a"))))
+    columns = ("route_a", "route_b", "duration_s", "distance_m")
+    b = before.select("instance_id", *[F.col(c).alias(f"b_{c}") for c in columns], F.coalesce(F.nullif("sequencer", F.lit("")), F.lit("heuristic")).alias("b_by"))
+    a = after.select("instance_id", *[F.col(c).alias(f"a_{c}") for c in columns])
+    same = lambda c: F.array_sort(F.array_distinct(f"b_{c}")) == F.array_sort(F.array_distinct(f"a_{c}"))
+    nothing = F.coalesce(F.size("b_route_a") + F.size("b_route_b"), F.lit(0)) <= 0
     blank = F.col("b_duration_s").isNull() | F.col("a_duration_s").isNull() | F.col("b_distance_m").isNull() | F.col("a_distance_m").isNull()
+    key = lambda s, by: F.struct(F.col(f"{s}_distance_m").alias("d"), sequencer_rank(by).alias("r"), by.alias("s"), F.concat(f"{s}_route_a", f"{s}_route_b").alias("p"))
     fastest = F.least("b_duration_s", "a_duration_s")
     in_b, in_a = F.col("b_duration_s") <= fastest + tie_seconds, F.col("a_duration_s") <= fastest + tie_seconds
-    after_wins = F.when(in_a & in_b, (F.col("a_distance_m") < F.col("b_distance_m")) | ((F.col("a_distance_m") == F.col("b_distance_m")) & (F.col("a_duration_s") <= F.col("b_duration_s")))).otherwise(in_a)
-    verdict = F.when(moved, "rejected_membership").when(blank, "kept_incomplete").when(after_wins, "kept").otherwise("rejected_slower")
-    return b.join(a, "instance_id").select("instance_id", verdict.alias("verdict"), "b_duration_s", "a_duration_s", "b_distance_m", "a_distance_m")
+    after_wins = in_a & (~in_b | (key("a", F.lit("or2opt")) < key("b", F.col("b_by"))))
+    verdict = (
+        F.when(nothing, "no_comparison_possible").when(~(same("route_a") & same("route_b")), "membership_changed").when(blank, "metrics_incomplete")
+        .when(after_wins, "or2opt_kept").otherwise("or2opt_rejected")
+    )
+    out = a.join(b, "instance_id", "left").withColumn("verdict", verdict)
+    return out.select("instance_id", "verdict", F.col("verdict").isin("no_comparison_possible", "metrics_incomplete", "or2opt_kept").alias("kept"), "b_duration_s", "a_duration_s", "b_distance_m", "a_distance_m")
 
 
 def connectivity_penalty(best: DataFrame, reference: DataFrame) -> DataFrame:
@@ -136,6 +154,6 @@ def partition_verdict(connected: Column, target: Column, indices: Column) -> Col
     return (
         F.when(F.size(F.array_distinct(both)) != F.size(both), "duplicate")
         .when((F.size(F.array_except(indices, both)) > 0) | (F.size(F.array_except(both, indices)) > 0), "lost_points")
-        .when((F.size("group_a") != target) & (F.size("group_b") != target), "invalid_size")
+        .when((F.size("group_a") != target) | (F.size("group_b") != F.size(indices) - target), "invalid_size")
         .when(~connected, "disconnected").otherwise("ok")
     )

@@ -27,7 +27,7 @@ numbered AS (
   SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn,
          (1103515245 * c_custkey::BIGINT + 12345) % 2147483648 AS h1 FROM customer
 ), points AS (
-  SELECT c_nationkey::BIGINT * 1000 + rn // 61 AS instance_id, (rn % 61)::INTEGER AS idx, c_custkey::VARCHAR AS id, 'customer ' || c_custkey AS address,
+  SELECT c_nationkey::BIGINT * 1000000000 + rn // 61 AS instance_id, (rn % 61)::INTEGER AS idx, c_custkey::VARCHAR AS id, 'customer ' || c_custkey AS address,
          45.40 + 0.09 * h1 / 2147483648.0::DOUBLE AS lat, 4.33 + 0.11 * ((1103515245 * h1 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS lon FROM numbered
 )"""
 KM = "12742.0 * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2.0) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2.0)))"
@@ -116,16 +116,27 @@ def invalid_points(spark, sf_dir):
     return bad.withColumn("first_ids", F.array_join("first_ids", ","))
 
 
-@query("strict_integers", """
-WITH r AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '12' WHEN 2 THEN '12.7' WHEN 3 THEN 'true' WHEN 4 THEN '-3' WHEN 5 THEN c_custkey::VARCHAR ELSE 'x' END AS raw FROM customer)
-SELECT c_custkey, CASE WHEN raw IS NULL THEN 75 WHEN regexp_matches(raw, '^-?[0-9]+$') AND try_cast(raw AS BIGINT) BETWEEN 1 AND 10000 THEN raw::BIGINT END AS value,
-  CASE WHEN raw IS NOT NULL AND NOT regexp_matches(raw, '^-?[0-9]+$') THEN 'not an integer' WHEN raw IS NOT NULL AND NOT try_cast(raw AS BIGINT) BETWEEN 1 AND 10000 THEN 'out of range' END AS error FROM r""")
+#: JSON values of overrides, by turns; 'key' stands for the customer's number.
+JSON_VALUES = (None, "null", "12", "12.7", "true", "-3", "key", '"60"', "99999999999999999999", "12.0", "[1]", '" 7 "', '"x"', "1e3")
+
+
+def _json_sql(values: dict, otherwise: str) -> str:
+    return "CASE c_custkey % 14 " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {otherwise} END"
+
+
+@query("strict_integers", f"""SELECT c_custkey,
+  {_json_sql({0: "75", 1: "75", 2: "12", 6: "CASE WHEN c_custkey BETWEEN 1 AND 10000 THEN c_custkey END"}, "NULL")}::BIGINT AS strict,
+  {_json_sql({0: "NULL", 1: "NULL", 2: "NULL", 5: "'out of range'", 6: "CASE WHEN c_custkey NOT BETWEEN 1 AND 10000 THEN 'out of range' END", 8: "'out of range'"}, "'not an integer'")} AS strict_error,
+  {_json_sql({0: "75", 1: "75", 2: "12", 3: "12", 4: "1", 6: "CASE WHEN c_custkey BETWEEN 1 AND 10000 THEN c_custkey END", 7: "60", 9: "12", 11: "7", 13: "1000"}, "NULL")}::BIGINT AS loose,
+  {_json_sql({5: "'out of range'", 6: "CASE WHEN c_custkey NOT BETWEEN 1 AND 10000 THEN 'out of range' END", 8: "'out of range'", 10: "'not an integer'", 12: "'not an integer'"}, "NULL")} AS loose_error
+FROM customer""")
 def strict_integers(spark, sf_dir):
     k = F.col("c_custkey")
-    raw = F.when(k % 7 == 1, "12").when(k % 7 == 2, "12.7").when(k % 7 == 3, "true").when(k % 7 == 4, "-3").when(k % 7 == 5, k.cast("string")).when(k % 7 == 6, "x")
+    value = F.get(F.array(*map(F.lit, JSON_VALUES)), (k % len(JSON_VALUES)).cast("int"))
+    raw = F.parse_json(F.when(value == "key", k.cast("string")).otherwise(value))
     r = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", raw.alias("raw"))
-    value, error = text.strict_int(F.col("raw"), 1, 10000, 75)
-    return r.select("c_custkey", value.alias("value"), error.alias("error"))
+    (strict, wrong), (loose, loosely_wrong) = (f(F.col("raw"), 1, 10000, 75) for f in (text.strict_int, text.loose_int))
+    return r.select("c_custkey", strict.cast("long").alias("strict"), wrong.alias("strict_error"), loose.cast("long").alias("loose"), loosely_wrong.alias("loose_error"))
 
 
 def request_bodies(spark, sf_dir):
@@ -139,14 +150,16 @@ def request_bodies(spark, sf_dir):
         strategy.alias("strategy"), F.when(k == 2, "12.5").when(k == 3, "20000").when(k == 4, "60").alias("ortools_solution_limit"),
         F.when(k == 5, F.lit("unknown")).otherwise(F.get("p", F.lit(0))["id"]).alias("start_id"),
     )
-    return pts.select("instance_id", F.to_json(body).alias("body"))
+    text_body = F.to_json(body)
+    quoted = F.concat(F.left(text_body, F.length(text_body) - 1), F.lit(',"max_swap_candidates":"60"}'))  # a text is no whole number
+    return pts.select("instance_id", F.when(k == 6, quoted).otherwise(text_body).alias("body"))
 
 
 @query("parsed_requests", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, count(*) AS n, instance_id % 9 AS k FROM points GROUP BY instance_id),
 s AS (SELECT *, CASE k WHEN 0 THEN 'nothing' WHEN 7 THEN 'kmeans' ELSE (['{"','".join(STRATEGIES)}'])[(instance_id % 5 + 1)::INTEGER] END AS strategy FROM g)
 SELECT instance_id, strategy, CASE WHEN k = 1 THEN 0 ELSE n END AS n_points, CASE WHEN k IN (2, 3) THEN NULL WHEN k = 4 THEN 60 ELSE 75 END AS ortools_solution_limit,
-  CASE k WHEN 0 THEN 'unknown strategy' WHEN 1 THEN 'no points' WHEN 2 THEN 'ortools_solution_limit: not an integer' WHEN 3 THEN 'ortools_solution_limit: out of range' END AS error,
-  CASE WHEN k < 4 THEN 400 ELSE 200 END AS status FROM s""")
+  CASE k WHEN 0 THEN 'unknown strategy' WHEN 1 THEN 'no points' WHEN 2 THEN 'ortools_solution_limit: not an integer' WHEN 3 THEN 'ortools_solution_limit: out of range' WHEN 6 THEN 'max_swap_candidates: not an integer' END AS error,
+  CASE WHEN k < 4 OR k = 6 THEN 400 ELSE 200 END AS status FROM s""")
 def parsed_requests(spark, sf_dir):
     return requests.parse(request_bodies(spark, sf_dir)).select("instance_id", "strategy", F.col("n_points").cast("long").alias("n_points"), F.col("ortools_solution_limit").cast("int").alias("ortools_solution_limit"), "error", "status")
 
@@ -401,7 +414,7 @@ def vehicle_totals(spark, sf_dir):
 
 @query("capacities_and_levels", f"""WITH {POINTS_SQL}, n AS (SELECT instance_id, count(*) - 1 AS n FROM points GROUP BY 1), t AS (SELECT *, ceil(0.15::DOUBLE * n)::INTEGER AS cap, n % 11 AS e FROM n),
 l AS (SELECT *, [0, least(ceil(0.05::DOUBLE * n)::INTEGER, cap), least(ceil(0.1::DOUBLE * n)::INTEGER, cap), cap] AS levels FROM t)
-SELECT instance_id, ceil(n / 2)::INTEGER AS capacity, CASE WHEN n <= 40 THEN 5 ELSE 3 END AS runs, array_to_string(levels, ',') AS levels, list_min(list_filter(levels, lambda x: x >= e)) AS level FROM l""")
+SELECT instance_id, ceil(n / 2)::INTEGER AS capacity, CASE WHEN n <= 40 THEN 5 ELSE 3 END AS runs, array_to_string(levels, ',') AS levels, CASE WHEN e <= levels[1] THEN 0 WHEN e <= levels[2] THEN 1 WHEN e <= levels[3] THEN 2 WHEN e <= levels[4] THEN 3 END AS level FROM l""")
 def capacities_and_levels(spark, sf_dir):
     n = F.col("n")
     s = world.points(spark, sf_dir).groupBy("instance_id").agg((F.count(F.lit(1)) - 1).alias("n"))
@@ -506,8 +519,8 @@ def articulation_points(spark, sf_dir):
 
 #: Many made-up solutions per customer: orders as solutions of their customer's instance.
 SOLUTIONS_SQL = """sol AS (
-  SELECT o_custkey AS instance_id, o_orderkey AS k, round(o_totalprice / 1000) * 5 AS duration_s, (o_orderkey * 37 % 1000)::DOUBLE AS distance_m, o_orderkey % 5 <> 0 AS connected, o_orderkey % 7 <> 0 AS cardinality_ok,
-    (o_orderkey % 3)::INTEGER AS components_total, (o_orderkey % 13)::INTEGER AS cut_edges, (o_orderkey % 4)::INTEGER AS enclave_points, ['vroom', 'ortools', 'heuristic'][(o_orderkey % 3 + 1)::INTEGER] AS sequencer FROM orders
+  SELECT o_custkey AS instance_id, o_orderkey AS k, round(o_totalprice / 20000) * 10 AS duration_s, (o_orderkey // 4 % 3 * 250)::DOUBLE AS distance_m, o_orderkey % 5 <> 0 AS connected, o_orderkey % 7 <> 0 AS cardinality_ok,
+    (o_orderkey % 3)::INTEGER AS components_total, (o_orderkey // 7 % 2)::INTEGER AS cut_edges, (o_orderkey // 5 % 4)::INTEGER AS enclave_points, ['vroom', 'ortools', 'heuristic', 'manual'][(o_orderkey % 4 + 1)::INTEGER] AS sequencer FROM orders
 )"""
 
 
@@ -515,14 +528,16 @@ def order_solutions(spark, sf_dir):
     k = F.col("o_orderkey")
     pair = lambda m: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda x: (x * 2 - m).cast("int"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_custkey").alias("instance_id"), k.alias("k"), F.concat(F.lit("s:"), k.cast("string")).alias("source"), F.get(F.array(F.lit("vroom"), F.lit("ortools"), F.lit("heuristic")), (k % 3).cast("int")).alias("sequencer"),
+        F.col("o_custkey").alias("instance_id"), k.alias("k"), F.concat(F.lit("s:"), k.cast("string")).alias("source"), F.get(F.array(F.lit("vroom"), F.lit("ortools"), F.lit("heuristic"), F.lit("manual")), (k % 4).cast("int")).alias("sequencer"),
         pair(1).alias("group_a"), pair(0).alias("group_b"), F.array(k.cast("int")).alias("route_a"), F.array(F.lit(0)).alias("route_b"),
-        (F.round(F.col("o_totalprice") / 1000) * 5).cast("double").alias("duration_s"), (k * 37 % 1000).cast("double").alias("distance_m"), (k % 5 != 0).alias("connected"), (k % 7 != 0).alias("cardinality_ok"), (k % 3).cast("int").alias("components_total"),
-        F.struct((k % 13).cast("int").alias("cut_edges"), F.lit(0.0).alias("cut_length_m"), F.lit(0).alias("cross_neighbors"), (k % 4).cast("int").alias("enclave_points")).alias("boundary"),
+        (F.round(F.col("o_totalprice") / 20000) * 10).cast("double").alias("duration_s"), (F.floor(k / 4) % 3 * 250).cast("double").alias("distance_m"), (k % 5 != 0).alias("connected"), (k % 7 != 0).alias("cardinality_ok"), (k % 3).cast("int").alias("components_total"),
+        F.struct((F.floor(k / 7) % 2).cast("int").alias("cut_edges"), F.lit(0.0).alias("cut_length_m"), F.lit(0).alias("cross_neighbors"), (F.floor(k / 5) % 4).cast("int").alias("enclave_points")).alias("boundary"),
     )
 
 
-@query("selection_rank", f"WITH {SOLUTIONS_SQL}, t AS (SELECT *, min(k) OVER (PARTITION BY instance_id, connected, cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) AS least FROM sol) SELECT instance_id, k, (rank() OVER (PARTITION BY instance_id ORDER BY NOT connected, NOT cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) - 1)::INTEGER AS rank FROM t WHERE k = least")
+@query("selection_rank", f"""WITH {SOLUTIONS_SQL}, t AS (SELECT *, min(k) OVER (PARTITION BY instance_id, connected, cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) AS least,
+  (rank() OVER (PARTITION BY instance_id ORDER BY NOT connected, NOT cardinality_ok, components_total, duration_s, distance_m, cut_edges + enclave_points) - 1)::INTEGER AS rank FROM sol)
+SELECT instance_id, k, rank FROM t WHERE k = least""")
 def selection_rank(spark, sf_dir):
     r = selection.ranked(order_solutions(spark, sf_dir))
     w = Window.partitionBy("instance_id", "connected", "cardinality_ok", "components_total", "duration_s", "distance_m", F.col("boundary.cut_edges") + F.col("boundary.enclave_points"))
@@ -533,31 +548,36 @@ POOL_SQL = f"""WITH {SOLUTIONS_SQL}, v AS (SELECT *, connected AND cardinality_o
 b AS (SELECT *, min(duration_s) OVER (PARTITION BY instance_id) AS best FROM a WHERE ok = has), pool AS (SELECT * FROM b WHERE duration_s <= best + 30)"""
 
 
-@query("select_best_window", POOL_SQL + """ SELECT instance_id, k, duration_s, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r FROM pool) WHERE r = 1""")
+@query("select_best_window", POOL_SQL + """ SELECT instance_id, k, duration_s, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, CASE sequencer WHEN 'ortools' THEN 0 WHEN 'vroom' THEN 1 WHEN 'heuristic' THEN 2 ELSE 9 END, sequencer, k) AS r FROM pool) WHERE r = 1""")
 def select_best_window(spark, sf_dir):
     return selection.select_best(order_solutions(spark, sf_dir)).select("instance_id", "k", "duration_s", "distance_m")
 
 
-@query("selection_reasons", POOL_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r, count(*) OVER (PARTITION BY instance_id) AS n FROM pool)
-SELECT instance_id, CASE WHEN n = 1 THEN 'only_in_window' WHEN duration_s = best THEN 'fastest_and_shortest' ELSE 'shorter_within_window' END AS reason FROM w WHERE r = 1""")
+@query("selection_reasons", POOL_SQL + """, w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, CASE sequencer WHEN 'ortools' THEN 0 WHEN 'vroom' THEN 1 WHEN 'heuristic' THEN 2 ELSE 9 END, sequencer, k) AS r FROM pool)
+SELECT instance_id, CASE sequencer WHEN 'heuristic' THEN 'level1_heuristic' WHEN 'ortools' THEN 'level2_ortools' WHEN 'vroom' THEN 'level3_vroom' ELSE sequencer END AS reason FROM w WHERE r = 1""")
 def selection_reasons(spark, sf_dir):
     return selection.selection_reason(order_solutions(spark, sf_dir)).select("instance_id", "reason")
 
 
 @query("territorial_selection", f"""WITH {SOLUTIONS_SQL}, v AS (SELECT *, connected AND cardinality_ok AS ok FROM sol), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY instance_id) AS has FROM v),
-l AS (SELECT *, CASE WHEN enclave_points <= 0 THEN 0 WHEN enclave_points <= 1 THEN 1 WHEN enclave_points <= 2 THEN 2 END AS level FROM a WHERE ok = has),
+l AS (SELECT *, CASE WHEN NOT has THEN NULL WHEN enclave_points <= 0 THEN 0 WHEN enclave_points <= 1 THEN 1 WHEN enclave_points <= 2 THEN 3 END AS level FROM a WHERE ok OR NOT has),
 m AS (SELECT *, min(level) OVER (PARTITION BY instance_id) AS least_level FROM l), p AS (SELECT *, min(duration_s) OVER (PARTITION BY instance_id) AS best FROM m WHERE least_level IS NULL OR level = least_level),
-w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, k % 3, sequencer, k) AS r FROM p WHERE duration_s <= best + 30)
-SELECT instance_id, k, level AS territorial_level, level IS NULL AS above_levels, NOT has AS unsound FROM w WHERE r = 1""")
+w AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY distance_m, cut_edges + enclave_points, CASE sequencer WHEN 'ortools' THEN 0 WHEN 'vroom' THEN 1 WHEN 'heuristic' THEN 2 ELSE 9 END, sequencer, k) AS r FROM p WHERE duration_s <= best + 30)
+SELECT instance_id, k, level AS territorial_level, level IS NOT NULL AS admissible, CASE WHEN level IS NOT NULL THEN '' WHEN has THEN 'enclave_cap_exceeded' ELSE 'no_structurally_valid_solution' END AS fallback_reason FROM w WHERE r = 1""")
 def territorial_selection(spark, sf_dir):
-    return selection.select_territorial(order_solutions(spark, sf_dir)).select("instance_id", "k", "territorial_level", "above_levels", "unsound")
+    return selection.select_territorial(order_solutions(spark, sf_dir)).select("instance_id", "k", "territorial_level", "admissible", "fallback_reason")
 
 
-@query("arbitration", f"""WITH {SOLUTIONS_SQL}, b AS (SELECT instance_id, min_by(duration_s, k) AS bd, min_by(distance_m, k) AS bm, max_by(duration_s, k) AS ad, max_by(distance_m, k) AS am FROM sol GROUP BY 1), f AS (SELECT *, least(bd, ad) AS q FROM b)
-SELECT instance_id, CASE WHEN CASE WHEN ad <= q + 30 AND bd <= q + 30 THEN am < bm OR (am = bm AND ad <= bd) ELSE ad <= q + 30 END THEN 'kept' ELSE 'rejected_slower' END AS verdict FROM f""")
+@query("arbitration", f"""WITH {SOLUTIONS_SQL}, t AS (SELECT instance_id, min(k) AS bk, max(k) AS ak FROM sol GROUP BY 1),
+f AS (SELECT t.*, b.duration_s AS bd, b.distance_m AS bm, b.sequencer AS bs, a.duration_s AS ad, a.distance_m AS am FROM t JOIN sol b ON b.instance_id = t.instance_id AND b.k = bk JOIN sol a ON a.instance_id = t.instance_id AND a.k = ak)
+SELECT instance_id, CASE
+  WHEN bk % 3 <> ak % 3 THEN 'membership_changed'
+  WHEN ad > bd + 30 THEN 'or2opt_rejected' WHEN bd > ad + 30 THEN 'or2opt_kept'
+  WHEN am < bm THEN 'or2opt_kept' WHEN am > bm THEN 'or2opt_rejected'
+  WHEN bs IN ('ortools', 'vroom', 'heuristic') OR bs < 'or2opt' THEN 'or2opt_rejected' WHEN bs > 'or2opt' THEN 'or2opt_kept' ELSE 'or2opt_rejected' END AS verdict FROM f""")
 def arbitration(spark, sf_dir):
-    s = order_solutions(spark, sf_dir)
-    pick = lambda f: s.groupBy("instance_id").agg(f(F.struct("group_a", "group_b", "duration_s", "distance_m"), "k").alias("s")).select("instance_id", "s.*")
+    s = order_solutions(spark, sf_dir).withColumn("route_a", F.array((F.col("k") % 3).cast("int")))
+    pick = lambda f: s.groupBy("instance_id").agg(f(F.struct("route_a", "route_b", "duration_s", "distance_m", "sequencer"), "k").alias("s")).select("instance_id", "s.*")
     return selection.arbitrate(pick(F.min_by), pick(F.max_by)).select("instance_id", "verdict")
 
 
@@ -591,16 +611,19 @@ def source_counters(spark, sf_dir):
     return selection.source_counters(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("instance_id"), F.col("l_returnflag").alias("source"), verdict.alias("verdict")))
 
 
-@query("partition_verdicts", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, count(*) FILTER (WHERE idx > 0) AS n, instance_id % 5 AS m FROM points GROUP BY 1 HAVING count(*) > 5)
-SELECT instance_id, CASE m WHEN 0 THEN 'duplicate' WHEN 1 THEN 'lost_points' WHEN 2 THEN 'invalid_size' WHEN 3 THEN 'disconnected' ELSE 'ok' END AS verdict FROM g""")
+@query("partition_verdicts", f"""WITH {POINTS_SQL}, g AS (SELECT instance_id, count(*) FILTER (WHERE idx > 0) AS n, instance_id % 7 AS m FROM points GROUP BY 1),
+s AS (SELECT instance_id, m, n, (n + 1) // 2 AS na, n // 2 AS nb FROM g WHERE n > 0)
+SELECT instance_id, CASE WHEN m = 0 THEN 'duplicate' WHEN m = 1 THEN 'lost_points' WHEN m = 2 AND nb > 0 THEN 'invalid_size' WHEN m = 6 AND na <> nb THEN 'invalid_size' WHEN m = 3 THEN 'disconnected' ELSE 'ok' END AS verdict FROM s""")
 def partition_verdicts(spark, sf_dir):
-    p = parity_partitions(world.points(spark, sf_dir)).withColumn("indices", F.array_sort(F.concat("group_a", "group_b"))).where("size(indices) >= 5")
-    m = F.col("instance_id") % 5
+    """Partitions by parity, made faulty by turns: a point twice, lost, moved, or (6) both sides exchanged, which fails where they differ in size."""
+    p = parity_partitions(world.points(spark, sf_dir)).withColumn("indices", F.array_sort(F.concat("group_a", "group_b"))).where("size(indices) > 0")
+    m = F.col("instance_id") % 7
     a, b = F.col("group_a"), F.col("group_b")
-    p = p.withColumn("target", F.floor(F.size("indices") / 2).cast("int"))
-    moved = p.withColumn("new_a", F.when(m == 0, F.concat(a, F.slice(a, 1, 1))).when(m == 1, F.slice(a, 2, 1000)).when(m == 2, F.concat(a, F.slice(b, 1, 2))).otherwise(a)).withColumn("new_b", F.when(m == 2, F.slice(b, 3, 1000)).otherwise(b))
-    q = moved.select("instance_id", "indices", "target", F.col("new_a").alias("group_a"), F.col("new_b").alias("group_b"))
-    return q.select("instance_id", selection.partition_verdict(F.col("instance_id") % 5 != 3, F.col("target"), F.col("indices")).alias("verdict"))
+    p = p.withColumn("target", F.size(a))
+    new_a = F.when(m == 0, F.concat(a, F.slice(a, 1, 1))).when(m == 1, F.slice(a, 2, 1000)).when(m == 2, F.concat(a, F.slice(b, 1, 1))).when(m == 6, b).otherwise(a)
+    new_b = F.when(m == 2, F.slice(b, 2, 1000)).when(m == 6, a).otherwise(b)
+    q = p.select("instance_id", "indices", "target", new_a.alias("group_a"), new_b.alias("group_b"))
+    return q.select("instance_id", selection.partition_verdict(m != 3, F.col("target"), F.col("indices")).alias("verdict"))
 
 
 @query("ledger_counts", """WITH s AS (SELECT o_custkey AS instance_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 4 AS t, o_orderkey % 4 AS m FROM orders)

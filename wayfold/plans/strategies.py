@@ -52,7 +52,7 @@ def hybrid(points: DataFrame, packed: DataFrame, settings: Settings) -> DataFram
     """Cut cycles, joint solves and a seeded search; the lowest level of enclaves first, then the tie window."""
     seeded = packed.withColumn("seed", seed_of(matrix_content_hash(F.col("dur"), F.col("dist"))))
     solved = search.hybrid_solutions(seeded, settings)
-    return selection.select_territorial(solved, settings.tie_seconds, settings.enclave_cap).drop("territorial_level", "above_levels", "unsound")
+    return selection.select_territorial(solved, settings.tie_seconds, settings.enclave_cap).drop("territorial_level", "admissible", "fallback_reason")
 
 
 PLANS = {

@@ -22,6 +22,6 @@ REQUEST = T.StructType([
     ]))),
     T.StructField("num_vehicles", T.StringType()), T.StructField("max_per_vehicle", T.StringType()),
     T.StructField("start_id", T.StringType()), T.StructField("end_id", T.StringType()),
-    T.StructField("strategy", T.StringType()), T.StructField("ortools_solution_limit", T.StringType()),
-    T.StructField("max_swap_candidates", T.StringType()), T.StructField("swap_max_consecutive_fails", T.StringType()),
+    T.StructField("strategy", T.StringType()), T.StructField("ortools_solution_limit", T.VariantType()),
+    T.StructField("max_swap_candidates", T.VariantType()), T.StructField("swap_max_consecutive_fails", T.VariantType()),
 ])

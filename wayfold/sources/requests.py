@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from wayfold.config import STRATEGIES
 from wayfold.functions.geo import finite_coords
-from wayfold.functions.text import split_ids, strict_int
+from wayfold.functions.text import loose_int, split_ids, strict_int
 from wayfold.schemas import REQUEST
 
 #: Range and default of the whole-number overrides.
 OVERRIDES = {"ortools_solution_limit": (1, 10000, 75), "max_swap_candidates": (0, 200, 50), "swap_max_consecutive_fails": (0, 200, 0)}
+#: The override that is read loosely; the others must be whole numbers in the JSON.
+LOOSE = ("ortools_solution_limit",)
 
 
 def parse(raw: DataFrame, json_col: str = "body") -> DataFrame:
@@ -22,7 +24,7 @@ def parse(raw: DataFrame, json_col: str = "body") -> DataFrame:
     error = F.when(no_points, "no points").when(~strategy.isin(*STRATEGIES), "unknown strategy")
     columns = {}
     for name, (lo, hi, default) in OVERRIDES.items():
-        value, wrong = strict_int(F.col(f"r.{name}"), lo, hi, default)
+        value, wrong = (loose_int if name in LOOSE else strict_int)(F.col(f"r.{name}"), lo, hi, default)
         columns[name] = value
         error = error.when(wrong.isNotNull(), F.concat(F.lit(f"{name}: "), wrong))
     whole = lambda c, default: F.coalesce(F.col(f"r.{c}").try_cast("int"), F.lit(default))

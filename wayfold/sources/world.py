@@ -14,6 +14,9 @@ from wayfold.functions.geo import haversine_m, travel_seconds
 NODES = 61
 SPEED_KMH = 28.0
 MODULUS = 2147483648
+#: Customer keys that are numbered by one task, and instances that a nation may have.
+RANGE = 1 << 18
+NATION = 1_000_000_000
 
 
 def lcg(x: Column) -> Column:
@@ -22,12 +25,16 @@ def lcg(x: Column) -> Column:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation in groups of 61: a depot (idx 0) and up to 60 collection points."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
-    rn = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / RANGE).alias("_range"))
+    # numbers within a nation: those within a range of keys, behind the counts of the ranges before
+    counts = customers.groupBy("c_nationkey", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy("c_nationkey").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("c_nationkey", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    rn = F.col("_before") + F.row_number().over(Window.partitionBy("c_nationkey", "_range").orderBy("c_custkey")) - 1
     h1 = lcg(F.col("c_custkey"))
-    numbered = customers.withColumn("rn", rn).withColumn("h1", h1).withColumn("h2", lcg(F.col("h1")))
+    numbered = customers.join(counts, ["c_nationkey", "_range"]).withColumn("rn", rn).withColumn("h1", h1).withColumn("h2", lcg(F.col("h1")))
     return numbered.select(
-        (F.col("c_nationkey").cast("long") * 1000 + F.floor(F.col("rn") / NODES)).alias("instance_id"),
+        (F.col("c_nationkey").cast("long") * NATION + F.floor(F.col("rn") / NODES)).alias("instance_id"),
         F.pmod("rn", F.lit(NODES)).cast("int").alias("idx"),
         F.col("c_custkey").cast("string").alias("id"),
         F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("address"),

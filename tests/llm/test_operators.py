@@ -68,6 +68,18 @@ def test_mixing_targets_and_quotas(spark, docs, rows):
     assert sorted(map(str, again.drawn(again.sizes, []).collect())) == sorted(map(str, got))
 
 
+def test_mixing_reruns_agree_on_repeated_and_null_ids(spark):
+    rnd = random.Random(13)
+    rows = [(i % 5, " ".join("w" * rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 40))), f"s{k % 3}") for k in range(80) for i in range(5)]
+    rows += [(None, r[1], r[2]) for r in rows[:150]] + rows[:40] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    outcomes = []
+    for parts in (1, 3, 7):
+        mixed = mixing.mix(df.repartition(parts), shard_words=900)
+        outcomes.append(sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in mixed.collect()))
+    assert outcomes[0] == outcomes[1] == outcomes[2]
+
+
 def test_mixing_tree_is_exact():
     quotas = np.array([7, 0, 100, 23])
     leaves = list(mixing.split_quotas(quotas, 9, 0, 9))
@@ -93,13 +105,15 @@ def test_mixing_rows_and_edges(docs, empty, clashing):
 # -------------------------------------------------------------------- 2 top-k
 
 
-def test_top_k_against_brute_force(spark):
+def test_top_k_against_brute_force(spark, monkeypatch):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(400, 460)]
     rows += [(461, None), (462, [0.1, None]), (463, [float("nan")] * 8), (464, [float("inf")] * 8), (None, [0.1] * 8), (480, [1e30] * 8), (500, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(2)).repartition(3)
     got = collections.defaultdict(list)
+    monkeypatch.setattr(topk, "SHARDS_AT_ONCE", 2)
+    monkeypatch.setattr(topk, "BLOCKS_AT_ONCE", 3)
     for r in topk.top_k(df, shard_rows=100, query_rows=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     f32 = lambda x: float(np.float32(x))
@@ -195,18 +209,40 @@ def test_exact_dedup_and_index(spark, docs, rows, clashing, empty):
     assert table(exact.deduplicate(docs)) == want
     same_with_clashing(exact.deduplicate, docs, clashing)
     assert exact.deduplicate(empty).count() == 0
+    exact.DigestIndex(spark, "digests_of_test", 4).drop()
     index = exact.DigestIndex(spark, "digests_of_test", 4)
-    index.drop()
-    assert table(index.ingest(docs)) == want
+    assert table(index.ingest(docs, "first")) == want
     second = spark.createDataFrame([(1000, rows[0][1]), (1001, "quite new"), (1002, "quite new")], "doc_id long, text string")
-    got = {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(second).collect()}
+    got = {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(second, "second").collect()}
     assert got == {1000: (min(groups[norm[rows[0][0]]]), False), 1001: (1001, True), 1002: (1001, False)}
+    spark.conf.set("spark.sql.shuffle.partitions", "6")  # the table's own buckets count
+    try:
+        index = exact.DigestIndex(spark, "digests_of_test", 9)
+        assert index.buckets == 4
+        assert table(index.ingest(docs, "first")) == want  # a batch that comes again gets the same result and adds nothing
+        assert {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(second, "second").collect()} == got
+        assert {r.kept for r in index.ingest(second, "third").collect()} == {False}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert index.read().count() == len(groups) + 1
     plan = index.read().select("text_sha256").hint("merge").join(index.read().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     index.drop()
 
 
+def test_exact_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
+    rows = [(None, "a b"), (None, "a  b"), (7, "c"), (7, "c"), (7, "d"), (None, "c"), (9, "a b"), (None, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = exact.deduplicate(df).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.text_sha256].append(r)
+    assert all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in by.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.kept) == [(False, 7), (False, 7), (False, 9), (True, 0)]
+    assert exact.drop_copies(df).count() == 4
+
+
 # ------------------------------------------------------------------ 5 quality
 
 

@@ -16,9 +16,12 @@ Together they share ``share`` of all words; a target stops at ``most`` times
 its source's words and the excess is reshared by weight.  A row is drawn 0, 1
 or 2 times and gives its size in words each time; within the last block, rows
 are taken in hashed order while that brings the total nearer to the target.
-Null texts have size 0.  Empty tables give empty results; repeated rows are
-drawn independently of each other only if their doc_id differs.  Extra columns
-pass through ``mix``; the working columns carry the prefix ``_mix_``.
+Null and empty texts have size 0, texts of any length are counted whole.  Empty
+tables give empty results.  Places are dealt and ordered by hashes of doc_id and
+text, so rows of one doc_id, or of none, are drawn independently of each other;
+rows equal in doc_id, text and source are interchangeable, and how many of them
+are drawn doesn't depend on their order.  Extra columns pass through ``mix``,
+whatever their names: rows travel as one struct.
 
 The one table that is held whole is the table of sources (one row each, checked
 against ``MAX_SOURCES``); everything else is keyed by source and block.
@@ -127,7 +130,7 @@ class Mix:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_words: int = SHARD_WORDS):
         self.id_col, self.text_col, self.source_col, self.seed = id_col, text_col, source_col, seed
         spark = docs.sparkSession
-        self.sizes = materialise(docs.select(F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size")), "mix-sizes")
+        self.sizes = materialise(docs.select(F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size"), F.xxhash64(F.col(text_col)).alias("_mix_hash")), "mix-sizes")
         self.targets = materialise(targets(self.sizes), "mix-targets", 1)
         if self.targets.count() > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources; merge rare sources into one before mixing")
@@ -139,7 +142,7 @@ class Mix:
         """Rows with the rank and block of theirs; the table of sources is joined by its size as measured."""
         t = self.targets.select("rank", F.col("source").alias("_mix_name"), F.greatest(F.lit(1), F.ceil(F.col("rows") / self.block_rows)).cast("long").alias("_mix_blocks"), "source_size", "target")
         joined = rows.join(t, rows["_mix_source"].eqNullSafe(t["_mix_name"]))
-        block = F.pmod(F.xxhash64(F.col("_mix_id"), F.lit(self.seed)), F.col("_mix_blocks"))
+        block = F.pmod(F.xxhash64(F.col("_mix_id"), F.col("_mix_hash"), F.lit(self.seed)), F.col("_mix_blocks"))
         return joined.select(*columns, "rank", block.alias("_mix_block"), F.col("_mix_blocks"), "source_size", "target")
 
     def _plan(self, spark: SparkSession, shard_words: int):
@@ -174,22 +177,22 @@ class Mix:
         return materialise(per_block, "mix-draws"), shards
 
     def drawn(self, rows: DataFrame, columns: list) -> DataFrame:
-        """Rows (with _mix_id, _mix_source, _mix_size) with the shards that draw them, as an array, possibly empty."""
-        placed = self._placed(rows, [*columns, "_mix_id", "_mix_size"]).join(self.blocks, ["rank", "_mix_block"], "left")
-        upto = Window.partitionBy("rank", "_mix_block").orderBy(F.xxhash64("_mix_id", F.lit(self.seed + 1)), "_mix_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        """Rows (with _mix_id, _mix_source, _mix_size, _mix_hash) with the shards that draw them, as an array, possibly empty."""
+        placed = self._placed(rows, [*columns, "_mix_id", "_mix_size", "_mix_hash"]).join(self.blocks, ["rank", "_mix_block"], "left")
+        upto = Window.partitionBy("rank", "_mix_block").orderBy(F.xxhash64("_mix_id", "_mix_hash", F.lit(self.seed + 1)), "_mix_id", "_mix_hash", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         middle = F.sum("_mix_size").over(upto) - F.col("_mix_size") / 2
         placed = placed.withColumn("_mix_middle", middle)
         keep = F.filter("_mix_draws", lambda d: d["left"].isNull() | (F.col("_mix_middle") <= d["left"]))
-        return placed.select(*columns, "_mix_id", "_mix_size", "source_size", "target", F.coalesce(F.transform(keep, lambda d: d["shard"]), F.array().cast("array<long>")).alias("_mix_shards"))
+        return placed.select(*columns, "_mix_id", "_mix_size", "_mix_hash", "source_size", "target", F.coalesce(F.transform(keep, lambda d: d["shard"]), F.array().cast("array<long>")).alias("_mix_shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mixed rows with all columns of ``docs``, each shard whole in one partition and shuffled there."""
     plan = Mix(docs, id_col, text_col, source_col, seed, shard_words)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_mix_row")  # so that no column name can clash
-    rows = docs.select(whole, F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size"))
-    dealt = plan.drawn(rows, ["_mix_row"]).select("_mix_row", "_mix_id", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
-    order = F.xxhash64("_mix_shard", "_mix_id", "_mix_copy", F.lit(seed))
+    rows = docs.select(whole, F.col(id_col).cast("long").alias("_mix_id"), F.col(source_col).cast("string").alias("_mix_source"), word_count(F.col(text_col)).alias("_mix_size"), F.xxhash64(F.col(text_col)).alias("_mix_hash"))
+    dealt = plan.drawn(rows, ["_mix_row"]).select("_mix_row", "_mix_id", "_mix_hash", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
+    order = F.xxhash64("_mix_shard", "_mix_id", "_mix_hash", "_mix_copy", F.lit(seed))
     return dealt.repartition(F.col("_mix_shard")).sortWithinPartitions("_mix_shard", order).select("_mix_row.*")
 
 

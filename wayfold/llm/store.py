@@ -18,33 +18,57 @@ FOLDER = "wayfold-scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where none is named (tests)."""
+    """The folder that the cluster names; a temporary one only where none is named and driver and tasks are one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{FOLDER}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/{FOLDER}/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+#: Bytes of input that a file of an intermediate table stands for, about.
+FILE_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the tables that a plan reads have in bytes, as Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 60) for i in range(leaves.size()))
 
 
 def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder, in ``files`` files or four a core at most, and return a scan of it."""
+    """Write ``df`` to the shared folder and return a scan of it.
+
+    It has ``files`` files at most, or four a core and more where its input is large.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.coalesce(files or 4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    most = files or max(4 * spark.sparkContext.defaultParallelism, input_bytes(df) // FILE_BYTES)
+    df.coalesce(min(most, 1 << 30)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path; a path that is already gone is no error."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(table: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing will read again."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +85,4 @@ def sized(df: DataFrame, source: DataFrame) -> DataFrame:
     Large inputs keep the partitions they have.
     """
     spark = df.sparkSession
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, size // OUTPUT_BYTES)))
+    return df.coalesce(min(1 << 30, max(2 * spark.sparkContext.defaultParallelism, input_bytes(source) // OUTPUT_BYTES)))

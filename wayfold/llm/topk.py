@@ -1,13 +1,15 @@
 """Exact top-k inner-product search (operator 2).
 
 Method: ball-tree branch and bound per shard.  Rows are dealt to shards of
-bounded size; a shard is a matrix in the order of its ball tree.  For a block
-of queries the nodes are taken in order of their inner-product upper bound
-q.c + |q| r, a node is dropped for every query whose current k-th score lies
-above the bound, and leaves are scored by one matrix product.  The k-th score
-is shared: a first round searches one shard per query block, and what it finds
-is the starting k-th score in all the others, which return only what can still
-enter the answer.  Every query meets every shard, in blocks; nothing is cut.
+bounded size; a shard is its ball tree and a matrix in the tree's order, in the
+narrowest whole numbers that hold it.  For a block of queries the nodes are
+taken in order of their inner-product upper bound q.c + |q| r, a node is dropped
+for every query whose current k-th score lies above the bound, and leaves are
+scored by one matrix product.  The k-th score is shared: a task takes several
+shards one after the other and carries what its queries have found from shard
+to shard, and a first round over one task's shards per query block gives the
+starting k-th score of all the others, which return only what can still enter
+the answer.  Every query meets every shard, in blocks; nothing is cut.
 
 Components become floor(64 x).  Rows whose vector is null, empty, or holds a
 null or non-finite component take no part, nor do rows without an id.  Vectors
@@ -33,8 +35,9 @@ K = 20
 EVERY = 20
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
-#: Query blocks that one task holds beside a shard.
+#: Query blocks that one task holds, and shards that they meet there one by one.
 BLOCKS_AT_ONCE = 16
+SHARDS_AT_ONCE = 16
 LEAF = 128
 EXACT = float(1 << 53)
 
@@ -75,7 +78,28 @@ class BallTree:
                 order[a:b] = order[a:b][np.argsort(tie[order[a:b]], kind="stable")]
         self.order = order
         self.centres, self.radii = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
-        self.start, self.end, self.left, self.right = (np.array([n[i] for n in nodes]) for i in (2, 3, 4, 5))
+        self.start, self.end, self.left, self.right = np.array([n[2:] for n in nodes], np.int64).reshape(len(nodes), 4).T
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return np.column_stack([self.radii, self.centres]).tobytes(), np.column_stack([self.start, self.end, self.left, self.right]).tobytes()
+
+    @classmethod
+    def unpacked(cls, balls: bytes, nodes: bytes, width: int) -> BallTree:
+        tree = cls.__new__(cls)
+        both = np.frombuffer(balls).reshape(-1, width + 1)
+        tree.radii, tree.centres = both[:, 0], both[:, 1:]
+        tree.start, tree.end, tree.left, tree.right = np.frombuffer(nodes, np.int64).reshape(-1, 4).T
+        return tree
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them all."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(np.int16) if most < 1 << 15 else x.astype(np.int32) if most < 1 << 31 else x
+
+
+def widened(data: bytes, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(-1, width).astype(np.float64)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -108,9 +132,8 @@ class Best:
         self.score[rows], self.id[rows], self.rid[rows] = (np.take_along_axis(a, by, 1) for a in (s, i, r))
 
 
-def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q: np.ndarray, q_rids: np.ndarray, floor: np.ndarray, k: int) -> Best:
-    """Branch and bound of a block of queries over one shard; x, ids and rids in tree order."""
-    best = Best(len(q), k, floor)
+def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q: np.ndarray, q_rids: np.ndarray, best: Best) -> None:
+    """Branch and bound of a block of queries over one shard, on top of what ``best`` holds; x, ids and rids in tree order."""
     length = np.sqrt((q * q).sum(1))
     bound = q @ tree.centres.T + length[:, None] * tree.radii
     bound += 1e-9 * np.abs(bound) + 1e-6
@@ -131,7 +154,6 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q:
         hot = (rounded >= best.kth()[rows][:, None]).any(1) & (rounded > -np.inf).any(1)
         if hot.any():
             best.add(rows[hot], score[hot], ids[a:b], rids[a:b])
-    return best
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -142,18 +164,25 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+INDEX = "shard long, ids binary, rids binary, kind string, x binary, balls binary, nodes binary"
+
+
 def build_index(rows: DataFrame, width: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """One row per shard: its ids and its matrix.  Shards are dealt by row, so equal ids or vectors don't gather."""
+    """One row per shard: its ids, its matrix and its tree.  Shards are dealt by row, so equal ids or vectors don't gather."""
     shards = max(1, -(-rows.count() // shard_rows))
 
     def pack(table: pa.Table) -> pa.Table:
         ids, rids = table.column("vec_id").to_numpy(), table.column("rid").to_numpy()
         x = _matrix(table.column("v").combine_chunks(), width)
-        order = BallTree(x, ids).order
-        return pa.table({"shard": table.column("shard").slice(0, 1), "ids": [ids[order].tobytes()], "rids": [rids[order].tobytes()], "x": [x[order].tobytes()]})
+        tree = BallTree(x, ids)
+        x, (balls, nodes) = narrow(x[tree.order]), tree.packed()
+        return pa.table({"shard": table.column("shard").slice(0, 1), "ids": [ids[tree.order].tobytes()], "rids": [rids[tree.order].tobytes()], "kind": [x.dtype.str], "x": [x.tobytes()], "balls": [balls], "nodes": [nodes]})
 
     dealt = rows.select(F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"), "rid", "vec_id", "v")
-    return materialise(dealt.groupBy("shard").applyInArrow(pack, "shard long, ids binary, rids binary, x binary"), "ball-trees"), shards
+    return materialise(dealt.groupBy("shard").applyInArrow(pack, INDEX), "ball-trees"), shards
+
+
+QUERIES = "block long, q_ids binary, q_rids binary, q_kind string, q binary"
 
 
 def pack_queries(queries: DataFrame, width: int, query_rows: int = QUERY_ROWS) -> tuple[DataFrame, int]:
@@ -161,41 +190,43 @@ def pack_queries(queries: DataFrame, width: int, query_rows: int = QUERY_ROWS) -
     blocks = max(1, -(-queries.count() // query_rows))
 
     def pack(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("v").combine_chunks(), width)
-        return pa.table({"block": table.column("block").slice(0, 1), "q_ids": [table.column("vec_id").to_numpy().tobytes()], "q_rids": [table.column("rid").to_numpy().tobytes()], "q": [x.tobytes()]})
+        x = narrow(_matrix(table.column("v").combine_chunks(), width))
+        return pa.table({"block": table.column("block").slice(0, 1), "q_ids": [table.column("vec_id").to_numpy().tobytes()], "q_rids": [table.column("rid").to_numpy().tobytes()], "q_kind": [x.dtype.str], "q": [x.tobytes()]})
 
     dealt = queries.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), "rid", "vec_id", "v")
-    return materialise(dealt.groupBy("block").applyInArrow(pack, "block long, q_ids binary, q_rids binary, q binary"), "query-blocks"), blocks
+    return materialise(dealt.groupBy("block").applyInArrow(pack, QUERIES), "query-blocks"), blocks
 
 
 HITS = "block long, q_rid long, query_id long, rid long, vec_id long, score long"
 
 
 def _round(index: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
-    """Search of the query blocks (with shard, part and floors) in their shards."""
+    """Search of the query blocks (with team, part and floors) in the shards of their teams."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]
-        if left.num_rows and right.num_rows:
-            x = np.frombuffer(left.column("x")[0].as_py()).reshape(-1, width)
-            ids, rids = (np.frombuffer(left.column(c)[0].as_py(), np.int64) for c in ("ids", "rids"))
-            tree = BallTree(x, ids)
-            x, ids, rids = x[tree.order], ids[tree.order], rids[tree.order]
-            for i in range(right.num_rows):
-                q = np.frombuffer(right.column("q")[i].as_py()).reshape(-1, width)
-                q_ids, q_rids = (np.frombuffer(right.column(c)[i].as_py(), np.int64) for c in ("q_ids", "q_rids"))
-                raw = right.column("floor")[i].as_py()
-                floor = np.frombuffer(raw) if raw else np.full(len(q), -np.inf)
-                best = search(tree, x, ids, rids, q, q_rids, floor, k)
-                found = (best.rid >= 0) & (best.score.astype(float) >= floor[:, None])
-                row, col = np.nonzero(found)
-                for to, value in zip(out, (np.full(len(row), right.column("block")[i].as_py()), q_rids[row], q_ids[row], best.rid[row, col], best.id[row, col], best.score[row, col]), strict=True):
-                    to.extend(int(v) for v in value)
+        blocks = []
+        for i in range(right.num_rows):
+            q = widened(right.column("q")[i].as_py(), right.column("q_kind")[i].as_py(), width)
+            q_ids, q_rids = (np.frombuffer(right.column(c)[i].as_py(), np.int64) for c in ("q_ids", "q_rids"))
+            raw = right.column("floor")[i].as_py()
+            floor = np.frombuffer(raw) if raw else np.full(len(q), -np.inf)
+            blocks.append((right.column("block")[i].as_py(), q, q_ids, q_rids, Best(len(q), k, floor)))
+        for i in range(left.num_rows if blocks else 0):
+            x = widened(left.column("x")[i].as_py(), left.column("kind")[i].as_py(), width)
+            ids, rids = (np.frombuffer(left.column(c)[i].as_py(), np.int64) for c in ("ids", "rids"))
+            tree = BallTree.unpacked(left.column("balls")[i].as_py(), left.column("nodes")[i].as_py(), width)
+            for _, q, _, q_rids, best in blocks:
+                search(tree, x, ids, rids, q, q_rids, best)
+        for block, _, q_ids, q_rids, best in blocks:
+            row, col = np.nonzero((best.rid >= 0) & (best.score.astype(float) >= best.floor[:, None]))
+            for to, value in zip(out, (np.full(len(row), block), q_rids[row], q_ids[row], best.rid[row, col], best.id[row, col], best.score[row, col]), strict=True):
+                to.extend(int(v) for v in value)
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["block", "q_rid", "query_id", "rid", "vec_id", "score"])
 
-    pairs = blocks.select(F.col("shard").alias("in_shard"), F.col("part").alias("in_part")).distinct()
-    keyed = index.join(pairs, F.col("shard") == F.col("in_shard")).select("in_shard", "in_part", "ids", "rids", "x")
-    return keyed.groupBy("in_shard", "in_part").cogroup(blocks.groupBy("shard", "part")).applyInArrow(run, HITS)
+    pairs = blocks.select(F.col("team").alias("in_team"), F.col("part").alias("in_part")).distinct()
+    keyed = index.join(pairs, F.col("team") == F.col("in_team")).drop("team")
+    return keyed.groupBy("in_team", "in_part").cogroup(blocks.groupBy("team", "part")).applyInArrow(run, HITS)
 
 
 def _floors(hits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -210,9 +241,9 @@ def _floors(hits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 q_rids = np.frombuffer(row.column("q_rids")[0].as_py(), np.int64)
                 got = {r["q_rid"]: r["least"] for r in row.column("known")[0].as_py() or []}
                 floor = np.array([float(got.get(int(r), -np.inf)) for r in q_rids])
-                yield pa.RecordBatch.from_arrays([row.column("block"), row.column("q_ids"), row.column("q_rids"), row.column("q"), pa.array([floor.tobytes()])], names=["block", "q_ids", "q_rids", "q", "floor"])
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("block", "q_ids", "q_rids", "q_kind", "q")), pa.array([floor.tobytes()])], names=["block", "q_ids", "q_rids", "q_kind", "q", "floor"])
 
-    return blocks.join(known, "block", "left").mapInArrow(run, "block long, q_ids binary, q_rids binary, q binary, floor binary")
+    return blocks.join(known, "block", "left").mapInArrow(run, QUERIES + ", floor binary")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -221,12 +252,16 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     index, shards = build_index(rows, width, shard_rows)
     blocks, _ = pack_queries(rows.where(F.col("vec_id") % every == 0), width, query_rows)
-    part = F.floor(F.col("block") / BLOCKS_AT_ONCE).alias("part")
-    home = F.pmod("block", F.lit(shards))
-    first = materialise(_round(index, blocks.select("*", home.alias("shard"), part, F.lit(None).cast("binary").alias("floor")), width, k), "first-hits")
-    if shards > 1:
-        rest = _floors(first, blocks, k).select("*", part, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), F.array(home))).alias("shard"))
-        hits = first.unionByName(_round(index, materialise(rest, "query-shards"), width, k))
+    teams = -(-shards // SHARDS_AT_ONCE)
+    index = index.withColumn("team", F.pmod("shard", F.lit(teams)))
+    part = F.floor(F.col("block") / BLOCKS_AT_ONCE)
+    home = F.pmod(part, F.lit(teams))
+    first = materialise(_round(index, blocks.select("*", home.alias("team"), part.alias("part"), F.lit(None).cast("binary").alias("floor")), width, k), "first-hits")
+    if teams > 1:
+        # queries travel to every other team of shards in the shuffle; what is written is each block once, with its floors
+        known = materialise(_floors(first, blocks, k), "query-floors")
+        rest = known.select("*", part.alias("part"), F.explode(F.array_except(F.sequence(F.lit(0), F.lit(teams - 1)).cast("array<long>"), F.array(home))).alias("team"))
+        hits = first.unionByName(_round(index, rest, width, k))
     else:
         hits = first
     rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid"))

@@ -59,3 +59,20 @@ def test_groups_linked_through_any_member_collapse(spark):
     order = list(texts)
     rnd.shuffle(order)
     assert kept(spark, order) == stays(order)
+
+
+def test_frequent_shingles_take_further_shingles(spark, monkeypatch):
+    """With few open items a key, pairs of a frequent shingle must share more of their prefixes; none is lost."""
+    rnd = random.Random(23)
+    passage = words(rnd, 60)
+    texts = []
+    for _ in range(15):
+        text = passage + words(rnd, 12)
+        texts += [" ".join(text), " ".join(edited(rnd, text, 0.02)), " ".join(edited(rnd, text, 0.02))]
+    for _ in range(20):
+        texts.append(" ".join(passage[rnd.randrange(20) : 40 + rnd.randrange(20)] + words(rnd, rnd.randrange(3, 12))))
+    texts += ["", None, "one", "one two", "one two", " ".join(passage)]
+    monkeypatch.setattr(simhash, "COMMON", 10**9)  # no shingle is known to be common, so that prefixes hold frequent ones
+    for limit in (2, 256):
+        monkeypatch.setattr(simhash, "OPEN", limit)
+        assert kept(spark, texts) == stays(texts)

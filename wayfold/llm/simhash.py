@@ -342,6 +342,8 @@ COUNTED, COMMON = 8, 3
 MOST_COMMON = 500_000
 #: Counts of a text's shingles by hash, modulo 256; they bound the similarity of two texts from above.
 CELLS = 128
+#: Open items of one shingle that are compared pair by pair; items of a more frequent one must share further shingles, up to so many.
+OPEN, DEEPER = 256, 3
 #: Stands for the shingles of a text without words.
 NO_SHINGLE = np.zeros(1, np.uint64)
 
@@ -360,28 +362,31 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def set_name(grams: np.ndarray) -> int:
-    """A shingle set's name; texts with equal sets are one item."""
+def set_name(grams: np.ndarray) -> tuple[int, int]:
+    """A shingle set's name of 128 bits, as two signed numbers; texts with equal sets are one item."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(grams.tobytes(), HASH_SEED)
+    name = xxhash.xxh3_128_intdigest(grams.tobytes(), HASH_SEED)
+    return (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63)
 
 
-def rare_prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rarest first, of which two sets at the similarity share one at least.
+def rare_prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rarest first, and how many of them are its prefix: two sets at the similarity share one of theirs.
 
     Sets that are ``SIMILARITY`` alike share that part of either, so fewer than
-    the rest of a set can come before the first shared shingle in any order.
+    the rest of a set can come before the first shared shingle in any order.  In
+    the same way they share k of the prefixes with k - 1 shingles more; up to
+    ``DEEPER`` more are given.
     """
     if not len(grams):
-        return NO_SHINGLE
+        return NO_SHINGLE, 1
     length = len(grams) - int(np.ceil(SIMILARITY * len(grams) - 1e-9)) + 1
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
         often = np.where(common[at] == grams, counts[at], 0)
         if often.any():
-            return grams[np.lexsort((grams, often))[:length]]
-    return grams[:length]
+            grams = grams[np.lexsort((grams, often))]
+    return grams[: length + DEEPER], length
 
 
 def cells(grams: np.ndarray) -> bytes:
@@ -415,52 +420,44 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
-def _shared_runs(batches):
-    """key, fp and hub of the keys that several items have; the hub is one of the key's items, another one for other keys."""
-
-    def flush(found):
-        k, f, h = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(f.view(np.int64)), pa.array(h.view(np.int64))], names=["key", "fp", "hub"])
-
-    found, size = [], 0
-    for key, items, _ in _runs(_only_shared(batches), None):
-        items = np.unique(items)
-        if len(items) > 1:
-            hub = items[np.argmin((items ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))]
-            found.append((np.full(len(items), key), items, np.full(len(items), hub)))
-            size += len(items)
-        if size > 50_000:
-            yield flush(found)
-            found, size = [], 0
-    yield flush(found)
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rk and keep_rk of every row that has near copies, for rows keyed by ``row_key``.
-
-    Candidates share a shingle of their prefixes of rare shingles, as all texts
-    at the similarity do.  Each item of a key is compared with the key's hub by the
-    Jaccard similarity of the word shingles, and the items that these links leave
-    apart with each other, so no link between components is lost.  Of each component the smallest doc_id stays (null
-    last, then the smaller row key).
+    """rk, rk2 and whether it stays (``stays``) of every row that has near copies, for rows keyed by ``row_key``.
+
+    Texts with equal shingle sets are one item.  Candidates share a shingle of
+    their prefixes of rare shingles, as all texts at the similarity do.  Each item
+    of a key is compared with the key's hub by the Jaccard similarity of the word
+    shingles; items that these links leave apart are compared with each other, so
+    no link between components is lost.  Where more than ``OPEN`` items of a key
+    are apart, only those are compared that share a second rare shingle of their
+    longer prefixes, too, a third where that is still too many, and so on.  Of each
+    component the smallest doc_id stays (null last, then the smaller row key).
+    Null and empty texts are one item without words; texts of any length are
+    read whole; rows equal in id and text stay or go together.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).select("doc_id", *row_key("doc_id", "text"), "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
     def prefixes(batches):
         for batch in batches:
             sets = [shingle_set(x.as_py() or b"") for x in batch.column("text")]
+            names, rare = [set_name(g) for g in sets], [rare_prefix(g, *common.value) for g in sets]
             columns = (
-                pa.array(np.array([set_name(g) for g in sets], np.uint64).view(np.int64)), pa.array([len(g) for g in sets], pa.int64()),
-                pa.array([cells(g) for g in sets], pa.binary()), pa.array([rare_prefix(g, *common.value).view(np.int64) for g in sets], pa.list_(pa.int64())),
+                pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([cells(g) for g in sets], pa.binary()),
+                pa.array([g.view(np.int64) for g, _ in rare], pa.list_(pa.int64())), pa.array([length for _, length in rare], pa.int32()),
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *columns], names=["doc_id", "rk", "item", "n", "cells", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rk", "rk2")), *columns], names=["doc_id", "rk", "rk2", "i1", "i2", "n", "cells", "rare", "length"])
+
+    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, rk2 long, i1 long, i2 long, n long, cells binary, rare array<long>, length int"), "prefixes")
+    firsts = [F.first(c).alias(c) for c in ("n", "cells", "rare", "length")]
+    items = printed.groupBy("i1", "i2").agg(F.min(F.struct("rk", "rk2")).alias("row"), *firsts)
+    items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "i1", "i2", "row.rk", "row.rk2", "n", "cells", "rare", "length"), "items")
 
-    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, item long, n long, cells binary, prefix array<long>"), "prefixes")
-    keyed = printed.select(F.explode("prefix").alias("key"), F.col("item").alias("fp")).repartition("key").sortWithinPartitions("key", "fp")
-    shared = materialise(keyed.mapInArrow(_shared_runs, "key long, fp long, hub long"), "shared-shingles")
-    items = printed.groupBy("item").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    items = materialise(items.join(shared.select(F.col("fp").alias("item")).distinct(), "item", "left_semi"), "items")
+    # a frequent shingle is summed up before it is shuffled, and its items are joined, not gathered
+    keyed = items.select(F.explode(F.slice("rare", F.lit(1), F.col("length"))).alias("key"), "item")
+    turn = F.xxhash64("key", "item")  # another hub for other keys
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(turn).alias("least")).where("c > 1").select("key", "least")
+    shared = materialise(keyed.join(keys, "key").select("key", "item", (turn == F.col("least")).alias("is_hub")), "shared-shingles")
+    hubs = shared.where("is_hub").select("key", F.col("item").alias("hub"))
 
     def possible(batches):
         for batch in batches:
@@ -475,8 +472,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(x.as_py() or b"") for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_name(g) for g in found], np.uint64).view(np.int64)), pa.array([g.tobytes() for g in found], pa.binary())], names=["item", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in batch.column("text")], pa.binary())], names=["item", "grams"])
 
     def verify(batches):
         for batch in batches:
@@ -485,42 +481,65 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("item")).unionByName(pairs.select(F.col("y").alias("item"))).distinct()
-        of_rows = items.join(wanted, "item", "left_semi").select("rk")
-        grams = materialise(rows.select("rk", "text").join(of_rows, "rk", "left_semi").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
+        of_rows = items.join(wanted, "item", "left_semi").select("item", "rk", "rk2")
+        grams = materialise(rows.join(of_rows, ["rk", "rk2"]).select("item", "text").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
         one, two = (grams.select(F.col("item").alias(i), F.col("grams").alias(f"g{k}")) for i, k in (("x", 1), ("y", 2)))
         both = pairs.join(one, "x").join(two, "y").select("x", "y", "g1", "g2")
         return materialise(both.mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), label)
 
-    pairs = likely(shared.where("fp <> hub").select(F.least("fp", "hub").alias("x"), F.greatest("fp", "hub").alias("y")).distinct(), "hub-pairs")
+    to_hubs = shared.where("NOT is_hub").join(hubs, "key").select(F.least("item", "hub").alias("x"), F.greatest("item", "hub").alias("y")).distinct()
+    pairs = likely(to_hubs, "hub-pairs")
     similar = verified(pairs, "similar-to-hubs")
     stars = components(similar, "similar")
-    # what shares a key but is not in one component yet is compared pair by pair
-    apart = items.join(stars.withColumnRenamed("node", "item"), "item", "left").select(F.col("item").alias("fp"), F.coalesce("root", "item").alias("root"), "n")
-    left = shared.select("key", "fp").join(apart, "fp")
-    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = materialise(left.join(mixed, "key", "left_semi"), "open-shingles")
-    one, two = (left.select("key", F.col("fp").alias(i), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for i, k in (("x", 1), ("y", 2)))
+    # what shares a key but is not in one component yet
+    root = items.join(stars.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root"), "n")
+    apart = open_keys(shared.join(root, "item").select("key", F.array("key").alias("used"), "item", "root", "n"), items)
+    one, two = (apart.select("key", F.col("item").alias(i), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for i, k in (("x", 1), ("y", 2)))
     near = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(SIMILARITY) - F.lit(1e-6)
     rest = one.join(two.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("r1") != F.col("r2")) & near).select("x", "y").distinct()
     more = verified(likely(rest.join(pairs, ["x", "y"], "left_anti"), "other-pairs"), "similar-to-others")
     if not more.isEmpty():
         stars = components(similar.unionByName(more), "similar")
-    ids = printed.select("rk", "item", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id")).distinct()
-    member = ids.join(stars.withColumnRenamed("node", "item"), "item", "left").select("rk", "id", F.coalesce("root", "item").alias("root"))
-    stays = member.groupBy("root").agg(F.min_by("rk", F.struct("id", "rk")).alias("keep_rk"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return member.join(stays, "root").select("rk", "keep_rk")
+    linked = stars.join(items.select(F.col("item").alias("node"), "i1", "i2"), "node").select("i1", "i2", "root")
+    twins = printed.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(items.select("i1", "i2", "item"), ["i1", "i2"]).join(linked.select("i1", "i2"), ["i1", "i2"], "left_anti")
+    grouped = linked.unionByName(twins.select("i1", "i2", F.col("item").alias("root")))  # rows of one item are a group of their own
+    member = printed.select("rk", "rk2", "i1", "i2", "doc_id").join(grouped, ["i1", "i2"])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "rk2")
+    stays = member.groupBy("root").agg(F.min(order).alias("first"))
+    return member.join(stays, "root").select("rk", "rk2", ((F.col("rk") == F.col("first.rk")) & (F.col("rk2") == F.col("first.rk2"))).alias("stays"))
+
+
+def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """key, item, root and n of the keys whose items are apart, with ``OPEN`` items a key or all the shingles that prefixes give."""
+
+    def apart(some: DataFrame, label: str) -> DataFrame:
+        mixed = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return materialise(some.join(mixed, "key", "left_semi"), label)
+
+    rows, done = apart(rows, "open-shingles"), None
+    for deeper in range(1, DEEPER + 1):
+        frequent = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OPEN).select("key"), "frequent-shingles")
+        if frequent.isEmpty():
+            break
+        few = rows.join(frequent, "key", "left_anti")
+        done = few if done is None else done.unionByName(few)
+        longer = rows.join(frequent, "key", "left_semi").join(items.select("item", F.slice("rare", F.lit(1), F.col("length") + deeper).alias("rare")), "item")
+        next_one = longer.select("key", "used", "item", "root", "n", F.explode("rare").alias("then")).where(~F.array_contains("used", F.col("then")))
+        rows = apart(next_one.select(F.xxhash64("key", "then").alias("key"), F.array_append("used", F.col("then")).alias("used"), "item", "root", "n"), "open-shingles")
+    return (rows if done is None else done.unionByName(rows)).select("key", "item", "root", "n")
 
 
-def row_key(id_col: str, text_col: str):
-    """A row's key by id and text; rows equal in both are one."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+def row_key(id_col: str, text_col: str) -> list:
+    """A row's key of 128 bits by id and text, as rk and rk2; rows equal in both are one."""
+    both = F.col(id_col).cast("long"), F.col(text_col).cast("binary")
+    return [F.xxhash64(*both).alias("rk"), F.xxhash64(F.lit(1), *both).alias("rk2")]
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one of each group of near copies."""
-    gone = near_copies(docs, id_col, text_col).where("rk <> keep_rk").select(F.col("rk").alias("_gone"))
-    rows = docs.withColumn("_rk", row_key(id_col, text_col))
-    return rows.join(gone, F.col("_rk") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns: one of each group of near copies.  Rows travel as one struct, so columns may have any names."""
+    gone = near_copies(docs, id_col, text_col).where("NOT stays").select("rk", "rk2").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return rows.select("row", *row_key("id", "text")).join(gone, ["rk", "rk2"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

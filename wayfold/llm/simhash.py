@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrow import slices
-from wayfold.llm.store import documents, materialise
+from wayfold.llm.store import discard, documents, materialise
 
 SHINGLE = 4
 MOST = 4
@@ -343,7 +343,7 @@ MOST_COMMON = 500_000
 #: Counts of a text's shingles by hash, modulo 256; they bound the similarity of two texts from above.
 CELLS = 128
 #: Open items of one shingle that are compared pair by pair; items of a more frequent one must share further shingles, up to so many.
-OPEN, DEEPER = 256, 3
+OPEN, DEEPER = 1024, 3
 #: Stands for the shingles of a text without words.
 NO_SHINGLE = np.zeros(1, np.uint64)
 
@@ -393,6 +393,23 @@ def cells(grams: np.ndarray) -> bytes:
     return np.bincount((grams % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8).tobytes()
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Whether each of 256 other cells has an odd number of shingles, as four numbers."""
+    odd = np.bincount((grams >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+#: Columns of the parities.
+PARITIES = ["q0", "q1", "q2", "q3"]
+
+
+def near_enough(one: str, two: str):
+    """False only where sizes and parities of two items (columns with these suffixes) rule the similarity out: a shingle of one set alone turns one parity."""
+    n1, n2 = F.col(f"n{one}"), F.col(f"n{two}")
+    apart = sum((F.bit_count(F.col(f"{q}{one}").bitwiseXOR(F.col(f"{q}{two}"))) for q in PARITIES), F.lit(0))
+    return F.greatest(apart, F.abs(n1 - n2)) <= (n1 + n2) * F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) + F.lit(1e-6)
+
+
 def may_be_similar(n1: np.ndarray, n2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
     """False only where sizes and cells rule the similarity out.
 
@@ -443,14 +460,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             names, rare = [set_name(g) for g in sets], [rare_prefix(g, *common.value) for g in sets]
             columns = (
                 pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([cells(g) for g in sets], pa.binary()),
-                pa.array([g.view(np.int64) for g, _ in rare], pa.list_(pa.int64())), pa.array([length for _, length in rare], pa.int32()),
+                *(pa.array(q) for q in np.array([parities(g) for g in sets], np.int64).reshape(len(sets), 4).T.copy()), pa.array([g.view(np.int64) for g, _ in rare], pa.list_(pa.int64())), pa.array([length for _, length in rare], pa.int32()),
             )
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rk", "rk2")), *columns], names=["doc_id", "rk", "rk2", "i1", "i2", "n", "cells", "rare", "length"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rk", "rk2")), *columns], names=["doc_id", "rk", "rk2", "i1", "i2", "n", "cells", *PARITIES, "rare", "length"])
 
-    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, rk2 long, i1 long, i2 long, n long, cells binary, rare array<long>, length int"), "prefixes")
-    firsts = [F.first(c).alias(c) for c in ("n", "cells", "rare", "length")]
+    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, rk2 long, i1 long, i2 long, n long, cells binary, q0 long, q1 long, q2 long, q3 long, rare array<long>, length int"), "prefixes")
+    firsts = [F.first(c).alias(c) for c in ("n", "cells", *PARITIES, "rare", "length")]
     items = printed.groupBy("i1", "i2").agg(F.min(F.struct("rk", "rk2")).alias("row"), *firsts)
-    items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "i1", "i2", "row.rk", "row.rk2", "n", "cells", "rare", "length"), "items")
+    items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "i1", "i2", "row.rk", "row.rk2", "n", "cells", *PARITIES, "rare", "length"), "items")
+    members = materialise(printed.select("doc_id", "rk", "rk2", "i1", "i2"), "members")
+    discard(printed)
 
     # a frequent shingle is summed up before it is shuffled, and its items are joined, not gathered
     keyed = items.select(F.explode(F.slice("rare", F.lit(1), F.col("length"))).alias("key"), "item")
@@ -492,25 +511,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     similar = verified(pairs, "similar-to-hubs")
     stars = components(similar, "similar")
     # what shares a key but is not in one component yet
-    root = items.join(stars.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root"), "n")
-    apart = open_keys(shared.join(root, "item").select("key", F.array("key").alias("used"), "item", "root", "n"), items)
-    one, two = (apart.select("key", F.col("item").alias(i), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for i, k in (("x", 1), ("y", 2)))
-    near = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(SIMILARITY) - F.lit(1e-6)
-    rest = one.join(two.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("r1") != F.col("r2")) & near).select("x", "y").distinct()
+    root = items.join(stars.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("root", "item").alias("root"), "n", *PARITIES)
+    apart = open_keys(shared.join(root, "item").select("key", F.array("key").alias("used"), "item", *APART), items)
+    one, two = (apart.select(F.col("key").alias(f"key{k}"), F.col("item").alias(i), *[F.col(c).alias(f"{c}{k}") for c in APART]) for i, k in (("x", 1), ("y", 2)))
+    # pairs that sizes and parities rule out don't leave the join
+    rest = one.join(two, (F.col("key1") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("root1") != F.col("root2")) & near_enough("1", "2")).select("x", "y").distinct()
     more = verified(likely(rest.join(pairs, ["x", "y"], "left_anti"), "other-pairs"), "similar-to-others")
     if not more.isEmpty():
         stars = components(similar.unionByName(more), "similar")
     linked = stars.join(items.select(F.col("item").alias("node"), "i1", "i2"), "node").select("i1", "i2", "root")
-    twins = printed.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(items.select("i1", "i2", "item"), ["i1", "i2"]).join(linked.select("i1", "i2"), ["i1", "i2"], "left_anti")
+    twins = members.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(items.select("i1", "i2", "item"), ["i1", "i2"]).join(linked.select("i1", "i2"), ["i1", "i2"], "left_anti")
     grouped = linked.unionByName(twins.select("i1", "i2", F.col("item").alias("root")))  # rows of one item are a group of their own
-    member = printed.select("rk", "rk2", "i1", "i2", "doc_id").join(grouped, ["i1", "i2"])
+    member = members.join(grouped, ["i1", "i2"])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "rk2")
     stays = member.groupBy("root").agg(F.min(order).alias("first"))
     return member.join(stays, "root").select("rk", "rk2", ((F.col("rk") == F.col("first.rk")) & (F.col("rk2") == F.col("first.rk2"))).alias("stays"))
 
 
+#: What the open items of a key carry.
+APART = ["root", "n", *PARITIES]
+
+
 def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """key, item, root and n of the keys whose items are apart, with ``OPEN`` items a key or all the shingles that prefixes give."""
+    """key, item and what ``APART`` names of the keys whose items are apart, with ``OPEN`` items a key or all the shingles that prefixes give."""
 
     def apart(some: DataFrame, label: str) -> DataFrame:
         mixed = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -524,9 +547,9 @@ def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
         few = rows.join(frequent, "key", "left_anti")
         done = few if done is None else done.unionByName(few)
         longer = rows.join(frequent, "key", "left_semi").join(items.select("item", F.slice("rare", F.lit(1), F.col("length") + deeper).alias("rare")), "item")
-        next_one = longer.select("key", "used", "item", "root", "n", F.explode("rare").alias("then")).where(~F.array_contains("used", F.col("then")))
-        rows = apart(next_one.select(F.xxhash64("key", "then").alias("key"), F.array_append("used", F.col("then")).alias("used"), "item", "root", "n"), "open-shingles")
-    return (rows if done is None else done.unionByName(rows)).select("key", "item", "root", "n")
+        next_one = longer.select("key", "used", "item", *APART, F.explode("rare").alias("then")).where(~F.array_contains("used", F.col("then")))
+        rows = apart(next_one.select(F.xxhash64("key", "then").alias("key"), F.array_append("used", F.col("then")).alias("used"), "item", *APART), "open-shingles")
+    return (rows if done is None else done.unionByName(rows)).select("key", "item", *APART)
 
 
 def row_key(id_col: str, text_col: str) -> list:

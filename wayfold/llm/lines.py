@@ -9,15 +9,19 @@ and h lines on, so names double their reach each round.  Names are drawn from
 the sorted pairs, so they keep the suffixes' order, and places with one name of
 level h form the interval of suffixes with a common prefix of h lines or more.
 A place whose prefix occurs once is dropped at once, as no longer prefix of it
-can repeat.  The last round overlaps two names of the highest power of two to
-reach ``RUN`` exactly; the runs of places in its intervals, joined where they
-touch, are the maximal repeated runs.
+can repeat.  ``RUN`` lines are reached exactly, by overlapping two names of the
+highest power of two below; from there on the doubling goes on until no prefix
+repeats.  A place's interval of the longest reach that isn't its first place
+gives a repeated run; runs that lie in one that starts before them are left
+out, so a copy of a long text is a few runs, not one for each line.
 
 Lines are the parts between "\n"; null and empty texts have none.  "Earlier"
-means smaller doc_id (null last), then the smaller text hash, then the earlier
-start; rows equal in id and text count as one document and get the same
-result.  Blank lines are lines like any other.  Frequent lines are summed up
-before they are shuffled, and only texts that lose lines are shuffled.
+means smaller doc_id (null last), then the smaller text hash (128 bits), then
+the earlier start; rows equal in id and text count as one document and get the
+same result.  Blank lines are lines like any other.  Texts of any length are
+split whole; an empty table gives an empty result; columns other than the id
+and the text are not read.  Frequent lines are summed up before they are
+shuffled, and only texts that lose lines are shuffled.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.store import documents, materialise
+from wayfold.llm.store import discard, documents, materialise
 from wayfold.llm.substrings import KEY, Marked, keyed
 
 RUN = 3
@@ -42,10 +46,13 @@ def line_places(rows: DataFrame) -> DataFrame:
 
 
 def named(pairs: DataFrame, label: str) -> DataFrame:
-    """Places whose pair (a, b) occurs again, with a name in the order of the pairs, and the first place of the name."""
+    """Places whose pair (a, b) occurs again, with a name in the order of the pairs, and whether the name has an earlier place."""
     groups = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "pos")).alias("first")).where("n > 1")
     names = materialise(groups.orderBy("a", "b").select("a", "b", "first", F.monotonically_increasing_id().alias("name")), f"names-{label}")
-    return materialise(pairs.join(names, ["a", "b"]).select(*KEY, "pos", "name", "first"), f"places-{label}")
+    later = F.struct(*KEY, "pos") != F.col("first")
+    places = materialise(pairs.join(names, ["a", "b"]).select(*KEY, "pos", "name", later.alias("later")), f"places-{label}")
+    discard(names)
+    return places
 
 
 def doubled(level: DataFrame, step: int) -> DataFrame:
@@ -55,37 +62,49 @@ def doubled(level: DataFrame, step: int) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, run: int = RUN) -> DataFrame:
-    """The key, pos and first of the places where ``run`` lines start that occur again."""
-    level, reach = named(line_places(rows), "1"), 1
+    """The key, pos and reach of runs of ``run`` lines and more that also start earlier; together they cover all such runs."""
+    level, reach = named(materialise(line_places(rows), "lines"), "1"), 1
     while reach * 2 <= run:
         level, reach = named(doubled(level, reach), str(reach * 2)), reach * 2
-    return named(doubled(level, run - reach), str(run)) if reach < run else level
+    if reach < run:
+        level = named(doubled(level, run - reach), str(run))
+    reach, found = run, None
+    while not level.isEmpty():
+        later = level.where("later").select(*KEY, "pos", F.lit(reach).alias("reach"))
+        found = later if found is None else found.unionByName(later)
+        level, reach = named(doubled(level, reach), str(reach * 2)), reach * 2
+    if found is None:
+        return level.select(*KEY, "pos", F.lit(run).alias("reach"))
+    longest = found.groupBy(*KEY, "pos").agg(F.max("reach").alias("reach"))
+    before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # within one text
+    end = F.col("pos") + F.col("reach")
+    return longest.withColumn("covered", F.max(end).over(before)).where(F.col("covered").isNull() | (end > F.col("covered"))).select(*KEY, "pos", "reach")
 
 
 CUT = "doc_id long, n_lines long, n_deleted long, kept_sha256 string"
 
 
-def kept_lines(text: bytes, places, run: int) -> tuple[list[bytes], list[bytes]]:
+def kept_lines(text: bytes, runs) -> tuple[list[bytes], list[bytes]]:
     """All lines, and those that stay."""
     lines = text.split(b"\n") if text else []
     gone = bytearray(len(lines))
-    for p in places or []:
-        gone[p : p + run] = b"\1" * run
+    for r in runs or []:
+        gone[r["pos"] : r["pos"] + r["reach"]] = b"\1" * r["reach"]
     return lines, [x for x, g in zip(lines, gone, strict=True) if not g]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, texts: bool = False) -> DataFrame:
     """One row per document: counts and the hash of the lines that stay, or (``texts``) doc_id and the text that stays."""
     rows = keyed(docs, id_col, text_col)
-    later = repeated_runs(rows, run).where("doc <> first.doc OR t1 <> first.t1 OR t2 <> first.t2 OR pos <> first.pos")
-    places = materialise(later.groupBy(*KEY).agg(F.collect_list("pos").alias("places")), "repeated-lines")  # within one text's size
+    runs = repeated_runs(rows, run).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "reach")).alias("runs"))  # within one text's size
+    runs = materialise(runs, "repeated-lines")
 
     def cut(batches):
         for batch in batches:
-            at = batch.column("places") if "places" in batch.schema.names else None
+            at = batch.column("runs") if "runs" in batch.schema.names else None
             out = [[], [], [], []]
             for i in range(batch.num_rows):
-                lines, kept = kept_lines(batch.column("text")[i].as_py(), at[i].as_py() if at is not None else None, run)
+                lines, kept = kept_lines(batch.column("text")[i].as_py(), at[i].as_py() if at is not None else None)
                 body = b"\n".join(kept)
                 for to, value in zip(out, (len(lines), len(lines) - len(kept), hashlib.sha256(body).hexdigest(), body), strict=True):
                     to.append(value)
@@ -95,9 +114,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_lines", "n_deleted", "kept_sha256"])
 
     schema = "doc_id long, kept binary" if texts else CUT
-    marked = Marked(places)
+    marked = Marked(runs)
     clean = marked.free(rows).select("doc_id", "text").mapInArrow(cut, schema)
-    touched = marked.held(rows).join(places, KEY, "left").select("doc_id", "text", "places").mapInArrow(cut, schema)
+    touched = marked.held(rows).join(runs, KEY, "left").select("doc_id", "text", "runs").mapInArrow(cut, schema)
     return clean.unionByName(touched)
 
 

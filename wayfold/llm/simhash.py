@@ -342,8 +342,8 @@ COUNTED, COMMON = 8, 3
 MOST_COMMON = 500_000
 #: Counts of a text's shingles by hash, modulo 256; they bound the similarity of two texts from above.
 CELLS = 128
-#: Open items of one shingle that are compared pair by pair; items of a more frequent one must share further shingles, up to so many.
-OPEN, DEEPER = 1024, 3
+#: Pairs of open items of one shingle that are compared inside a join; items of a shingle with more must share further shingles, up to so many.
+OPEN, DEEPER = 1 << 24, 3
 #: Stands for the shingles of a text without words.
 NO_SHINGLE = np.zeros(1, np.uint64)
 
@@ -444,9 +444,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their prefixes of rare shingles, as all texts at the similarity do.  Each item
     of a key is compared with the key's hub by the Jaccard similarity of the word
     shingles; items that these links leave apart are compared with each other, so
-    no link between components is lost.  Where more than ``OPEN`` items of a key
-    are apart, only those are compared that share a second rare shingle of their
-    longer prefixes, too, a third where that is still too many, and so on.  Of each
+    no link between components is lost.  Where more than ``OPEN`` pairs of a
+    key's items are apart, only those are compared that share a second rare
+    shingle of their longer prefixes, too, a third where that is still too many,
+    and so on.  Of each
     component the smallest doc_id stays (null last, then the smaller row key).
     Null and empty texts are one item without words; texts of any length are
     read whole; rows equal in id and text stay or go together.
@@ -504,7 +505,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         grams = materialise(rows.join(of_rows, ["rk", "rk2"]).select("item", "text").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
         one, two = (grams.select(F.col("item").alias(i), F.col("grams").alias(f"g{k}")) for i, k in (("x", 1), ("y", 2)))
         both = pairs.join(one, "x").join(two, "y").select("x", "y", "g1", "g2")
-        return materialise(both.mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), label)
+        found = materialise(both.mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), label)
+        discard(grams)
+        return found
 
     to_hubs = shared.where("NOT is_hub").join(hubs, "key").select(F.least("item", "hub").alias("x"), F.greatest("item", "hub").alias("y")).distinct()
     pairs = likely(to_hubs, "hub-pairs")
@@ -516,7 +519,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one, two = (apart.select(F.col("key").alias(f"key{k}"), F.col("item").alias(i), *[F.col(c).alias(f"{c}{k}") for c in APART]) for i, k in (("x", 1), ("y", 2)))
     # pairs that sizes and parities rule out don't leave the join
     rest = one.join(two, (F.col("key1") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("root1") != F.col("root2")) & near_enough("1", "2")).select("x", "y").distinct()
-    more = verified(likely(rest.join(pairs, ["x", "y"], "left_anti"), "other-pairs"), "similar-to-others")
+    others = likely(rest.join(pairs, ["x", "y"], "left_anti"), "other-pairs")
+    for table in (apart, shared, pairs):
+        discard(table)
+    more = verified(others, "similar-to-others")
     if not more.isEmpty():
         stars = components(similar.unionByName(more), "similar")
     linked = stars.join(items.select(F.col("item").alias("node"), "i1", "i2"), "node").select("i1", "i2", "root")
@@ -533,7 +539,7 @@ APART = ["root", "n", *PARITIES]
 
 
 def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """key, item and what ``APART`` names of the keys whose items are apart, with ``OPEN`` items a key or all the shingles that prefixes give."""
+    """key, item and what ``APART`` names of the keys whose items are apart, with ``OPEN`` pairs a key or all the shingles that prefixes give."""
 
     def apart(some: DataFrame, label: str) -> DataFrame:
         mixed = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -541,7 +547,8 @@ def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     rows, done = apart(rows, "open-shingles"), None
     for deeper in range(1, DEEPER + 1):
-        frequent = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OPEN).select("key"), "frequent-shingles")
+        of_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        frequent = materialise(of_root.where((F.col("c") * F.col("c") - F.col("squares")) / 2 > OPEN).select("key"), "frequent-shingles")
         if frequent.isEmpty():
             break
         few = rows.join(frequent, "key", "left_anti")
@@ -560,7 +567,7 @@ def row_key(id_col: str, text_col: str) -> list:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each group of near copies.  Rows travel as one struct, so columns may have any names."""
-    gone = near_copies(docs, id_col, text_col).where("NOT stays").select("rk", "rk2").distinct()
+    gone = materialise(near_copies(docs, id_col, text_col).where("NOT stays").select("rk", "rk2").distinct(), "near-copies")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.select("row", *row_key("id", "text")).join(gone, ["rk", "rk2"], "left_anti").select("row.*")
 

@@ -201,5 +201,5 @@ def test_generators_fall_back(spark, grids, monkeypatch):
     _, packed = grids
     i = search.Instance(packed.where("instance_id = 9").first().asDict(recursive=True), Settings())
     monkeypatch.setattr(search.K, "tree_cuts", lambda *a: 1 // 0)
-    found = list(search.with_fallback(i))
+    found = list(search.with_fallback(i, {}))
     assert any(f[1].startswith("plain") for f in found) and any(f[1].startswith("legacy") for f in found)

@@ -57,6 +57,7 @@ class Settings:
     repair_iterations: int = 200
     tie_seconds: float = 30.0
     max_unique: int = 100
+    target_unique: int = 60
     max_raw: int = 2000
     per_source: int = 12
     max_repairs: int = 400
@@ -79,6 +80,7 @@ class Settings:
     alns_iterations: int = 400
     route_first_refined: int = 6
     hybrid_solves: int = 4
+    nucleus_solves: int = 1
     # joint payloads
     max_jobs: int = 200
     max_joint_vehicles: int = 4

@@ -6,6 +6,7 @@ number of rows can be in flight, and a lost executor repeats only its rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -40,6 +41,10 @@ class Instance:
     def xy(self):
         return K.plane(self.lat, self.lon, self.idx)
 
+    @cached_property
+    def place(self):
+        return np.stack([self.lat, self.lon], 1)
+
     @cached_property
     def metres(self):
         m = np.rint(self.km * 1000)
@@ -123,8 +128,33 @@ def articulation_points(packed: DataFrame, settings: Settings) -> DataFrame:
 CANDIDATES = "instance_id long, stage int, source string, seq int, group_a array<int>, group_b array<int>, repaired boolean"
 
 
-def raw_candidates(i: Instance) -> Iterator[tuple]:
-    """Partitions of every generator: (stage, source, a, b, whether it may need repair)."""
+def residual_candidates(i: Instance) -> Iterator[Iterator[tuple]]:
+    """The partitions of each generator that needs no seed, one generator after the other."""
+    target, pairs = i.target, K.seed_pairs(i.idx, i.xy, K.symmetric(i.dur), i.graph["tree"])
+
+    def growth():
+        for p, q in pairs:
+            for rule in GROWTH_RULES:
+                for alternate in (True, False):
+                    a, b, complete = K.grow(i.idx, target, i.adj, i.xy, i.dur, p, q, rule, alternate)
+                    yield 2, f"growth:{rule}" + ("" if complete else ":repaired"), a, b
+
+    yield ((2, "tree_cut", a, b) for a, b in K.tree_cuts(i.graph["tree"], i.idx, target))
+    yield growth()
+    yield ((2, "two_means", *K.two_means(i.idx, i.xy, target, pair)) for pair in pairs)
+    yield ((2, "two_medoids", *K.two_medoids(i.idx, i.dur, target, pair)) for pair in pairs)
+    yield ((2, "sweep", a, b) for a, b, _ in K.separable(i.idx, i.xy, i.settings.max_raw, (0, 1, -1, 2, -2), i.settings.separable_max_angles))
+
+
+def raw_candidates(i: Instance, sound: dict) -> Iterator[tuple]:
+    """Partitions of every generator: (stage, source, a, b).
+
+    ``sound`` has the stage of every partition (by key) that the caller has
+    admitted so far.  Each generator that needs no seed ends after ``per_source``
+    admitted ones, and all but the first stage at ``max_unique`` in all.  The
+    cheapest admitted ones of later stages are improved; the cheapest of all are
+    perturbed where fewer than ``target_unique`` have been found.
+    """
     s, target = i.settings, i.target
     if len(i.idx) < 2:
         return
@@ -132,40 +162,37 @@ def raw_candidates(i: Instance) -> Iterator[tuple]:
     means = K.two_means(i.idx, i.xy, target)
     reference = K.capacitated(i.dur, i.lat, i.lon, i.idx, 2, -(-len(i.idx) // 2), i.start, i.end)
     reference = (sorted(reference[0][1:-1]), sorted(reference[1][1:-1]))
-    seeds = [("reference", reference), *(("straight", p) for p in straight), ("means", means)]
-    started = []
-    for name, (a, b) in seeds:
-        a, b = K.resize(a, b, i.idx, target, i.xy)
-        a, b, fine, _ = K.repair(a, b, i.adj, i.km, i.dur, i.start, i.end, target, most=s.repair_iterations)
-        if fine and len(started) < s.local_seeds:
-            a, b, _, _ = K.exchange_search(a, b, i.adj, i.dur, i.start, i.end, min(8, s.local_iterations))
-        started.append((a, b))
-        yield 0, f"legacy:{name}", a, b
-    for a, b in seeds[:4]:
-        for c in COMPONENT_RULES:
-            for m in MOVE_RULES:
-                x, y, _, _ = K.repair(*b, i.adj, i.km, i.dur, i.start, i.end, target, c, m, s.repair_iterations)
-                yield 1, f"repair:{c}:{m}", x, y
-    for a, b in K.tree_cuts(i.graph["tree"], i.idx, target)[: s.per_source]:
-        yield 2, "tree_cut", a, b
-    pairs = K.seed_pairs(i.idx, i.xy, K.symmetric(i.dur), i.graph["tree"])
-    for p, q in pairs:
-        for rule in GROWTH_RULES:
-            for alternate in (True, False):
-                a, b, complete = K.grow(i.idx, target, i.adj, i.km, i.dur, p, q, rule, alternate)
-                yield 2, f"growth:{rule}" + ("" if complete else ":repaired"), a, b
-    for p, q in pairs:
-        yield 2, "two_means", *K.two_means(i.idx, i.xy, target, (p, q))
-        yield 2, "two_medoids", *K.two_medoids(i.idx, i.dur, target, (p, q))
-    for a, b, _ in K.separable(i.idx, i.xy, s.per_source, (0, 1, -1, 2, -2), s.separable_max_angles):
-        yield 2, "sweep", a, b
-    for a, b in started[: s.local_seeds]:
-        if K.verdict(a, b, i.idx, target, i.adj) == "ok":
-            x, y, _, swaps = K.exchange_search(a, b, i.adj, i.dur, i.start, i.end, min(4, s.local_iterations))
-            if swaps:
-                yield 3, "local_search", x, y
-    for a, b in K.perturbations(started[:2], i.adj, s.perturbations, s.chain_length):
-        yield 3, "perturbation", a, b
+    seeds = [(name, K.resize(*p, i.idx, target, i.xy)) for name, p in [("reference", reference), *(("straight", p) for p in straight), ("means", means)]]
+    for name, p in seeds:
+        a, b, fine, _ = K.repair(*p, i.adj, i.place, i.dur, i.start, i.end, target, most=s.repair_iterations)
+        if fine:
+            a, b, _, _ = K.exchange_search(a, b, i.adj, i.dur, i.start, i.end, s.local_iterations)
+            yield 0, f"legacy:{name}", a, b
+    full = lambda: len(sound) >= s.max_unique
+    for (_, p), c, m in itertools.product(seeds[:4], COMPONENT_RULES, MOVE_RULES):
+        if full():
+            break
+        x, y, fine, _ = K.repair(*p, i.adj, i.place, i.dur, i.start, i.end, target, c, m, s.repair_iterations)
+        if fine:
+            yield 1, f"repair:{c}:{m}", x, y
+    for found in residual_candidates(i):
+        before = len(sound)
+        for candidate in found:
+            if len(sound) - before >= s.per_source or full():
+                break
+            yield candidate
+    priced = lambda keys: sorted((K.pair_cost(i.dur, *k, i.start, i.end), k) for k in keys)
+    for _, p in priced(k for k, stage in sound.items() if stage)[: s.local_seeds]:
+        if full():
+            break
+        x, y, _, swaps = K.exchange_search(*p, i.adj, i.dur, i.start, i.end, s.local_iterations)
+        if swaps:
+            yield 3, "local_search", x, y
+    if len(sound) < s.target_unique:
+        for a, b in K.perturbations([p for _, p in priced(sound)[:4]], i.adj, s.perturbations, s.chain_length):
+            if full():
+                break
+            yield 3, "perturbation", a, b
 
 
 def plain_candidates(i: Instance) -> Iterator[tuple]:
@@ -174,25 +201,27 @@ def plain_candidates(i: Instance) -> Iterator[tuple]:
         return
     for source, (a, b) in [*(("plain:straight", p[:2]) for p in K.separable(i.idx, i.xy, 8)), ("plain:means", K.two_means(i.idx, i.xy, i.target))]:
         a, b = K.resize(a, b, i.idx, i.target, i.xy)
-        a, b, _, _ = K.repair(a, b, i.adj, i.km, i.dur, i.start, i.end, i.target)
+        a, b, _, _ = K.repair(a, b, i.adj, i.place, i.dur, i.start, i.end, i.target)
         yield 0, source, a, b
 
 
-def with_fallback(i: Instance) -> Iterator[tuple]:
+def with_fallback(i: Instance, sound: dict) -> Iterator[tuple]:
     """All candidates; those found so far and the plain ones where a generator fails."""
     try:
-        yield from raw_candidates(i)
+        yield from raw_candidates(i, sound)
     except (ArithmeticError, IndexError, ValueError):
         yield from plain_candidates(i)
 
 
 def candidates(packed: DataFrame, settings: Settings) -> DataFrame:
-    """Candidates of all generators, those that aren't sound repaired once, with their verdict."""
+    """Candidates of all generators with their verdict, those that aren't sound repaired once, ``max_repairs`` of an instance at most; derived ones never."""
 
     def run(row):
         i = Instance(row, settings)
         seen: set = set()
-        for seq, (stage, source, a, b) in enumerate(with_fallback(i)):
+        sound: dict = {}
+        repairs = 0
+        for seq, (stage, source, a, b) in enumerate(with_fallback(i, sound)):
             if seq >= settings.max_raw:
                 break
             key = K.key_of(a, b)
@@ -201,11 +230,15 @@ def candidates(packed: DataFrame, settings: Settings) -> DataFrame:
                 continue
             seen.add(key)
             verdict, fixed = K.verdict(a, b, i.idx, i.target, i.adj), False
-            if verdict in ("invalid_size", "disconnected"):
-                a, b, fixed, _ = K.repair(a, b, i.adj, i.km, i.dur, i.start, i.end, i.target, most=settings.repair_iterations)
+            if verdict in ("invalid_size", "disconnected") and stage < 3 and repairs < settings.max_repairs:
+                repairs += 1
+                a, b = K.resize(a, b, i.idx, i.target, i.xy)
+                a, b, fixed, _ = K.repair(a, b, i.adj, i.place, i.dur, i.start, i.end, i.target, most=settings.repair_iterations)
                 key = K.key_of(a, b)
-                verdict = "ok" if fixed and key not in seen else "duplicate" if fixed else verdict
+                verdict = "ok" if fixed and key not in sound else "duplicate" if fixed else verdict
                 seen.add(key)
+            if verdict == "ok":
+                sound[key] = stage
             yield i.id, stage, source, seq, sorted(a), sorted(b), fixed, verdict
 
     return per_row(packed, run, CANDIDATES + ", verdict string", 1)
@@ -281,8 +314,7 @@ def kmeans_solutions(packed: DataFrame, settings: Settings) -> DataFrame:
         k = K.best_k(x, v, hi) if hi > v else v
         found: dict = {}
         for size in sorted({v, k, (v + k) // 2}):
-            for groups in K.unions(K.sub_clusters(x, i.idx, size), v, x, i.idx):
-                groups = K.balance(groups, place, cap)
+            for groups in K.unions(K.sub_clusters(x, i.idx, size), v, x, i.idx, cap):
                 if max(map(len, groups)) <= cap:
                     found.setdefault(tuple(sorted(map(tuple, groups))), sum(K.route_cost(i.km, K.nearest_route(i.km, g, i.start, i.end)) for g in groups))
         if v == 2:
@@ -359,12 +391,15 @@ def hybrid_solutions(packed: DataFrame, settings: Settings) -> DataFrame:
         yield add("direct_joint", "vroom", *direct)
         for ra, rb in K.route_first(i.dur, i.km, i.lat, i.lon, i.idx, i.strict, i.start, i.end, i.target, settings.route_first_refined):
             yield add("route_first", "heuristic", ra, rb)
-        # borders free, cores pinned: exchanges of border points only
-        a, b = keep[-1]
-        ba, bb = K.border(a, b, i.strict)
-        if ba and bb and len(ba) < len(a) and len(bb) < len(b):
-            a, b, _, _ = K.exchange_search(a, b, i.strict, i.dur, i.start, i.end, 8)
-            yield add("nucleus", "vroom", K.shortest_order(i.dur, a, i.start, i.end), K.shortest_order(i.dur, b, i.start, i.end))
+        # borders free, cores pinned, from the cheapest result so far, sound ones first
+        seed = min(keep, key=lambda p: (K.verdict(*p, i.idx, i.target, i.strict) != "ok", K.pair_cost(i.dur, *p, i.start, i.end, True), p))
+        for depth in range(1, settings.nucleus_solves + 1):
+            free, core_a, core_b = K.cores(*seed, i.strict, depth)
+            if free and core_a and core_b and max(len(core_a), len(core_b)) <= cap:
+                a, b = K.free_search(*seed, free, i.dur, cap, i.start, i.end)
+                if not (core_a <= set(a) and core_b <= set(b)):
+                    raise ValueError("a pinned point has moved")
+                yield add(f"nucleus:d{depth}", "vroom", K.shortest_order(i.dur, a, i.start, i.end), K.shortest_order(i.dur, b, i.start, i.end))
         sound = [p for p in keep if K.verdict(*p, i.idx, i.target, i.strict) == "ok"]
         found = K.large_neighbourhood(sound or keep[:1], i.idx, i.strict, i.dur, i.start, i.end, row.get("seed") or 0, settings.alns_iterations)
         for a, b, _ in found[: settings.hybrid_solves]:

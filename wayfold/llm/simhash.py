@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrow import slices
-from wayfold.llm.store import discard, documents, materialise
+from wayfold.llm.store import discard, documents, materialise, materialise_texts, text_batches
 
 SHINGLE = 4
 MOST = 4
@@ -344,6 +344,8 @@ MOST_COMMON = 500_000
 CELLS = 128
 #: Pairs of open items of one shingle that are compared inside a join; items of a shingle with more must share further shingles, up to so many.
 OPEN, DEEPER = 1 << 24, 3
+#: Texts whose shingles a task holds at once.
+ROWS = 256
 #: Stands for the shingles of a text without words.
 NO_SHINGLE = np.zeros(1, np.uint64)
 
@@ -431,7 +433,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
 
     counted = rows.where(F.pmod("rk", F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "gram long")
-    found = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toArrow()
+    with text_batches(rows.sparkSession):
+        found = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toArrow()
     grams, counts = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(grams)
     return grams[order], counts[order]
@@ -457,15 +460,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def prefixes(batches):
         for batch in batches:
-            sets = [shingle_set(x.as_py() or b"") for x in batch.column("text")]
-            names, rare = [set_name(g) for g in sets], [rare_prefix(g, *common.value) for g in sets]
-            columns = (
-                pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([cells(g) for g in sets], pa.binary()),
-                *(pa.array(q) for q in np.array([parities(g) for g in sets], np.int64).reshape(len(sets), 4).T.copy()), pa.array([g.view(np.int64) for g, _ in rare], pa.list_(pa.int64())), pa.array([length for _, length in rare], pa.int32()),
-            )
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rk", "rk2")), *columns], names=["doc_id", "rk", "rk2", "i1", "i2", "n", "cells", *PARITIES, "rare", "length"])
-
-    printed = materialise(rows.mapInArrow(prefixes, "doc_id long, rk long, rk2 long, i1 long, i2 long, n long, cells binary, q0 long, q1 long, q2 long, q3 long, rare array<long>, length int"), "prefixes")
+            for some in slices(batch, ROWS):
+                sets = [shingle_set(x.as_py() or b"") for x in some.column("text")]
+                names, rare = [set_name(g) for g in sets], [rare_prefix(g, *common.value) for g in sets]
+                columns = (
+                    pa.array([x for x, _ in names], pa.int64()), pa.array([y for _, y in names], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([cells(g) for g in sets], pa.binary()),
+                    *(pa.array(q) for q in np.array([parities(g) for g in sets], np.int64).reshape(len(sets), 4).T.copy()), pa.array([g.view(np.int64) for g, _ in rare], pa.list_(pa.int64())), pa.array([length for _, length in rare], pa.int32()),
+                )
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "rk", "rk2")), *columns], names=["doc_id", "rk", "rk2", "i1", "i2", "n", "cells", *PARITIES, "rare", "length"])
+
+    printed = materialise_texts(rows.mapInArrow(prefixes, "doc_id long, rk long, rk2 long, i1 long, i2 long, n long, cells binary, q0 long, q1 long, q2 long, q3 long, rare array<long>, length int"), "prefixes")
     firsts = [F.first(c).alias(c) for c in ("n", "cells", *PARITIES, "rare", "length")]
     items = printed.groupBy("i1", "i2").agg(F.min(F.struct("rk", "rk2")).alias("row"), *firsts)
     items = materialise(items.select(F.monotonically_increasing_id().alias("item"), "i1", "i2", "row.rk", "row.rk2", "n", "cells", *PARITIES, "rare", "length"), "items")
@@ -492,7 +496,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in batch.column("text")], pa.binary())], names=["item", "grams"])
+            for some in slices(batch, ROWS):
+                yield pa.RecordBatch.from_arrays([some.column("item"), pa.array([shingle_set(x.as_py() or b"").tobytes() for x in some.column("text")], pa.binary())], names=["item", "grams"])
 
     def verify(batches):
         for batch in batches:
@@ -502,7 +507,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("item")).unionByName(pairs.select(F.col("y").alias("item"))).distinct()
         of_rows = items.join(wanted, "item", "left_semi").select("item", "rk", "rk2")
-        grams = materialise(rows.join(of_rows, ["rk", "rk2"]).select("item", "text").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
+        grams = materialise_texts(rows.join(of_rows, ["rk", "rk2"]).select("item", "text").mapInArrow(sets, "item long, grams binary").dropDuplicates(["item"]), "shingles")
         one, two = (grams.select(F.col("item").alias(i), F.col("grams").alias(f"g{k}")) for i, k in (("x", 1), ("y", 2)))
         both = pairs.join(one, "x").join(two, "y").select("x", "y", "g1", "g2")
         found = materialise(both.mapInArrow(verify, "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b")), label)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,28 @@ def input_bytes(df: DataFrame) -> int:
     return sum(min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 60) for i in range(leaves.size()))
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1024
+
+
+@contextmanager
+def text_batches(spark: SparkSession):
+    """What runs inside sends texts to Python in batches of ``TEXT_ROWS`` at most: a batch stands in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise_texts(df: DataFrame, label: str) -> DataFrame:
+    """``materialise`` for a kernel that reads texts."""
+    with text_batches(df.sparkSession):
+        return materialise(df, label)
+
+
 def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 

@@ -9,19 +9,21 @@ import pyarrow as pa
 
 
 class Bounded(dict):
-    """A memo of a function of one argument that is emptied when it holds ``most`` entries.
+    """A memo of a function of one text that is emptied when it holds ``most`` entries; keys over ``longest`` are not kept, so its bytes are bounded, too.
 
     Lookups of known keys run at dictionary speed, as only misses call Python code.
     """
 
-    def __init__(self, function, most: int):
+    def __init__(self, function, most: int, longest: int = 64):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.longest = function, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

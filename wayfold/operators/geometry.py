@@ -1,43 +1,52 @@
-"""Linearly separable splits: angles, projections, certificates."""
+"""Linearly separable splits: angles, projections, certificates.
+
+An instance's points are gathered into one row and a kernel does the rest, so
+neither pairs of points nor points by angles are ever rows.  Points are taken
+in order of idx: results are the same for any order of rows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import METRES_PER_DEGREE
+from wayfold.operators import kernels as K
+from wayfold.operators.search import per_row
+
+
+def gathered(points: DataFrame, *columns: str) -> DataFrame:
+    """One row per instance: idx and the columns as arrays, in order of idx."""
+    rows = points.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("idx", *columns))).alias("p"))
+    return rows.select("instance_id", *[F.col("p")[c].alias(c) for c in ("idx", *columns)])
 
 
 def local_xy(points: DataFrame) -> DataFrame:
     """Metres on a plane about each instance's centroid."""
-    of = Window.partitionBy("instance_id")
-    lat0, lon0 = F.avg("lat").over(of), F.avg("lon").over(of)
-    with_centre = points.withColumn("lat0", lat0).withColumn("lon0", lon0)
-    return with_centre.select(
-        "instance_id", "idx",
-        ((F.col("lon") - F.col("lon0")) * METRES_PER_DEGREE * F.cos(F.radians("lat0"))).alias("x"),
-        ((F.col("lat") - F.col("lat0")) * METRES_PER_DEGREE).alias("y"),
-    )
+
+    def run(row):
+        x, y = (v.tolist() for v in K.metres_about_centroid(row["lat"], row["lon"]))
+        known = lambda v: None if v != v else v
+        for i, a, b in zip(row["idx"], x, y, strict=True):
+            yield row["instance_id"], i, known(a), known(b)
+
+    return per_row(gathered(points, "lat", "lon"), run, "instance_id long, idx int, x double, y double")
+
+
+def _angles(rows: DataFrame, function) -> DataFrame:
+    run = lambda row: iter([(row["instance_id"], function(row).tolist())])
+    return per_row(rows, run, "instance_id long, angles array<double>").select("instance_id", F.explode("angles").alias("angle"))
 
 
 def critical_angles(xy: DataFrame, digits: int = 10) -> DataFrame:
     """Directions at which two points change their order, modulo pi; coincident points have none."""
-    a = xy.select("instance_id", F.col("idx").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = xy.select("instance_id", F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = a.join(b, "instance_id").where("i < j AND NOT (x1 = x2 AND y1 = y2)")
-    angle = F.pmod(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")) + F.pi() / 2, F.pi())
-    return pairs.select("instance_id", F.round(angle, digits).alias("angle")).distinct()
+    return _angles(gathered(xy, "x", "y"), lambda row: K.critical_angles(row["x"], row["y"], digits))
 
 
 def sample_angles(critical: DataFrame, most: int = 6000) -> DataFrame:
     """One angle between each two neighbours, the last wrapping; at most ``most`` per instance, evenly spread."""
-    by = Window.partitionBy("instance_id").orderBy("angle")
-    every = Window.partitionBy("instance_id")
-    nexts = F.coalesce(F.lead("angle").over(by), F.min("angle").over(every) + F.pi())
-    ranked = critical.select("instance_id", ((F.col("angle") + nexts) / 2).alias("angle"), (F.row_number().over(by) - 1).alias("k"), F.count(F.lit(1)).over(every).alias("n"))
-    # of n angles, the ones where floor(k most / n) moves on
-    kept = (F.col("n") <= most) | (F.floor(F.col("k") * most / F.col("n")) != F.floor((F.col("k") - 1) * most / F.col("n")))
-    return ranked.where(kept).select("instance_id", "angle")
+    rows = critical.groupBy("instance_id").agg(F.array_sort(F.collect_list("angle")).alias("angles"))
+    return _angles(rows, lambda row: K.between(np.array(row["angles"], float), most))
 
 
 def splits(xy: DataFrame, angles: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ in order of idx: results are the same for any order of rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import kernels as K
@@ -49,30 +49,15 @@ def sample_angles(critical: DataFrame, most: int = 6000) -> DataFrame:
     return _angles(rows, lambda row: K.between(np.array(row["angles"], float), most))
 
 
-def splits(xy: DataFrame, angles: DataFrame) -> DataFrame:
-    """Per angle: the first n // 2 points along the direction, and the gap at the cut; gaps must be positive."""
-    count = Window.partitionBy("instance_id")
-    sized = xy.withColumn("half", F.floor(F.count(F.lit(1)).over(count) / 2).cast("int"))
-    along = sized.join(angles, "instance_id").withColumn("p", F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle"))
-    order = Window.partitionBy("instance_id", "angle").orderBy("p", "idx")
-    placed = along.withColumn("k", F.row_number().over(order)).withColumn("in_a", F.col("k") <= F.col("half"))
-    grouped = placed.groupBy("instance_id", "angle").agg(
-        F.array_sort(F.collect_list(F.when(F.col("in_a"), F.col("idx")))).alias("group_a"),
-        F.array_sort(F.collect_list(F.when(~F.col("in_a"), F.col("idx")))).alias("group_b"),
-        F.max(F.when(F.col("in_a"), F.col("p"))).alias("last_a"), F.min(F.when(~F.col("in_a"), F.col("p"))).alias("first_b"),
-    )
-    return grouped.withColumn("margin", F.col("first_b") - F.col("last_a")).where("margin > 0")
-
-
 def separable_partitions(points: DataFrame, most_angles: int = 6000) -> DataFrame:
     """Every distinct split of the collection points (idx > 0), with its widest margin."""
-    xy = local_xy(points.where("idx > 0"))
-    found = splits(xy, sample_angles(critical_angles(xy), most_angles))
-    a, b = F.col("group_a"), F.col("group_b")
-    swap = F.element_at(a, 1) > F.element_at(b, 1)
-    sides = found.select("instance_id", F.when(swap, b).otherwise(a).alias("group_a"), F.when(swap, a).otherwise(b).alias("group_b"), "margin", "angle")
-    best = F.max_by(F.struct("margin", "angle"), F.struct("margin", -F.col("angle")))
-    return sides.groupBy("instance_id", "group_a", "group_b").agg(best.alias("m")).select("instance_id", "group_a", "group_b", F.col("m.margin").alias("margin"), F.col("m.angle").alias("angle"))
+
+    def run(row):
+        x, y = K.metres_about_centroid(row["lat"], row["lon"])
+        for a, b, margin, angle in K.straight_splits(row["idx"], x, y, K.between(K.critical_angles(x, y), most_angles)):
+            yield row["instance_id"], a, b, margin, angle
+
+    return per_row(gathered(points.where("idx > 0"), "lat", "lon"), run, "instance_id long, group_a array<int>, group_b array<int>, margin double, angle double")
 
 
 def certificates(xy: DataFrame, partitions: DataFrame) -> DataFrame:

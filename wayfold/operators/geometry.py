@@ -62,19 +62,11 @@ def separable_partitions(points: DataFrame, most_angles: int = 6000) -> DataFram
 
 def certificates(xy: DataFrame, partitions: DataFrame) -> DataFrame:
     """Violations and margin of each partition, counted anew from the projections."""
-    members = partitions.select("instance_id", "group_a", "group_b", "angle").join(xy, "instance_id")
-    p = F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")
-    sided = members.select("instance_id", "group_a", "group_b", "angle", p.alias("p"), F.array_contains("group_a", F.col("idx")).alias("in_a"), F.array_contains("group_b", F.col("idx")).alias("in_b"))
-    key = ["instance_id", "group_a", "group_b", "angle"]
-    inner = sided.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("p", "in_a", "in_b"))).alias("ps"),
-        F.avg(F.when(F.col("in_a"), F.col("p"))).alias("mean_a"), F.avg(F.when(F.col("in_b"), F.col("p"))).alias("mean_b"),
-        F.max(F.when(F.col("in_a"), F.col("p"))).alias("max_a"), F.min(F.when(F.col("in_a"), F.col("p"))).alias("min_a"),
-        F.max(F.when(F.col("in_b"), F.col("p"))).alias("max_b"), F.min(F.when(F.col("in_b"), F.col("p"))).alias("min_b"),
-    )
-    a_first = F.col("mean_a") <= F.col("mean_b")
-    low, high = F.when(a_first, F.col("max_a")).otherwise(F.col("max_b")), F.when(a_first, F.col("min_b")).otherwise(F.col("min_a"))
-    cut = (low + high) / 2
-    wrong = F.size(F.filter("ps", lambda e: F.when(a_first, (e["in_a"] & (e["p"] >= cut)) | (e["in_b"] & (e["p"] <= cut))).otherwise((e["in_b"] & (e["p"] >= cut)) | (e["in_a"] & (e["p"] <= cut)))))
-    empty = (F.size("group_a") == 0) | (F.size("group_b") == 0)
-    return inner.select(*key, F.when(empty, F.size("ps")).otherwise(wrong).alias("violations"), F.when(~empty, high - low).alias("margin"))
+
+    def run(row):
+        x, y = (np.array(row[c], float) for c in "xy")
+        for c in row["rows"]:
+            yield row["instance_id"], c["group_a"], c["group_b"], c["angle"], *K.certificate(row["idx"], x, y, c["group_a"], c["group_b"], c["angle"])
+
+    rows = partitions.groupBy("instance_id").agg(F.collect_list(F.struct("group_a", "group_b", "angle")).alias("rows")).join(gathered(xy, "x", "y"), "instance_id")
+    return per_row(rows, run, "instance_id long, group_a array<int>, group_b array<int>, angle double, violations int, margin double")

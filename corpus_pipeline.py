@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose five-word shingles are 0.8 similar or more."""
-    return sized(simhash.drop_near_copies(docs), docs)
+    """One row of each component of operator 3: fingerprints link at 4 or fewer differing bits."""
+    return sized(simhash.drop_near_duplicates(docs), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,16 +82,16 @@ def majority(pieces) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, kind: str = "long") -> DataFrame:
+    """doc_id (of a type) and fp (the fingerprint's bits as a long)."""
 
     def run(batches):
         for batch in batches:
             found = np.array([majority(shingle_hashes(x.as_py() or b"", width)) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # ------------------------------------------------------------------ Golay code
@@ -318,12 +318,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def component_of(prints: DataFrame) -> DataFrame:
+    """fp and root (the smallest fingerprint of its component) of the distinct fingerprints that have links."""
+    return components(links(prints)).select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    stars = components(links(groups))
-    member = stars.join(groups, stars["node"] == groups["fp"]).select("fp", "root", "least")
+    member = component_of(groups).join(groups, "fp").select("fp", "root", "least")
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = member.join(of_root, "root").select("fp", "component_id")
     by_print = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -331,6 +335,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``near_duplicates``, all columns: the one whose doc_id is the component's (null last, then the smaller row key).
+
+    Rows equal in id and text stay or go together.
+    """
+    keyed = docs.select(F.struct(docs[id_col].cast("long").alias("doc_id"), *row_key(docs[id_col], docs[text_col])).alias("row"), docs[text_col].alias("text"))
+    with text_batches(docs.sparkSession):
+        rows = materialise(fingerprints(keyed, "row", "text", kind="struct<doc_id: long, rk: long, rk2: long>").select("doc_id.*", "fp"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "rk2")
+    groups = materialise(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    root = groups.join(component_of(groups), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    first = root.groupBy("root").agg(F.min("least").alias("first"))
+    by_print = root.join(first, "root").select("fp", "first")
+    gone = rows.join(by_print, "fp").where((F.col("rk") != F.col("first.rk")) | (F.col("rk2") != F.col("first.rk2")))
+    return without(docs, gone, id_col, text_col)
+
+
 # ------------------------------------------- similarity of word shingles, 0.8
 
 #: Word shingles of the similarity, and the least similarity of near copies.
@@ -564,18 +585,24 @@ def open_keys(rows: DataFrame, items: DataFrame) -> DataFrame:
     return (rows if done is None else done.unionByName(rows)).select("key", "item", *APART)
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """A row's key of 128 bits by id and text, as rk and rk2; rows equal in both are one."""
-    both = F.col(id_col).cast("long"), F.col(text_col).cast("binary")
+def row_key(id_col, text_col) -> list:
+    """A row's key of 128 bits by id and text (names or columns), as rk and rk2; rows equal in both are one."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    both = col(id_col).cast("long"), col(text_col).cast("binary")
     return [F.xxhash64(*both).alias("rk"), F.xxhash64(F.lit(1), *both).alias("rk2")]
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one of each group of near copies.  Rows travel as one struct, so columns may have any names."""
-    gone = materialise(near_copies(docs, id_col, text_col).where("NOT stays").select("rk", "rk2").distinct(), "near-copies")
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``gone``, all columns.  Rows travel as one struct, so columns may have any names."""
+    gone = materialise(gone.select("rk", "rk2").distinct(), "near-copies")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.select("row", *row_key("id", "text")).join(gone, ["rk", "rk2"], "left_anti").select("row.*")
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one of each group of near copies by the similarity of their word shingles."""
+    return without(docs, near_copies(docs, id_col, text_col).where("NOT stays"), id_col, text_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

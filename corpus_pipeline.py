@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import bpe, exact, mixing, quality, simhash
-from wayfold.llm.store import documents, materialise, sized
+from wayfold.llm.store import documents, materialise, materialise_texts, sized
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row's text."""
-    return bpe.tokenised(docs, bpe.default_vocabulary())
+    """Ids of every row's text, written here so that texts go to the kernel a few at a time, whoever reads the rows."""
+    return materialise_texts(bpe.tokenised(docs, bpe.default_vocabulary()), "tokenised", 1 << 30)
 
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("bpe", tokenise)]

@@ -68,10 +68,10 @@ def text_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def materialise_texts(df: DataFrame, label: str) -> DataFrame:
+def materialise_texts(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """``materialise`` for a kernel that reads texts."""
     with text_batches(df.sparkSession):
-        return materialise(df, label)
+        return materialise(df, label, files)
 
 
 def materialise(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
